@@ -1,29 +1,31 @@
 """Ordered per-key operators that do not put a hot key into one task.
 
 A plain ``Window.partitionBy(key).orderBy(ts)`` sends all rows of a key to one
-task.  Here a key that holds more than 1/``parts`` of all rows is first cut
-into chunks along its order column.  Windows then run per (key, chunk), and
-what has to cross a chunk border travels in a small table.
-
-The chunks come from exact aggregates (count, min, max) and integer
-arithmetic, so a task that is run again after an executor loss computes the
-same chunks.  At most ``parts`` keys can be hot, and they make at most
-``2 * parts`` chunks together; that bounds every table broadcast below.
+task.  So keys are counted first.  Where no key holds more than 1/``parts`` of
+all rows (nor fewer than ``min_rows``), the plain window is the plan.  Hot keys
+are cut into chunks along their order column: windows run per (key, chunk),
+and what has to cross a chunk border travels in a small table.
+
+The count comes back to the driver as at most ``parts`` rows, because no more
+keys can hold that share.  Hot keys make at most ``2 * parts`` chunks together,
+which bounds every table broadcast below.  Chunks follow from integer
+arithmetic on those counts, so a task that runs again after an executor loss
+computes the same ones.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 PARTS = 1000
 MIN_ROWS = 10_000
 
-_CHUNK = "__chunk"
-_HOT = "__hot"
+CHUNK = "__chunk"
+HOT = "__hot"
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
@@ -48,48 +50,69 @@ def _same_keys(left: Sequence[str], right: Sequence[str]) -> Column:
     return cond
 
 
-def with_chunk(
+def hot_keys(
     df: DataFrame,
     keys: Sequence[str],
     order: str,
     *,
     min_rows: int = MIN_ROWS,
     parts: int = PARTS,
-) -> DataFrame:
-    """Add ``__chunk`` (monotone in ``order`` within a key) and ``__hot``."""
+) -> DataFrame | None:
+    """Keys with more than max(``min_rows``, 1/``parts``) of the rows, with chunk origin and width; None if none."""
     point = _ordinal(df, order)
-    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    floor = F.greatest(F.lit(int(min_rows)).cast("bigint"), F.floor(total / F.lit(int(parts))))
-    names = [f"__k{i}" for i in range(len(keys))]
-    hot = (
-        df.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)])
+    seen = Observation()
+    counted = (
+        df.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("__n"), F.min(point).alias("__lo"), F.max(point).alias("__hi"))
-        .withColumn("__floor", floor)
-        .where(F.col("__n") > F.col("__floor"))
-        .select(
-            *names,
-            "__lo",
+        .observe(seen, F.sum("__n").alias("total"))
+    )
+    largest = counted.where(F.col("__n") > int(min_rows)).orderBy(F.col("__n").desc()).limit(int(parts)).collect()
+    if not largest:
+        return None
+    floor = max(int(min_rows), seen.get["total"] // int(parts))
+    rows = []
+    for row in largest:
+        *key, n, lo, hi = row
+        if n > floor and lo is not None:
             # ceil(n / floor) chunks of equal width
-            F.expr("greatest(1L, (__hi - __lo) div ((__n + __floor - 1) div __floor) + 1)").alias("__width"),
-        )
+            rows.append((*key, lo, max(1, (hi - lo) // -(-n // floor) + 1)))
+    if not rows:
+        return None
+    fields = [T.StructField(f"__carry_key{i}", df.schema[k].dataType) for i, k in enumerate(keys)]
+    fields += [T.StructField("__lo", T.LongType()), T.StructField("__width", T.LongType())]
+    return df.sparkSession.createDataFrame(rows, T.StructType(fields))
+
+
+def with_chunk(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    *,
+    min_rows: int = MIN_ROWS,
+    parts: int = PARTS,
+) -> DataFrame | None:
+    """Add ``__chunk`` (monotone in ``order`` within a key) and ``__hot``; None if no key is hot."""
+    hot = hot_keys(df, keys, order, min_rows=min_rows, parts=parts)
+    if hot is None:
+        return None
+    names = [f"__carry_key{i}" for i in range(len(keys))]
+    joined = df.withColumn("__point", _ordinal(df, order)).join(F.broadcast(hot), _same_keys(keys, names), "left")
+    chunk = F.coalesce(F.expr("(__point - __lo) div __width"), F.lit(-1).cast("bigint"))
+    return (
+        joined.withColumn(HOT, F.col("__width").isNotNull())
+        .withColumn(CHUNK, F.when(F.col(HOT), chunk).otherwise(F.lit(0).cast("bigint")))
+        .drop("__point", "__lo", "__width", *names)
     )
-    joined = df.withColumn("__o", point).join(F.broadcast(hot), _same_keys(keys, names), "left")
-    return joined.withColumn(_HOT, F.col("__width").isNotNull()).withColumn(
-        _CHUNK,
-        F.when(F.col(_HOT), F.coalesce(F.expr("(__o - __lo) div __width"), F.lit(-1).cast("bigint"))).otherwise(
-            F.lit(0).cast("bigint")
-        ),
-    ).drop("__o", "__lo", "__width", *names)
 
 
 def _carry_join(inner: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
-    names = [f"__k{i}" for i in range(len(keys))]
+    names = [f"__carry_key{i}" for i in range(len(keys))]
     side = carry
     for k, n in zip(keys, names, strict=True):
         side = side.withColumnRenamed(k, n)
-    side = side.withColumnRenamed(_CHUNK, "__c")
-    cond = _same_keys(keys, names) & (F.col(_CHUNK) == F.col("__c"))
-    return inner.join(F.broadcast(side), cond, "left").drop("__c", *names)
+    side = side.withColumnRenamed(CHUNK, "__carry_chunk")
+    cond = _same_keys(keys, names) & (F.col(CHUNK) == F.col("__carry_chunk"))
+    return inner.join(F.broadcast(side), cond, "left").drop("__carry_chunk", *names)
 
 
 def _shift(
@@ -102,20 +125,23 @@ def _shift(
     parts: int,
 ) -> DataFrame:
     columns = df.columns
-    chunked = with_chunk(df, keys, order[0], min_rows=min_rows, parts=parts)
     asc = [F.col(c).asc_nulls_first() for c in order]
     desc = [F.col(c).desc_nulls_last() for c in order]
-    inside = Window.partitionBy(*keys, _CHUNK).orderBy(*(desc if forward else asc))
+    chunked = with_chunk(df, keys, order[0], min_rows=min_rows, parts=parts)
+    if chunked is None:
+        plain = Window.partitionBy(*keys).orderBy(*(desc if forward else asc))
+        return df.select(*columns, *[F.lag(source).over(plain).alias(name) for name, source in values.items()])
+    inside = Window.partitionBy(*keys, CHUNK).orderBy(*(desc if forward else asc))
     packed = F.struct(*[F.col(source).alias(name) for name, source in values.items()])
     inner = chunked.withColumn("__near", F.lag(packed).over(inside)).withColumn(
         "__edge", F.row_number().over(inside) == 1
     )
     pick = F.min_by if forward else F.max_by
-    edges = chunked.where(_HOT).groupBy(*keys, _CHUNK).agg(pick(packed, F.struct(*order)).alias("__tail"))
-    between = Window.partitionBy(*keys).orderBy(F.col(_CHUNK).desc() if forward else F.col(_CHUNK).asc())
-    carry = edges.select(*keys, _CHUNK, F.lag("__tail").over(between).alias("__far")).where(F.col("__far").isNotNull())
+    edges = chunked.where(HOT).groupBy(*keys, CHUNK).agg(pick(packed, F.struct(*order)).alias("__tail"))
+    between = Window.partitionBy(*keys).orderBy(F.col(CHUNK).desc() if forward else F.col(CHUNK).asc())
+    carry = edges.select(*keys, CHUNK, F.lag("__tail").over(between).alias("__far")).where(F.col("__far").isNotNull())
     out = _carry_join(inner, carry, keys)
-    use_far = F.col("__edge") & F.col(_HOT)
+    use_far = F.col("__edge") & F.col(HOT)
     return out.select(
         *columns,
         *[
@@ -165,18 +191,23 @@ def with_running(
     Sources must be integral: integer sums do not depend on how rows are cut.
     """
     columns = df.columns
-    chunked = with_chunk(df, keys, order[0], min_rows=min_rows, parts=parts)
     asc = [F.col(c).asc_nulls_first() for c in order]
-    inside = Window.partitionBy(*keys, _CHUNK).orderBy(*asc).rowsBetween(Window.unboundedPreceding, 0)
+    chunked = with_chunk(df, keys, order[0], min_rows=min_rows, parts=parts)
+    if chunked is None:
+        plain = Window.partitionBy(*keys).orderBy(*asc).rowsBetween(Window.unboundedPreceding, 0)
+        return df.select(
+            *columns, *[F.coalesce(F.sum(source).over(plain), F.lit(0)).alias(n) for n, source in sums.items()]
+        )
+    inside = Window.partitionBy(*keys, CHUNK).orderBy(*asc).rowsBetween(Window.unboundedPreceding, 0)
     inner = chunked
     for name, source in sums.items():
         inner = inner.withColumn(f"__in_{name}", F.coalesce(F.sum(source).over(inside), F.lit(0)))
-    totals = chunked.where(_HOT).groupBy(*keys, _CHUNK).agg(
+    totals = chunked.where(HOT).groupBy(*keys, CHUNK).agg(
         *[F.coalesce(F.sum(source), F.lit(0)).alias(f"__sum_{name}") for name, source in sums.items()]
     )
-    before = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(
-        *keys, _CHUNK, *[F.sum(f"__sum_{name}").over(before).alias(f"__off_{name}") for name in sums]
+        *keys, CHUNK, *[F.sum(f"__sum_{name}").over(before).alias(f"__off_{name}") for name in sums]
     )
     out = _carry_join(inner, carry, keys)
     return out.select(

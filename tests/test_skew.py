@@ -25,6 +25,12 @@ def test_chunks_split_only_hot_keys(spark):
     found = {(r.k, r["__hot"]): r.c for r in got.collect()}
     assert found[(0, True)] == 6
     assert all(c == 1 for (k, hot), c in found.items() if not hot)
+    assert with_chunk(_hot(spark), ["k"], "ts") is None
+
+
+def test_unskewed_keys_get_the_plain_window(spark):
+    plan = with_previous(_hot(spark), ["k"], ["ts", "id"], {"p": "v"})._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
 
 
 def test_previous_and_next_match_plain_windows(spark):
