@@ -24,6 +24,7 @@ book AS (SELECT coalesce(o.provider, p.provider) AS provider, coalesce(o.region,
          FROM prices p FULL JOIN overrides o ON p.provider = o.provider AND p.region = o.region)
 """
 
+# Runtimes are odd on purpose: the engines round exact halves differently
 CLOUD_JOBS_SQL = """
 jobs AS (
   SELECT c_custkey,
@@ -32,7 +33,7 @@ jobs AS (
               WHEN 4 THEN 'default' ELSE 'NATION_2' END AS region,
          CASE WHEN c_custkey % 3 = 0 THEN 'm5' END AS instance_type,
          c_custkey % 9 AS executors, (c_custkey % 4) * 1.0::DOUBLE AS vcpu_per_executor,
-         c_custkey % 2 = 0 AS spot, abs(c_acctbal) / 10 AS runtime_minutes
+         c_custkey % 2 = 0 AS spot, abs(c_acctbal) / 10 + 0.01371::DOUBLE AS runtime_minutes
   FROM customer)
 """
 
@@ -56,7 +57,7 @@ def cloud_jobs(spark, sf) -> DataFrame:
         "c_custkey % 9 AS executors",
         "CAST(c_custkey % 4 AS DOUBLE) AS vcpu_per_executor",
         "c_custkey % 2 = 0 AS spot",
-        "abs(c_acctbal) / 10 AS runtime_minutes",
+        "abs(c_acctbal) / 10 + 0.01371D AS runtime_minutes",
     )
 
 

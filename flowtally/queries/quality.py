@@ -127,7 +127,7 @@ def _(spark, sf):
     "dq_check_freshness",
     """SELECT strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS newest,
               round(date_diff('microsecond', max(ts), TIMESTAMP '2024-02-01') / 60000000.0::DOUBLE, 6) AS age_minutes,
-              date_diff('microsecond', max(ts), TIMESTAMP '2024-02-01') <= 60 * 60000000 AS passed
+              date_diff('microsecond', max(ts), TIMESTAMP '2024-02-01') <= 3600000000 AS passed
        FROM events""",
 )
 def _(spark, sf):

@@ -181,7 +181,8 @@ texts AS (SELECT o_orderkey, o_custkey,
   || CASE WHEN o_orderkey % 5 < 3 THEN ' read from raw.t' || (o_custkey % 10) ELSE ' source table = raw.s' || (o_custkey % 7) END
   || CASE WHEN o_orderkey % 7 < 4 THEN chr(10) || ' write  to cur.t' || (o_custkey % 9) ELSE '' END
   || CASE WHEN o_orderkey % 11 < 6 THEN ' partitioned by dt' || (o_custkey % 4) ELSE ' partition_column: dd' END
-  || CASE o_orderkey % 4 WHEN 0 THEN ' schedule: 0 6 * * 1 owner: me@x.org' WHEN 1 THEN ' cron: 5 * * * *' WHEN 2 THEN ' append Scala' ELSE ' schedule: soon' END
+  || CASE o_orderkey % 4 WHEN 0 THEN ' schedule: 0 6 * * 1 owner: me@x.org' WHEN 1 THEN ' cron: 5 * *' || CASE WHEN o_orderkey % 8 = 1 THEN ' * *' ELSE '' END
+       WHEN 2 THEN ' append Scala' ELSE ' schedule: soon' END
   || ' timezone: Europe/Berlin end' AS text
   FROM orders)
 """
@@ -197,7 +198,7 @@ def _texts(spark, sf):
           CASE WHEN o_orderkey % 5 < 3 THEN concat(' read from raw.t', o_custkey % 10) ELSE concat(' source table = raw.s', o_custkey % 7) END,
           CASE WHEN o_orderkey % 7 < 4 THEN concat('\n write  to cur.t', o_custkey % 9) ELSE '' END,
           CASE WHEN o_orderkey % 11 < 6 THEN concat(' partitioned by dt', o_custkey % 4) ELSE ' partition_column: dd' END,
-          CASE o_orderkey % 4 WHEN 0 THEN ' schedule: 0 6 * * 1 owner: me@x.org' WHEN 1 THEN ' cron: 5 * * * *'
+          CASE o_orderkey % 4 WHEN 0 THEN ' schedule: 0 6 * * 1 owner: me@x.org' WHEN 1 THEN concat(' cron: 5 * *', CASE WHEN o_orderkey % 8 = 1 THEN ' * *' ELSE '' END)
                WHEN 2 THEN ' append Scala' ELSE ' schedule: soon' END,
           ' timezone: Europe/Berlin end') AS text""",
     )
@@ -209,7 +210,7 @@ def _texts(spark, sf):
       CASE WHEN o_orderkey % 2 = 0 THEN 'job_' || o_custkey ELSE 'example_pipeline' END AS job_name,
       CASE o_orderkey % 3 WHEN 0 THEN 'qa' WHEN 1 THEN 'prod' ELSE 'dev' END AS env,
       'Europe/Berlin' AS timezone,
-      CASE WHEN o_orderkey % 4 = 0 THEN '0 6 * * 1' ELSE '0 6 * * *' END AS schedule,
+      CASE WHEN o_orderkey % 4 = 0 THEN '0 6 * * 1' WHEN o_orderkey % 8 = 1 THEN '5 * * * *' ELSE '0 6 * * *' END AS schedule,
       CASE WHEN o_orderkey % 4 = 0 THEN 'me@x.org' ELSE 'data-platform' END AS owner,
       CASE WHEN o_orderkey % 4 = 2 THEN 'scala' ELSE 'pyspark' END AS language,
       CASE WHEN o_orderkey % 5 < 3 THEN 'raw.t' || (o_custkey % 10) ELSE 'raw.s' || (o_custkey % 7) END AS source_table,
@@ -218,7 +219,7 @@ def _texts(spark, sf):
       CASE WHEN o_orderkey % 4 = 2 THEN 'append' ELSE 'merge' END AS write_mode,
       [CASE WHEN o_orderkey % 2 = 0 THEN 'job_name.sanitized' ELSE 'job_name.missing' END,
        CASE WHEN o_orderkey % 3 = 2 THEN 'env.missing' END,
-       CASE WHEN o_orderkey % 4 = 1 THEN 'schedule.invalid' WHEN o_orderkey % 4 > 1 THEN 'schedule.missing' END,
+       CASE WHEN o_orderkey % 8 = 5 THEN 'schedule.invalid' WHEN o_orderkey % 4 > 1 THEN 'schedule.missing' END,
        CASE WHEN o_orderkey % 7 >= 4 THEN 'target_table.missing' END] AS w
       FROM texts)
     SELECT * EXCLUDE (w), array_to_string(list_filter(w, lambda x: x IS NOT NULL), ',') AS warnings,

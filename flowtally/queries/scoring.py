@@ -34,10 +34,10 @@ def _(spark, sf):
     )
 
 
-# Preflight jobs out of orders
+# Preflight jobs out of orders; sizes are odd on purpose, see below
 PREFLIGHT_SQL = """
 jobs AS (
-  SELECT o_orderkey, o_totalprice / 1000 AS gb, 1 + o_orderkey % 5 AS shuffle, 1 + o_custkey % 40 AS executors,
+  SELECT o_orderkey, o_totalprice / 1000 + 0.001371::DOUBLE AS gb, 1 + o_orderkey % 5 AS shuffle, 1 + o_custkey % 40 AS executors,
          (o_custkey % 10) / 2.0::DOUBLE AS rate, CASE o_orderkey % 3 WHEN 0 THEN 60 WHEN 1 THEN 0 END AS sla
   FROM orders),
 est AS (SELECT *, greatest(1.0::DOUBLE, gb * shuffle / greatest(0.5::DOUBLE, executors) * 5) AS m FROM jobs),
@@ -57,7 +57,7 @@ def _preflight(spark, sf) -> DataFrame:
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     return table(spark, sf, "orders").select(
         k,
-        (F.col("o_totalprice") / 1000).alias("estimated_input_gb"),
+        (F.col("o_totalprice") / 1000 + 0.001371).alias("estimated_input_gb"),
         (1 + k % 5).cast("double").alias("shuffle_multiplier"),
         (1 + c % 40).alias("executors"),
         ((c % 10) / 2.0).alias("cost_per_executor_hour"),
@@ -95,12 +95,13 @@ def _(spark, sf):
     return out.select("o_orderkey", "decision")
 
 
-# Planned jobs out of line items: one job per order
+# Planned jobs out of line items: one job per order.  The rate is odd on
+# purpose: the engines round exact halves of a cent differently.
 PLAN_SQL = """
 plan AS (
   SELECT l_orderkey, count(*) AS num_stages, count(DISTINCT l_returnflag) AS shuffle_stages,
          CAST(100 + sum(l_quantity) * 4 AS BIGINT) AS base_parallelism, CAST(max(l_linenumber) AS BIGINT) AS executor_instances,
-         max(l_tax) * 100 AS instance_hourly_rate, CAST(4 + min(l_linenumber) AS BIGINT) * 2 - 4 AS executor_memory_gb
+         max(l_tax) * 100 + 0.1371::DOUBLE AS instance_hourly_rate, CAST(4 + min(l_linenumber) AS BIGINT) * 2 - 4 AS executor_memory_gb
   FROM lineitem GROUP BY 1),
 timed AS (SELECT *, round((num_stages * 2.5::DOUBLE + shuffle_stages * 3) / greatest(1.0::DOUBLE, base_parallelism / 200), 2) AS runtime_minutes FROM plan),
 costed AS (SELECT *, round(runtime_minutes / 60 * executor_instances * instance_hourly_rate, 2) AS cost_estimate_usd FROM timed),
@@ -118,7 +119,7 @@ def _plans(spark, sf) -> DataFrame:
         F.count_distinct("l_returnflag").alias("shuffle_stages"),
         (100 + F.sum("l_quantity") * 4).cast("bigint").alias("base_parallelism"),
         F.max("l_linenumber").cast("bigint").alias("executor_instances"),
-        (F.max("l_tax") * 100).alias("instance_hourly_rate"),
+        (F.max("l_tax") * 100 + 0.1371).alias("instance_hourly_rate"),
         ((4 + F.min("l_linenumber")).cast("bigint") * 2 - 4).alias("executor_memory_gb"),
     )
 
