@@ -3,62 +3,69 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
-from flowtally.functions.scalars import is_json_object, parse_json
+from flowtally.functions.scalars import parse_json
+from flowtally.layout import spread
 
-_MAP = "map<string,variant>"
+# Two values at a path: still open if both are objects, else compared
+_PAIR = """named_struct(
+  '__path', {path},
+  '__a', IF({both}, {a}, NULL),
+  '__b', IF({both}, {b}, NULL),
+  '__open', {both},
+  'change', IF(NOT {both} AND to_json({a}) <> to_json({b}), 'modified', NULL))"""
+_BOTH = "(schema_of_variant({a}) LIKE 'OBJECT%' AND schema_of_variant({b}) LIKE 'OBJECT%')"
+_KEY_PATH = "IF(__path = '', k, concat(__path, '.', k))"
+
+# Replace open pairs by the pairs of their keys; settled rows pass through
+_LEVEL = """
+SELECT {columns} inline(IF(__open,
+  filter(transform(array_union(map_keys(__ma), map_keys(__mb)), k ->
+    IF(map_contains_key(__ma, k) AND map_contains_key(__mb, k),
+       {pair},
+       named_struct('__path', {path}, '__a', CAST(NULL AS VARIANT), '__b', CAST(NULL AS VARIANT), '__open', false,
+                    'change', IF(map_contains_key(__ma, k), 'removed', 'added')))),
+    e -> e.__open OR e.change IS NOT NULL),
+  array(named_struct('__path', __path, '__a', __a, '__b', __b, '__open', __open, 'change', change))))
+FROM (SELECT *, try_variant_get(__a, '$', 'map<string,variant>') AS __ma,
+                try_variant_get(__b, '$', 'map<string,variant>') AS __mb FROM level{below})
+"""
+
+
+def _pair(path: str, a: str, b: str) -> str:
+    return _PAIR.format(path=path, a=a, b=b, both=_BOTH.format(a=a, b=b))
 
 
 def json_diff(df: DataFrame, before: str, after: str, max_depth: int = 8) -> DataFrame:
-    """One row per differing key path: the input columns, ``path`` and ``change``.
+    """One row per differing key path: the other input columns, ``path`` and ``change``.
 
     Both documents stay in their row: each level turns two objects into one
-    row per key of either side, so nothing is joined or shuffled.  A subtree
+    row per key that may differ, so nothing is joined or shuffled.  A subtree
     found on one side only is reported at its top key, lists are compared as a
     whole, and ``$`` stands for a differing root.  Pairs of objects deeper than
     ``max_depth`` are compared as a whole.  Rows where a side is missing or no
     valid JSON give nothing; ``json_parseable`` tells them apart.
     """
-    left, right = parse_json(before), parse_json(after)
-    rows = (
-        df.withColumns({"__a": left, "__b": right, "__path": F.lit("")})
-        .where(F.col("__a").isNotNull() & F.col("__b").isNotNull())
-        .withColumns({"__open": F.lit(True), "change": F.lit(None).cast("string")})
-    )
-    for _ in range(max_depth):
-        rows = _descend(rows, df.columns)
-    text_a, text_b = F.to_json(F.col("__a")), F.to_json(F.col("__b"))
-    change = F.coalesce(F.col("change"), F.when(text_a != text_b, F.lit("modified")))
-    path = F.when(F.col("__path") == "", F.lit("$")).otherwise(F.col("__path"))
-    return rows.select(*df.columns, path.alias("path"), change.alias("change")).where(F.col("change").isNotNull())
-
-
-def _descend(rows: DataFrame, columns: list[str]) -> DataFrame:
-    split = F.col("__open") & is_json_object("__a") & is_json_object("__b")
-    wide = rows.withColumn("__split", split).withColumns(
-        {
-            "__ma": F.when(F.col("__split"), F.try_variant_get(F.col("__a"), "$", _MAP)),
-            "__mb": F.when(F.col("__split"), F.try_variant_get(F.col("__b"), "$", _MAP)),
-        }
+    kept = [c for c in df.columns if c not in (before, after)]
+    parsed = (
+        spread(df)
+        .select(*kept, parse_json(before).alias("__x"), parse_json(after).alias("__y"))
+        .where("__x IS NOT NULL AND __y IS NOT NULL")
     )
-
-    def entry(key):
-        a, b = F.col("__ma")[key], F.col("__mb")[key]
-        in_a, in_b = F.map_contains_key("__ma", key), F.map_contains_key("__mb", key)
-        return F.struct(
-            F.when(F.col("__path") == "", key).otherwise(F.concat("__path", F.lit("."), key)).alias("__path"),
-            a.alias("__a"),
-            b.alias("__b"),
-            (in_a & in_b).alias("__open"),
-            F.when(~in_a, "added").when(~in_b, "removed").alias("change"),
-        )
-
-    # keys with equal values on both sides are left here by the final filter
-    keys = F.array_union(F.map_keys("__ma"), F.map_keys("__mb"))
-    same = F.array(F.struct("__path", "__a", "__b", F.lit(False).alias("__open"), "change"))
-    parts = F.when(F.col("__split"), F.transform(keys, entry)).otherwise(same)
-    return wide.select(*columns, F.explode(parts).alias("__e")).select(*columns, "__e.*")
+    # one statement, so that the levels are analyzed once and not once per step
+    columns = "".join(f"`{c}`, " for c in kept)
+    root = _pair("''", "__x", "__y")
+    levels = [f"level0 AS (SELECT {columns} inline(array({root})) FROM {{parsed}})"]
+    pair = _pair(_KEY_PATH, "__ma[k]", "__mb[k]")
+    for i in range(max_depth):
+        body = _LEVEL.format(columns=columns, pair=pair, path=_KEY_PATH, below=i)
+        levels.append(f"level{i + 1} AS ({body})")
+    change = "IF(__open, IF(to_json(__a) <> to_json(__b), 'modified', NULL), change)"
+    query = f"""
+        WITH {", ".join(levels)}, done AS (
+          SELECT {columns} IF(__path = '', '$', __path) AS path, {change} AS change FROM level{max_depth})
+        SELECT * FROM done WHERE change IS NOT NULL"""
+    return df.sparkSession.sql(query, parsed=parsed)
 
 
 def json_parseable(before: str, after: str) -> Column:

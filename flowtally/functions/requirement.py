@@ -8,7 +8,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowtally.functions.scalars import SPACE, safe_identifier, strip, valid_cron, valid_table
+from flowtally.functions.scalars import SPACE, safe_identifier, strip
+from flowtally.layout import spread
 
 # Patterns per field, tried in order
 PATTERNS: Mapping[str, Sequence[str]] = {
@@ -61,14 +62,23 @@ CHOICES: Mapping[str, Sequence[str]] = {
 WARN_MISSING = ("env", "schedule", "source_table", "target_table")
 
 
-def _found(text: Column, patterns: Sequence[str]) -> Column:
-    """Group 1 of the first pattern that matches, trimmed; NULL if none or empty."""
-    out = None
-    for pattern in patterns:
-        regex = "(?i)" + pattern
-        hit, value = text.rlike(regex), F.trim(F.regexp_extract(text, regex, 1))
-        out = F.when(hit, value) if out is None else out.when(hit, value)
-    return F.nullif(out, F.lit(""))
+def _captures(text: str) -> dict[str, Column]:
+    """Group 1 of every pattern, each in a column of its own so that it is computed once."""
+    return {
+        f"__{name}_{i}": F.regexp_extract(text, "(?i)" + pattern, 1)
+        for name, patterns in PATTERNS.items()
+        for i, pattern in enumerate(patterns)
+    }
+
+
+def _found(name: str) -> Column:
+    """Capture of the first pattern of a field that matches, trimmed; NULL if none or blank.
+
+    Group 1 holds at least one character in every pattern, so an empty capture
+    means that the pattern does not match.
+    """
+    tries = [F.col(f"__{name}_{i}") for i in range(len(PATTERNS[name]))]
+    return F.nullif(F.trim(F.coalesce(*[F.nullif(c, F.lit("")) for c in tries])), F.lit(""))
 
 
 def extract_spec(
@@ -84,8 +94,9 @@ def extract_spec(
     """
     given = dict(defaults or {})
     clean = F.trim(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), f"[{SPACE}]+", " "))
-    raws = {f"__raw_{name}": _found(F.col("__text"), patterns) for name, patterns in PATTERNS.items()}
-    out = df.withColumn("__text", clean).withColumns(raws)
+    captures = _captures("__text")
+    raws = {f"__raw_{name}": _found(name) for name in PATTERNS}
+    out = spread(df).withColumn("__text", clean).withColumns(captures).withColumns(raws)
 
     fields: dict[str, Column] = {}
     warnings: list[Column] = []
@@ -105,9 +116,9 @@ def extract_spec(
     raw_job = F.coalesce(
         F.col("__raw_job_name"), hint, F.lit(str(given["job_name"]) if given.get("job_name") else None).cast("string")
     )
-    fields["job_name"] = safe_identifier(raw_job, "job")
-    warn(raw_job.isNull(), "job_name.missing")
-    warn(raw_job.isNotNull() & (fields["job_name"] != strip(raw_job)), "job_name.sanitized")
+    out = out.withColumns({"__job": raw_job, "job_name": safe_identifier(raw_job, "job")})
+    warn(F.col("__job").isNull(), "job_name.missing")
+    warn(F.col("__job").isNotNull() & (F.col("job_name") != strip("__job")), "job_name.sanitized")
 
     for name, fallback in DEFAULTS.items():
         raw = F.col(f"__raw_{name}")
@@ -121,12 +132,12 @@ def extract_spec(
             raw = F.lower(raw)
         if name == "schedule":
             value = " ".join(value.split()) if len(value.split()) == 5 else fallback
-            warn(raw.isNotNull() & ~valid_cron(raw), "schedule.invalid")
-            raw = F.when(valid_cron(raw), raw)
-        if name in ("source_table", "target_table"):
-            if not _is_table(value):
-                value = fallback
-            raw = F.when(valid_table(raw), raw)
+            # white space is single blanks by now
+            five = F.size(F.split(raw, " ")) == 5
+            warn(raw.isNotNull() & ~five, "schedule.invalid")
+            raw = F.when(five, raw)
+        if name in ("source_table", "target_table") and not _is_table(value):
+            value = fallback
         if name in WARN_MISSING and name not in given:
             warn(F.col(f"__raw_{name}").isNull(), f"{name}.missing")
         fields[name] = F.coalesce(raw, F.lit(value))
@@ -134,7 +145,7 @@ def extract_spec(
     fields["warnings"] = F.array_compact(F.array(*warnings))
     out = out.withColumns(fields)
     confidence = F.greatest(F.lit(0.5), F.least(F.lit(1.0), F.round(1.0 - 0.1 * F.size("warnings"), 2)))
-    return out.withColumn("confidence", confidence).drop("__text", *raws)
+    return out.withColumn("confidence", confidence).drop("__text", "__job", *captures, *raws)
 
 
 def _is_table(value: str) -> bool:

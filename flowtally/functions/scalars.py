@@ -80,9 +80,10 @@ def month_key(ts: Column | str) -> Column:
 
 def parse_iso_utc(s: Column | str) -> Column:
     """ISO-8601 text to TIMESTAMP, NULL when unparseable; no offset means UTC."""
-    text = strip(s)
+    # Spark wants the seconds
+    text = F.regexp_replace(strip(s), "([T ][0-9]{2}:[0-9]{2})(Z|[+-][0-9]{2}:[0-9]{2})?$", "$1:00$2")
     date = "[0-9]{4}-[0-9]{2}-[0-9]{2}"
-    time = "[T ][0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]{1,6})?)?"
+    time = "[T ][0-9]{2}:[0-9]{2}:[0-9]{2}([.][0-9]{1,6})?"
     zone = "(Z|[+-][0-9]{2}:[0-9]{2})"
     full = (
         F.when(text.rlike(f"^{date}{time}{zone}$"), text)

@@ -1,0 +1,18 @@
+"""Spreading small inputs over the cluster."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Repartition an input that comes from fewer files than there are cores.
+
+    A file with one row group is read by one task, which is too few for work
+    that is heavy per row.  Inputs of many files are left alone, so large
+    tables are not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    # the count only; a large table has too many paths to bring to Python
+    files = len(df._jdf.inputFiles())
+    return df.repartition(cores) if 0 < files < cores else df

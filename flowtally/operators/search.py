@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowtally.layout import spread
 from flowtally.operators.ordered import top_k_per_group
 
 # A task holds one block of queries and one slice of documents
@@ -144,7 +145,7 @@ def _by_broadcast(q: DataFrame, d: DataFrame, k: int, schema: str) -> DataFrame:
             _score(batch, postings, sizes, best)
         yield _result(best, block.value)
 
-    return d.mapInPandas(run, schema)
+    return spread(d).mapInPandas(run, schema)
 
 
 def _by_blocks(q: DataFrame, d: DataFrame, k: int, schema: str, blocks: int, slice_chars: int) -> DataFrame:
