@@ -7,35 +7,38 @@ from pyspark.sql import Column, DataFrame
 from flowtally.functions.scalars import parse_json
 from flowtally.layout import spread
 
-# Two values at a path: still open if both are objects, else compared
-_PAIR = """named_struct(
-  '__path', {path},
-  '__a', IF({both}, {a}, NULL),
-  '__b', IF({both}, {b}, NULL),
-  '__open', {both},
-  'change', IF(NOT {both} AND to_json({a}) <> to_json({b}), 'modified', NULL))"""
-_BOTH = "(schema_of_variant({a}) LIKE 'OBJECT%' AND schema_of_variant({b}) LIKE 'OBJECT%')"
-_KEY_PATH = "IF(__path = '', k, concat(__path, '.', k))"
+# The keys of a value if it is an object, else NULL
+_KEYS = "try_variant_get({v}, '$', 'map<string,variant>')"
+
+# Two values of one key: open if both are objects, else compared
+_SETTLE = """named_struct(
+  '__path', {path}, '__a', s.a, '__b', s.b, '__ma', s.ma, '__mb', s.mb,
+  '__open', s.in_a AND s.in_b AND s.ma IS NOT NULL AND s.mb IS NOT NULL,
+  'change', CASE WHEN NOT s.in_a THEN 'added' WHEN NOT s.in_b THEN 'removed'
+                 WHEN (s.ma IS NULL OR s.mb IS NULL) AND to_json(s.a) <> to_json(s.b) THEN 'modified' END)"""
+
+_ROOT = """
+SELECT {columns} inline(transform(array(named_struct(
+  'in_a', true, 'in_b', true, 'a', __x, 'b', __y, 'ma', {keys_x}, 'mb', {keys_y})), s -> {settle}))
+FROM {{parsed}}
+"""
 
 # Replace open pairs by the pairs of their keys; settled rows pass through
 _LEVEL = """
 SELECT {columns} inline(IF(__open,
-  filter(transform(array_union(map_keys(__ma), map_keys(__mb)), k ->
-    IF(map_contains_key(__ma, k) AND map_contains_key(__mb, k),
-       {pair},
-       named_struct('__path', {path}, '__a', CAST(NULL AS VARIANT), '__b', CAST(NULL AS VARIANT), '__open', false,
-                    'change', IF(map_contains_key(__ma, k), 'removed', 'added')))),
+  filter(
+    transform(
+      transform(array_union(map_keys(__ma), map_keys(__mb)), k -> named_struct(
+        'k', k, 'in_a', map_contains_key(__ma, k), 'in_b', map_contains_key(__mb, k),
+        'a', __ma[k], 'b', __mb[k], 'ma', {keys_a}, 'mb', {keys_b})),
+      s -> {settle}),
     e -> e.__open OR e.change IS NOT NULL),
-  array(named_struct('__path', __path, '__a', __a, '__b', __b, '__open', __open, 'change', change))))
-FROM (SELECT *, try_variant_get(__a, '$', 'map<string,variant>') AS __ma,
-                try_variant_get(__b, '$', 'map<string,variant>') AS __mb FROM level{below})
+  array(named_struct('__path', __path, '__a', __a, '__b', __b, '__ma', __ma, '__mb', __mb,
+                     '__open', __open, 'change', change))))
+FROM level{below}
 """
 
 
-def _pair(path: str, a: str, b: str) -> str:
-    return _PAIR.format(path=path, a=a, b=b, both=_BOTH.format(a=a, b=b))
-
-
 def json_diff(df: DataFrame, before: str, after: str, max_depth: int = 8) -> DataFrame:
     """One row per differing key path: the other input columns, ``path`` and ``change``.
 
@@ -54,11 +57,21 @@ def json_diff(df: DataFrame, before: str, after: str, max_depth: int = 8) -> Dat
     )
     # one statement, so that the levels are analyzed once and not once per step
     columns = "".join(f"`{c}`, " for c in kept)
-    root = _pair("''", "__x", "__y")
-    levels = [f"level0 AS (SELECT {columns} inline(array({root})) FROM {{parsed}})"]
-    pair = _pair(_KEY_PATH, "__ma[k]", "__mb[k]")
+    root = _ROOT.format(
+        columns=columns,
+        keys_x=_KEYS.format(v="__x"),
+        keys_y=_KEYS.format(v="__y"),
+        settle=_SETTLE.format(path="''"),
+    )
+    levels = [f"level0 AS ({root})"]
     for i in range(max_depth):
-        body = _LEVEL.format(columns=columns, pair=pair, path=_KEY_PATH, below=i)
+        body = _LEVEL.format(
+            columns=columns,
+            keys_a=_KEYS.format(v="__ma[k]"),
+            keys_b=_KEYS.format(v="__mb[k]"),
+            settle=_SETTLE.format(path="IF(__path = '', s.k, concat(__path, '.', s.k))"),
+            below=i,
+        )
         levels.append(f"level{i + 1} AS ({body})")
     change = "IF(__open, IF(to_json(__a) <> to_json(__b), 'modified', NULL), change)"
     query = f"""

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from flowtally.lineage import cut
 from flowtally.operators.aggregates import BUDGET_WARN_RATIO
 from flowtally.operators.lookups import with_budget
-from flowtally.skew import MIN_ROWS, PARTS, with_previous, with_running
+from flowtally.skew import MIN_ROWS, NEVER, PARTS, hot_keys, with_previous, with_running
 
 _GROUP = ["tenant", "month"]
 MICROS = 1_000_000
@@ -105,7 +105,9 @@ def budget_admission(
     )
     open_rows = rows.where(~F.col("__refused"))
 
-    split = dict(min_rows=min_rows, parts=parts)
+    # no entry can hold more rows than its tenant and month, so one count may do for both
+    calm = hot_keys(open_rows, _GROUP, order, min_rows=min_rows, parts=parts) is None
+    split = dict(min_rows=NEVER if calm else min_rows, parts=parts)
     known = with_previous(open_rows, [*_GROUP, "entry_id", "__writes"], [order], {"__prev": "__cost"}, **split)
     delta = F.when(F.col("__writes"), F.col("__cost") - F.coalesce("__prev", "__own", zero)).otherwise(zero)
     summed = with_running(known.withColumn("__d", delta), _GROUP, [order], {"__after": "__d"}, **split)

@@ -23,6 +23,8 @@ from pyspark.sql import types as T
 
 PARTS = 1000
 MIN_ROWS = 10_000
+# as min_rows: the caller knows that no key is hot, so nothing is counted
+NEVER = 2**62
 
 CHUNK = "__chunk"
 HOT = "__hot"
@@ -59,6 +61,8 @@ def hot_keys(
     parts: int = PARTS,
 ) -> DataFrame | None:
     """Keys with more than max(``min_rows``, 1/``parts``) of the rows, with chunk origin and width; None if none."""
+    if min_rows >= NEVER:
+        return None
     point = _ordinal(df, order)
     seen = Observation()
     counted = (
