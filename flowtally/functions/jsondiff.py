@@ -50,11 +50,9 @@ def json_diff(df: DataFrame, before: str, after: str, max_depth: int = 8) -> Dat
     valid JSON give nothing; ``json_parseable`` tells them apart.
     """
     kept = [c for c in df.columns if c not in (before, after)]
-    parsed = (
-        spread(df)
-        .select(*kept, parse_json(before).alias("__x"), parse_json(after).alias("__y"))
-        .where("__x IS NOT NULL AND __y IS NOT NULL")
-    )
+    # a side that is NULL compares to NULL and drops out at the end; a filter
+    # here would be pushed below the projection and parse everything twice
+    parsed = spread(df).select(*kept, parse_json(before).alias("__x"), parse_json(after).alias("__y"))
     # one statement, so that the levels are analyzed once and not once per step
     columns = "".join(f"`{c}`, " for c in kept)
     root = _ROOT.format(

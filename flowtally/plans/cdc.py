@@ -29,6 +29,6 @@ def cdc_apply(
     Deletes of absent keys do nothing, and ``op_col`` is not stored.
     """
     last = latest_changes(changes, keys, order)
-    kept = target.join(last.select(*keys), list(keys), "left_anti").select(*target.columns)
+    kept = target.join(changes.select(*keys).distinct(), list(keys), "left_anti").select(*target.columns)
     upserts = last.where(F.coalesce(F.col(op_col) != "D", F.lit(True)))
     return kept.unionByName(upserts.select(*target.columns))

@@ -94,7 +94,8 @@ def merge_upsert(
 ) -> DataFrame:
     """The target after an upsert: matched rows replaced, new rows inserted, the rest kept."""
     new = unique_source(source, keys, order_by)
-    kept = target.join(new.select(*keys), list(keys), "left_anti")
+    # the bare keys do for the anti join; distinct keeps a repeated key from piling up
+    kept = target.join(source.select(*keys).distinct(), list(keys), "left_anti")
     return kept.select(*target.columns).unionByName(new.select(*target.columns))
 
 
