@@ -280,3 +280,29 @@ def test_search(spark):
     # more queries than one block: the same answer from blocks and slices
     assert rows(text_search(q, d, 2, block_queries=2, slice_chars=20).select("query_id", "doc_id", "score")) == want
     assert text_search(q, d, 0).where("query_id = 1").count() == 1
+
+
+def test_latest_files(spark):
+    files = spark.createDataFrame(
+        [("a", "2024-01-01"), ("b", "2024-01-03"), ("c", "2024-01-03"), ("d", "2024-01-02")], "file_name string, d string"
+    ).select("file_name", F.col("d").cast("timestamp").alias("modified_at"))
+    assert [r.file_name for r in O.latest_files(files, 3).collect()] == ["b", "c", "d"]
+    assert O.latest_files(files, 0).count() == 1
+
+
+@pytest.mark.parametrize("min_rows", [10, 10_000])
+def test_hot_jobs_match_plain_windows(spark, min_rows):
+    from pyspark.sql import Window
+
+    states = F.array(*[F.lit(s) for s in ("DRAFT", "PLAN_READY", "PRECHECK_PASSED", "APPLIED", "RUNNING")])
+    e = spark.range(300).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("j"), F.col("id") % 20)).alias("job_name"),
+        F.col("id").alias("seq"),
+        F.get(states, F.col("id").cast("int") % 5).alias("state"),
+    )
+    w = Window.partitionBy("job_name").orderBy("seq")
+    got = O.check_transitions(e, order=["seq"], min_rows=min_rows, parts=50)
+    want = e.select("seq", F.lag("state").over(w).alias("previous_state"))
+    assert rows(got.select("seq", "previous_state")) == rows(want)
+    legal = want.join(e, "seq").select("seq", F.coalesce(O.transition_legal("previous_state", "state"), F.lit(True)).alias("legal"))
+    assert rows(got.select("seq", "legal")) == rows(legal)
