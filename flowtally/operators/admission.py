@@ -8,7 +8,9 @@ It still is one up to the first block: before it everything was admitted.
 That head is computed with ordinary running sums, hot tenants in chunks.
 After the first block most requests are too large for whatever can be left of
 the budget, however the others turn out; those are blocked without order.
-What remains is folded in order.  Amounts are whole millionths of a dollar, so
+What remains is the same question again, with what is left of the budget: for
+a hot tenant it goes through further rounds, and when no tenant and month is
+hot any more it is folded in order.  Amounts are whole millionths of a dollar, so
 sums do not depend on how rows are cut.
 """
 
@@ -27,6 +29,8 @@ from flowtally.skew import MIN_ROWS, NEVER, PARTS, hot_keys, with_previous, with
 
 _GROUP = ["tenant", "month"]
 MICROS = 1_000_000
+# rounds for hot tenants; what is open after the last one is folded whatever its size
+ROUNDS = 4
 
 
 def _micros(name: str):
@@ -47,16 +51,16 @@ def _fold(warn: float):
         for batch in batches:
             cols = [
                 batch.column(n).to_pylist()
-                for n in ("tenant", "month", "entry_id", "__cost", "__writes", "__limit", "__spent0", "__carried")
+                for n in ("tenant", "month", "entry_id", "__cost", "__writes", "__limit", "__base", "__own")
             ]
             out = []
-            for tenant, month, entry, cost, writes, limit, spent0, carried in zip(*cols, strict=True):
+            for tenant, month, entry, cost, writes, limit, base, own in zip(*cols, strict=True):
                 if group != (tenant, month):
-                    group, spent, changed = (tenant, month), spent0, {}
+                    group, spent, changed = (tenant, month), base, {}
                 decision = _decision(spent, cost, limit, warn)
                 out.append(decision)
                 if writes and decision != "BLOCK":
-                    spent += cost - changed.get(entry, carried)
+                    spent += cost - changed.get(entry, own or 0)
                     changed[entry] = cost
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(out, type=pa.string())], names=[*batch.schema.names, "decision"]
@@ -74,6 +78,7 @@ def budget_admission(
     default_limit: float | None = None,
     warn_ratio: float = BUDGET_WARN_RATIO,
     *,
+    rounds: int = ROUNDS,
     min_rows: int = MIN_ROWS,
     parts: int = PARTS,
 ) -> DataFrame:
@@ -103,12 +108,38 @@ def budget_admission(
             "__limit": _micros("limit_usd"),
         }
     )
-    open_rows = rows.where(~F.col("__refused"))
+    closed = rows.where(F.col("__refused")).withColumn("decision", F.lit("BLOCK"))
+    parts_out = [closed]
+    carried_columns = [*columns, "__cost", "__writes", "__limit", "__base", "__own"]
+    current = rows.where(~F.col("__refused")).select(*carried_columns)
+    for turn in range(max(1, rounds)):
+        # no entry can hold more rows than its tenant and month, so one count does for both
+        calm = hot_keys(current, _GROUP, order, min_rows=min_rows, parts=parts) is None
+        head, lost, unsure = _round(current, order, warn_ratio, NEVER if calm else min_rows, parts)
+        parts_out += [head, lost]
+        if calm or turn >= rounds - 1:
+            break
+        current = cut(unsure.select(*carried_columns))
+    ready = unsure.repartition(*_GROUP).sortWithinPartitions(*_GROUP, order)
+    parts_out.append(ready.mapInArrow(_fold(float(warn_ratio)), ready.withColumn("decision", F.lit("")).schema))
+    out = None
+    for part in parts_out:
+        one = part.select(*columns, "decision")
+        out = one if out is None else out.unionByName(one)
+    return out
+
 
-    # no entry can hold more rows than its tenant and month, so one count may do for both
-    calm = hot_keys(open_rows, _GROUP, order, min_rows=min_rows, parts=parts) is None
-    split = dict(min_rows=NEVER if calm else min_rows, parts=parts)
-    known = with_previous(open_rows, [*_GROUP, "entry_id", "__writes"], [order], {"__prev": "__cost"}, **split)
+def _round(
+    rows: DataFrame, order: str, warn_ratio: float, min_rows: int, parts: int
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Split open requests into admitted ones, hopeless ones and the rest.
+
+    The rest comes with ``__base`` and ``__own`` as they are after the admitted
+    ones: spend of its tenant and month, and estimate of its entry.
+    """
+    zero = F.lit(0).cast("bigint")
+    split = dict(min_rows=min_rows, parts=parts)
+    known = with_previous(rows, [*_GROUP, "entry_id", "__writes"], [order], {"__prev": "__cost"}, **split)
     delta = F.when(F.col("__writes"), F.col("__cost") - F.coalesce("__prev", "__own", zero)).otherwise(zero)
     summed = with_running(known.withColumn("__d", delta), _GROUP, [order], {"__after": "__d"}, **split)
     summed = summed.withColumn("__before", F.col("__base") + F.col("__after") - F.col("__d"))
@@ -119,7 +150,7 @@ def budget_admission(
     first = (
         summed.where("__over")
         .groupBy(*_GROUP)
-        .agg(F.min(order).alias("__first"), F.min_by("__before", order).alias("__spent0"))
+        .agg(F.min(order).alias("__first"), F.min_by("__before", order).alias("__spent"))
     )
     marked = summed.join(first, _GROUP, "left")
     late = F.col("__first").isNotNull()
@@ -154,20 +185,11 @@ def budget_admission(
     lost = tail.where("__hopeless").withColumn("decision", F.lit("BLOCK"))
     unsure = (
         tail.where(~F.col("__hopeless"))
-        .join(entries.select(*_GROUP, "entry_id", "__carried"), [*_GROUP, "entry_id"], "left")
-        .fillna({"__carried": 0})
-        .select(*columns, "__cost", "__writes", "__limit", "__spent0", "__carried")
-        .repartition(*_GROUP)
-        .sortWithinPartitions(*_GROUP, order)
-    )
-    folded = unsure.mapInArrow(
-        _fold(float(warn_ratio)), unsure.withColumn("decision", F.lit("").cast("string")).schema
+        .drop("__base", "__own")
+        .join(entries.select(*_GROUP, "entry_id", F.col("__carried").alias("__own")), [*_GROUP, "entry_id"], "left")
+        .withColumnRenamed("__spent", "__base")
     )
-    closed = rows.where(F.col("__refused")).withColumn("decision", F.lit("BLOCK"))
-    out = closed.select(*columns, "decision")
-    for part in (head, lost, folded):
-        out = out.unionByName(part.select(*columns, "decision"))
-    return out
+    return head, lost, unsure.select(*rows.columns)
 
 
 def admitted_entries(decisions: DataFrame, order: str = "seq") -> DataFrame:

@@ -7,10 +7,12 @@ are cut into chunks along their order column: windows run per (key, chunk),
 and what has to cross a chunk border travels in a small table.
 
 The count comes back to the driver as at most ``parts`` rows, because no more
-keys can hold that share.  Hot keys make at most ``2 * parts`` chunks together,
-which bounds every table broadcast below.  Chunks follow from integer
-arithmetic on those counts, so a task that runs again after an executor loss
-computes the same ones.
+keys can hold that share.  Chunk borders are quantiles of the order column, so
+chunks hold about equally many rows however the rows lie in time.  Hot keys
+make at most ``2 * parts`` chunks together, which bounds every table broadcast
+below.  Borders are fixed before the job is planned, so a task that runs again
+after an executor loss sees the same chunks.  Rows of a key that share one
+value of the first order column stay in one chunk.
 """
 
 from __future__ import annotations
@@ -60,31 +62,41 @@ def hot_keys(
     min_rows: int = MIN_ROWS,
     parts: int = PARTS,
 ) -> DataFrame | None:
-    """Keys with more than max(``min_rows``, 1/``parts``) of the rows, with chunk origin and width; None if none."""
+    """Keys with more than max(``min_rows``, 1/``parts``) of the rows, with chunk borders; None if none."""
     if min_rows >= NEVER:
         return None
     point = _ordinal(df, order)
     seen = Observation()
     counted = (
         df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("__n"), F.min(point).alias("__lo"), F.max(point).alias("__hi"))
+        .agg(F.count(F.lit(1)).alias("__n"), F.min(point).alias("__lo"))
         .observe(seen, F.sum("__n").alias("total"))
     )
     largest = counted.where(F.col("__n") > int(min_rows)).orderBy(F.col("__n").desc()).limit(int(parts)).collect()
     if not largest:
         return None
     floor = max(int(min_rows), seen.get["total"] // int(parts))
-    rows = []
-    for row in largest:
-        *key, n, lo, hi = row
-        if n > floor and lo is not None:
-            # ceil(n / floor) chunks of equal width
-            rows.append((*key, lo, max(1, (hi - lo) // -(-n // floor) + 1)))
-    if not rows:
+    names = [f"__carry_key{i}" for i in range(len(keys))]
+    fields = [T.StructField(n, df.schema[k].dataType) for n, k in zip(names, keys, strict=True)]
+    # (key, number of chunks)
+    hot = [(*row[:-2], -(-row[-2] // floor)) for row in largest if row[-2] > floor and row[-1] is not None]
+    if not hot:
         return None
-    fields = [T.StructField(f"__carry_key{i}", df.schema[k].dataType) for i, k in enumerate(keys)]
-    fields += [T.StructField("__lo", T.LongType()), T.StructField("__width", T.LongType())]
-    return df.sparkSession.createDataFrame(rows, T.StructType(fields))
+    session = df.sparkSession
+    wanted = session.createDataFrame(hot, T.StructType([*fields, T.StructField("__chunks", T.LongType())]))
+    most = max(row[-1] for row in hot)
+    quantiles = F.percentile_approx(point, [i / most for i in range(1, most)], 10_000)
+    found = (
+        df.join(F.broadcast(wanted), _same_keys(keys, names))
+        .groupBy(*names)
+        .agg(F.max("__chunks").alias("__chunks"), quantiles.alias("__q"))
+        .collect()
+    )
+    rows = []
+    for *key, chunks, values in found:
+        picked = [values[i * most // chunks - 1] for i in range(1, chunks)]
+        rows.append((*key, sorted(set(picked))))
+    return session.createDataFrame(rows, T.StructType([*fields, T.StructField("__borders", T.ArrayType(T.LongType()))]))
 
 
 def with_chunk(
@@ -101,11 +113,12 @@ def with_chunk(
         return None
     names = [f"__carry_key{i}" for i in range(len(keys))]
     joined = df.withColumn("__point", _ordinal(df, order)).join(F.broadcast(hot), _same_keys(keys, names), "left")
-    chunk = F.coalesce(F.expr("(__point - __lo) div __width"), F.lit(-1).cast("bigint"))
+    # borders at or below the row; a NULL lies below all
+    chunk = F.size(F.filter("__borders", lambda b: b <= F.col("__point"))).cast("bigint")
     return (
-        joined.withColumn(HOT, F.col("__width").isNotNull())
+        joined.withColumn(HOT, F.col("__borders").isNotNull())
         .withColumn(CHUNK, F.when(F.col(HOT), chunk).otherwise(F.lit(0).cast("bigint")))
-        .drop("__point", "__lo", "__width", *names)
+        .drop("__point", "__borders", *names)
     )
 
 

@@ -126,6 +126,7 @@ def test_admission_matches_a_fold(spark, repeat, min_rows, seed):
         spark.createDataFrame(list(limits.items()), "tenant string, limit_usd double"),
         spark.createDataFrame(ledger, "tenant string, month string, entry_id string, estimated_cost_usd double"),
         blocked="refused",
+        rounds=2,
         min_rows=min_rows,
     )
     assert rows(got.select("seq", "decision")) == rows(
