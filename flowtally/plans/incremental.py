@@ -7,6 +7,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowtally.plans.presets import preset_dedup
 from flowtally.plans.spec import IncrementalSpec
@@ -15,12 +16,19 @@ from flowtally.plans.spec import IncrementalSpec
 def incremental_filter(source: DataFrame, target: DataFrame, watermark_col: str) -> DataFrame:
     """Source rows strictly newer than the target; an empty target takes all.
 
-    The maximum is a scalar subquery, so no join is planned.
+    The target's maximum is read first, one value, and becomes a literal: the
+    filter then reaches the scan of the source and prunes its partitions.
     """
     if not watermark_col:
         raise ValueError("watermark column must be provided")
-    high = target.agg(F.max(watermark_col).alias("high")).scalar()
-    return source.where(high.isNull() | (F.col(watermark_col) > high))
+    kind = target.schema[watermark_col].dataType
+    highest = F.max(watermark_col)
+    # text and microseconds come back exactly, whatever the zone of the driver
+    instant = isinstance(kind, T.TimestampType)
+    high = target.agg(F.unix_micros(highest) if instant else highest.cast("string")).first()[0]
+    if high is None:
+        return source
+    return source.where(F.col(watermark_col) > (F.timestamp_micros(F.lit(high)) if instant else F.lit(high).cast(kind)))
 
 
 def backfill_window(df: DataFrame, start: Any, end: Any, partition_col: str) -> DataFrame:

@@ -111,6 +111,13 @@ def test_incremental(spark):
     assert loaded.count() == 3
     again = incremental_load(loaded, source, IncrementalSpec("w"))
     assert rows(again) == rows(loaded)
+    for kind in ("timestamp", "timestamp_ntz", "date", "string", "double", "decimal(12,3)"):
+        values = ["2024-03-31 02:30:00.123456", "2024-10-27 02:30:00"] if kind != "date" else ["2024-03-31", "2024-10-27"]
+        if kind in ("double", "decimal(12,3)"):
+            values = ["0.1", "0.3"]
+        t = spark.createDataFrame([(v,) for v in values], "w string").select(F.col("w").cast(kind).alias("w"))
+        assert rows(incremental_filter(t, t.orderBy("w").limit(1), "w")) == rows(t.orderBy(F.desc("w")).limit(1))
+        assert incremental_filter(t, t, "w").count() == 0
     with pytest.raises(ValueError):
         IncrementalSpec("")
     assert rows(backfill_window(target.union(source), 10, 20, "w").select("w").distinct()) == [(10,), (20,)]
