@@ -1,6 +1,6 @@
 """All registered queries of this subpackage."""
 
-from flowtally.llm import bpe, langid, quality_rules, secrets, simhash
+from flowtally.llm import bpe, langid, mixing, quality_rules, secrets, simhash
 from flowtally.llm.base import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "bpe", "langid", "quality_rules", "secrets", "simhash"]
+__all__ = ["QUERIES", "SQL", "bpe", "langid", "mixing", "quality_rules", "secrets", "simhash"]
