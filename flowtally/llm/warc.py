@@ -23,6 +23,8 @@ from flowtally.lineage import cut, new_folder
 from flowtally.llm.base import query, table
 
 CHUNK = 1 << 20
+# bytes read from an archive at once; small, as the rest of a piece is handed on at each member's end
+PIECE = 1 << 15
 # a header block longer than this is not a WARC header
 MAX_HEADER = 1 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -137,14 +139,17 @@ class _Stream:
     def _more(self) -> bool:
         """Fetch the next stretch; False at the end."""
         while True:
-            if self.packed is not None and self.packed.unconsumed_tail:
-                raw = self.packed.unconsumed_tail
-            elif self.packed is not None and self.packed.eof and self.packed.unused_data:
+            if self.packed is not None and self.packed.eof and self.packed.unused_data:
                 raw, self.packed = self.packed.unused_data, zlib.decompressobj(31)
+            elif self.packed is not None and not self.packed.eof and self.packed.unconsumed_tail:
+                raw = self.packed.unconsumed_tail
             else:
-                raw = self.source.read(CHUNK)
+                raw = self.source.read(PIECE)
                 if not raw:
-                    return False
+                    # what the decoder still holds
+                    rest = self.packed.decompress(b"", CHUNK) if self.packed is not None and not self.packed.eof else b""
+                    self.buffer += rest
+                    return bool(rest)
                 if self.packed is None and not self.ended:
                     self.ended = True
                     self.packed = zlib.decompressobj(31) if raw[:2] == b"\x1f\x8b" else None
