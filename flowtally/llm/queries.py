@@ -1,6 +1,6 @@
 """All registered queries of this subpackage."""
 
-from flowtally.llm import bpe, langid, mixing, quality_rules, secrets, simhash, warc
+from flowtally.llm import ann, bpe, chat, langid, mixing, quality_rules, repeats, secrets, simhash, warc
 from flowtally.llm.base import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "bpe", "langid", "mixing", "quality_rules", "secrets", "simhash", "warc"]
+__all__ = ["QUERIES", "SQL", "ann", "bpe", "chat", "langid", "mixing", "quality_rules", "repeats", "secrets", "simhash", "warc"]
