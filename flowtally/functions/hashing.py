@@ -24,7 +24,7 @@ def change_hash(columns: Sequence[str], compat: bool = False) -> Column:
     MD5 of the values joined by a bar; one NULL makes the whole hash NULL.
     """
     if not columns:
-        raise ValueError("change detection columns cannot be empty")
+        raise ValueError("name at least one column to compare")
     if not compat:
         packed = F.struct(*[F.col(c) for c in columns])
         return F.sha2(F.to_json(packed, {"ignoreNullFields": "false"}), 256)

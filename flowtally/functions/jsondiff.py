@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from flowtally.functions.scalars import parse_json
-from flowtally.layout import spread
 
 # The keys of a value if it is an object, else NULL
 _KEYS = "try_variant_get({v}, '$', 'map<string,variant>')"
@@ -15,7 +15,7 @@ _SETTLE = """named_struct(
   '__path', {path}, '__a', s.a, '__b', s.b, '__ma', s.ma, '__mb', s.mb,
   '__open', s.in_a AND s.in_b AND s.ma IS NOT NULL AND s.mb IS NOT NULL,
   'change', CASE WHEN NOT s.in_a THEN 'added' WHEN NOT s.in_b THEN 'removed'
-                 WHEN (s.ma IS NULL OR s.mb IS NULL) AND to_json(s.a) <> to_json(s.b) THEN 'modified' END)"""
+                 WHEN (s.ma IS NULL OR s.mb IS NULL) AND {differs} THEN 'modified' END)"""
 
 _ROOT = """
 SELECT {columns} inline(transform(array(named_struct(
@@ -39,44 +39,86 @@ FROM level{below}
 """
 
 
-def json_diff(df: DataFrame, before: str, after: str, max_depth: int = 8) -> DataFrame:
+_LEVELS = 4
+_NUMBER = "schema_of_variant({v}) RLIKE '^(BIGINT|DOUBLE|DECIMAL)'"
+_PLAIN = "regexp_replace(regexp_replace(to_json({v}), '([.][0-9]*?)0+$', '$1'), '[.]$', '')"
+
+
+def _differs(a: str, b: str, lists: int = 2) -> str:
+    """SQL that is true for two different values.
+
+    Numbers are equal by value: a number with an exponent or many digits is a
+    double and compared as one, others digit by digit without trailing zeros.
+    Lists are compared item by item, lists in them as well; what objects
+    inside a list hold is compared as text.
+    """
+    numbers = f"{_NUMBER.format(v=a)} AND {_NUMBER.format(v=b)}"
+    doubles = f"NOT (try_variant_get({a}, '$', 'double') <=> try_variant_get({b}, '$', 'double'))"
+    exact = f"(schema_of_variant({a}) <> 'DOUBLE' AND schema_of_variant({b}) <> 'DOUBLE' AND {_PLAIN.format(v=a)} <> {_PLAIN.format(v=b)})"
+    cases = f"WHEN {numbers} THEN {doubles} OR {exact}"
+    if lists:
+        one, two = (f"try_variant_get({v}, '$', 'array<variant>')" for v in (a, b))
+        p, q = f"p{lists}", f"q{lists}"
+        # a JSON null in a list is a NULL item
+        items = f"CASE WHEN {p} IS NULL OR {q} IS NULL THEN {p} IS NOT NULL OR {q} IS NOT NULL ELSE {_differs(p, q, lists - 1)} END"
+        found = f"exists(zip_with({one}, {two}, ({p}, {q}) -> {items}), x -> x)"
+        cases += f" WHEN {one} IS NOT NULL AND {two} IS NOT NULL THEN size({one}) <> size({two}) OR {found}"
+    return f"(CASE WHEN to_json({a}) = to_json({b}) THEN false {cases} ELSE to_json({a}) <> to_json({b}) END)"
+
+
+def object_depth(text: Column | str) -> Column:
+    """How deeply objects are nested in a JSON text; braces inside strings don't count."""
+    text = F.col(text) if isinstance(text, str) else text
+    bare = F.regexp_replace(text, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', "")
+    braces = F.split(F.regexp_replace(bare, "[^{}]+", ""), "")
+
+    def step(s, c):
+        now = s["now"] + F.when(c == "{", 1).when(c == "}", -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(s["most"], now).alias("most"))
+
+    return F.aggregate(braces, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step, lambda s: s["most"])
+
+
+def json_diff(df: DataFrame, before: str, after: str, depth: int | None = None) -> DataFrame:
     """One row per differing key path: the other input columns, ``path`` and ``change``.
 
     Both documents stay in their row: each level turns two objects into one
     row per key that may differ, so nothing is joined or shuffled.  A subtree
     found on one side only is reported at its top key, lists are compared as a
-    whole, and ``$`` stands for a differing root.  Pairs of objects deeper than
-    ``max_depth`` are compared as a whole.  Rows where a side is missing or no
-    valid JSON give nothing; ``json_parseable`` tells them apart.
+    whole, and ``$`` stands for a differing root.  Objects are followed to any
+    depth: the plan has as many levels as the deepest pair of the data, which a
+    first pass over the texts measures (one number).  A caller who knows a
+    bound passes ``depth`` and saves that pass; a deeper pair then fails the
+    job.  Rows where a side is missing or no valid JSON give nothing;
+    ``json_parseable`` tells them apart.
     """
     kept = [c for c in df.columns if c not in (before, after)]
+    if depth is None:
+        depth = df.agg(F.max(F.least(object_depth(before), object_depth(after)))).first()[0] or 0
     # a side that is NULL compares to NULL and drops out at the end; a filter
     # here would be pushed below the projection and parse everything twice
-    parsed = spread(df).select(*kept, parse_json(before).alias("__x"), parse_json(after).alias("__y"))
-    # one statement, so that the levels are analyzed once and not once per step
+    parsed = df.select(*kept, parse_json(before).alias("__x"), parse_json(after).alias("__y"))
+    # a few levels per statement: one for all would take the analyzer too many rounds, one each analyzes too often
     columns = "".join(f"`{c}`, " for c in kept)
+    differs = _differs("s.a", "s.b")
     root = _ROOT.format(
         columns=columns,
         keys_x=_KEYS.format(v="__x"),
         keys_y=_KEYS.format(v="__y"),
-        settle=_SETTLE.format(path="''"),
+        settle=_SETTLE.format(path="''", differs=differs),
     )
-    levels = [f"level0 AS ({root})"]
-    for i in range(max_depth):
-        body = _LEVEL.format(
-            columns=columns,
-            keys_a=_KEYS.format(v="__ma[k]"),
-            keys_b=_KEYS.format(v="__mb[k]"),
-            settle=_SETTLE.format(path="IF(__path = '', s.k, concat(__path, '.', s.k))"),
-            below=i,
-        )
-        levels.append(f"level{i + 1} AS ({body})")
-    change = "IF(__open, IF(to_json(__a) <> to_json(__b), 'modified', NULL), change)"
-    query = f"""
-        WITH {", ".join(levels)}, done AS (
-          SELECT {columns} IF(__path = '', '$', __path) AS path, {change} AS change FROM level{max_depth})
-        SELECT * FROM done WHERE change IS NOT NULL"""
-    return df.sparkSession.sql(query, parsed=parsed)
+    session = df.sparkSession
+    rows = session.sql(root, parsed=parsed)
+    settle = _SETTLE.format(path="IF(__path = '', s.k, concat(__path, '.', s.k))", differs=differs)
+    keys = {"keys_a": _KEYS.format(v="__ma[k]"), "keys_b": _KEYS.format(v="__mb[k]")}
+    for at in range(0, depth, _LEVELS):
+        count = min(_LEVELS, depth - at)
+        levels = ["level0 AS (SELECT * FROM {rows})"]
+        levels += [f"level{i + 1} AS ({_LEVEL.format(columns=columns, settle=settle, below=i, **keys)})" for i in range(count)]
+        rows = session.sql(f"WITH {', '.join(levels)} SELECT * FROM level{count}", rows=rows)
+    change = F.when(F.col("__open"), F.raise_error(F.lit("json_diff: objects are nested deeper than depth"))).otherwise(F.col("change"))
+    path = F.when(F.col("__path") == "", "$").otherwise(F.col("__path"))
+    return rows.select(*kept, path.alias("path"), change.alias("change")).where(F.col("change").isNotNull())
 
 
 def json_parseable(before: str, after: str) -> Column:

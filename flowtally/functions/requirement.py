@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowtally.functions.scalars import SPACE, safe_identifier, strip
-from flowtally.layout import spread
 
 # Patterns per field, tried in order
 PATTERNS: Mapping[str, Sequence[str]] = {
@@ -96,7 +95,7 @@ def extract_spec(
     clean = F.trim(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), f"[{SPACE}]+", " "))
     captures = _captures("__text")
     raws = {f"__raw_{name}": _found(name) for name in PATTERNS}
-    out = spread(df).withColumn("__text", clean).withColumns(captures).withColumns(raws)
+    out = df.withColumn("__text", clean).withColumns(captures).withColumns(raws)
 
     fields: dict[str, Column] = {}
     warnings: list[Column] = []

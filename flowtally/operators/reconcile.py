@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from flowtally.functions.hashing import change_hash
 from flowtally.functions.scalars import SPACE, scope_for_path, strip
@@ -22,20 +23,40 @@ MANIFEST_NAME = "packaging_manifest.json"
 def _stack(sides: Mapping[str, DataFrame], keys: Sequence[str], values: Sequence[str]) -> DataFrame:
     """One row per key with ``<side>_<value>`` columns and an ``in_<side>`` flag.
 
-    A key that occurs several times on a side counts once, with the largest
-    values.
+    Rows of a key are compared as a multiset.  Rows that agree give their value.
+    Where strings of one side differ, the value is a hash of all of them (their
+    number, the sum of their hashes, the smallest and the largest), so a
+    repeated key can't hide a change and no rows are gathered; other types keep
+    the largest value.
     """
     tagged = [
         df.select(*keys, *values, F.lit(name).alias("__side"))
         for name, df in sides.items()
     ]
     both = reduce(DataFrame.unionByName, tagged)
-    aggs = []
+    texts = {v for v in values if isinstance(both.schema[v].dataType, StringType)}
+    aggs, out = [], list(keys)
     for name in sides:
         on = F.col("__side") == name
         aggs.append(F.coalesce(F.bool_or(on), F.lit(False)).alias(f"in_{name}"))
-        aggs += [F.max(F.when(on, F.col(v))).alias(f"{name}_{v}") for v in values]
-    return both.groupBy(*keys).agg(*aggs)
+        aggs.append(F.count_if(on).alias(f"__{name}_n"))
+        out.append(f"in_{name}")
+        for v in values:
+            own, mark = F.when(on, F.col(v)), f"__{name}_{v}"
+            aggs.append(F.max(own).alias(f"{mark}_hi"))
+            if v not in texts:
+                out.append(F.col(f"{mark}_hi").alias(f"{name}_{v}"))
+                continue
+            aggs += [
+                F.min(own).alias(f"{mark}_lo"),
+                F.count(own).alias(f"{mark}_k"),
+                F.sum(F.when(on, F.xxhash64(v)).cast("decimal(38,0)")).alias(f"{mark}_s"),
+            ]
+            lo, hi, k, n = F.col(f"{mark}_lo"), F.col(f"{mark}_hi"), F.col(f"{mark}_k"), F.col(f"__{name}_n")
+            agree = (lo == hi) & (k == n) | (k == 0)
+            several = F.sha2(F.concat_ws("|", n, F.col(f"{mark}_s"), lo, hi).cast("binary"), 256)
+            out.append(F.when(agree, lo).otherwise(several).alias(f"{name}_{v}"))
+    return both.groupBy(*keys).agg(*aggs).select(*out)
 
 
 def snapshot_diff(a: DataFrame, b: DataFrame, keys: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
@@ -112,6 +133,7 @@ def three_way_reconcile(
 def sync_summary(items: DataFrame) -> DataFrame:
     """One row: total, safe_auto and manual items."""
     auto = F.col("apply_mode") == "safe_auto"
+    # a global aggregate: one row, also without items
     return items.agg(
         F.count(F.lit(1)).alias("total_items"),
         F.count_if(auto).alias("safe_auto_items"),

@@ -20,7 +20,7 @@ def incremental_filter(source: DataFrame, target: DataFrame, watermark_col: str)
     filter then reaches the scan of the source and prunes its partitions.
     """
     if not watermark_col:
-        raise ValueError("watermark column must be provided")
+        raise ValueError("an increment needs a watermark column")
     kind = target.schema[watermark_col].dataType
     highest = F.max(watermark_col)
     # text and microseconds come back exactly, whatever the zone of the driver

@@ -17,7 +17,7 @@ def run_pipeline(spark: SparkSession, spec: PipelineSpec) -> DataFrame:
     tables cannot be merged in place.
     """
     if spec.write_mode not in WRITE_MODES:
-        raise ValueError(f"unsupported write_mode: {spec.write_mode}")
+        raise ValueError(f"no such write mode: {spec.write_mode!r}")
     out = apply_preset(read_table(spark, spec.source_table), spec)
     if spec.write_mode == "overwrite":
         write_overwrite(out, spec.target_table, [spec.partition_column])

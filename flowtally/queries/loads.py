@@ -238,6 +238,18 @@ def _(spark, sf):
     return insert_if_absent(stored, d.select("content_hash", "chars"), "content_hash")
 
 
+@query(
+    "insert_if_absent_ordered",
+    """SELECT sha256(text) AS content_hash, min(doc_id) AS doc_id FROM documents
+       WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 3 = 0)
+       GROUP BY text""",
+)
+def _(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("content_hash"))
+    stored = d.where("doc_id % 3 = 0")
+    return insert_if_absent(stored, d.select("content_hash", "doc_id"), "content_hash", ["doc_id"])
+
+
 def _changes(spark, sf) -> DataFrame:
     return table(spark, sf, "orders").select(
         F.col("o_custkey").alias("c_custkey"),
@@ -271,6 +283,28 @@ def _(spark, sf):
     return cdc_apply(target, _changes(spark, sf), ["c_custkey"], ["o_orderkey"])
 
 
+@query(
+    "cdc_apply_null_keys",
+    """WITH changes AS (
+         SELECT CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey END AS k, CASE WHEN o_orderkey % 6 = 0 THEN 'D' ELSE 'I' END AS op,
+                'change ' || o_orderkey AS v, o_orderkey AS o FROM orders),
+       lst AS (SELECT * FROM changes WHERE k IS NOT NULL QUALIFY row_number() OVER (PARTITION BY k ORDER BY o DESC) = 1
+               UNION ALL SELECT * FROM changes WHERE k IS NULL)
+       SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT k FROM lst WHERE k IS NOT NULL)
+       UNION ALL SELECT k, v FROM lst WHERE op <> 'D'""",
+)
+def _(spark, sf):
+    o = F.col("o_orderkey")
+    changes = table(spark, sf, "orders").select(
+        F.when(o % 7 != 0, F.col("o_custkey")).alias("c_custkey"),
+        F.when(o % 6 == 0, "D").otherwise("I").alias("op"),
+        F.concat(F.lit("change "), o).alias("c_name"),
+        "o_orderkey",
+    )
+    target = table(spark, sf, "customer").select("c_custkey", "c_name")
+    return cdc_apply(target, changes, ["c_custkey"], ["o_orderkey"])
+
+
 @query(
     "incremental_filter",
     """SELECT o_orderkey FROM orders

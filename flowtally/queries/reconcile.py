@@ -71,6 +71,23 @@ def _(spark, sf):
     return rec.snapshot_diff(a, b, ["p_partkey"]).select("p_partkey", "status")
 
 
+@query(
+    "snapshot_diff_repeated_keys",
+    """WITH a AS (SELECT l_orderkey AS k, list_sort(list(l_partkey)) AS v FROM lineitem GROUP BY 1),
+            b AS (SELECT l_orderkey AS k, list_sort(list(l_partkey)) AS v FROM lineitem
+                  WHERE l_linenumber <> 2 OR l_orderkey % 2 = 0 GROUP BY 1)
+       SELECT a.k AS l_orderkey, CASE WHEN b.k IS NULL THEN 'removed' ELSE 'changed' END AS status
+       FROM a LEFT JOIN b ON a.k = b.k
+       WHERE b.k IS NULL OR (a.v <> b.v AND NOT (len(list_distinct(a.v)) = 1 AND len(list_distinct(b.v)) = 1))""",
+)
+def _(spark, sf):
+    """Orders have several lines each; one line less on a side is a change."""
+    li = table(spark, sf, "lineitem")
+    less = li.where((F.col("l_linenumber") != 2) | (F.col("l_orderkey") % 2 == 0))
+    sides = [x.select("l_orderkey", F.col("l_partkey").cast("string").alias("sha256")) for x in (li, less)]
+    return rec.snapshot_diff(*sides, ["l_orderkey"], ["sha256"]).select("l_orderkey", "status")
+
+
 @query(
     "diff_summary",
     f"""WITH d AS ({DIFF_SQL})

@@ -358,6 +358,31 @@ def _(spark, sf):
     return fn.json_diff(docs, "before", "after").select("o_orderkey", "path", "change")
 
 
+_DEEP = 12
+
+
+@query(
+    "json_diff_deep",
+    f"""SELECT o_orderkey, '{"a." * _DEEP}leaf' AS path, 'modified' AS change FROM orders WHERE o_orderkey % 3 = 0
+        UNION ALL SELECT o_orderkey, '{"a." * _DEEP}list', 'modified' FROM orders WHERE o_orderkey % 5 = 0""",
+)
+def _(spark, sf):
+    """Twelve levels; numbers written in another way are equal, other numbers are not."""
+
+    def nested(leaf, same, items):
+        head, tail = F.lit('{"a": ' * _DEEP), F.lit("}" * _DEEP)
+        return F.concat(head, F.lit('{"leaf": '), leaf, F.lit(', "same": '), same, F.lit(', "list": ['), items, F.lit("]}"), tail)
+
+    key = F.col("o_orderkey")
+    k = key + 1  # no leading zeros
+    before = nested(k.cast("string"), F.concat(k, F.lit("e2")), F.concat(k, F.lit(", [1.50, 2]")))
+    leaf = F.when(key % 3 == 0, F.concat(k, F.lit(".5"))).otherwise(F.concat(k, F.lit(".0")))
+    items = F.concat(k, F.lit(".00, [1.5, "), F.when(key % 5 == 0, "3").otherwise("2.0"), F.lit("]"))
+    after = nested(leaf, F.concat(k, F.lit("00")), items)
+    docs = table(spark, sf, "orders").select("o_orderkey", before.alias("before"), after.alias("after"))
+    return fn.json_diff(docs, "before", "after").select("o_orderkey", "path", "change")
+
+
 @query(
     "numeric_or_null",
     """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN value END AS amount FROM events""",

@@ -4,12 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-# AQE coalesces and splits shuffle partitions at run time, so a cluster sets
-# only the initial partition count and leaves the rest to these switches.
+# AQE, on by default, coalesces and splits shuffle partitions at run time, so a
+# cluster sets only the initial partition count.
 DEFAULT_CONF = {
-    "spark.sql.adaptive.enabled": "true",
-    "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",

@@ -99,11 +99,19 @@ def merge_upsert(
     return kept.select(*target.columns).unionByName(new.select(*target.columns))
 
 
-def insert_if_absent(target: DataFrame, source: DataFrame, hash_col: str) -> DataFrame:
-    """Rows of ``source`` to append to a content-addressed ``target``; the first write of a hash wins."""
-    return source.dropDuplicates([hash_col]).join(target.select(hash_col), [hash_col], "left_anti").select(
-        *source.columns
-    )
+def insert_if_absent(target: DataFrame, source: DataFrame, hash_col: str, order_by: Sequence[str] = ()) -> DataFrame:
+    """Rows of ``source`` to append to a content-addressed ``target``; the first write of a hash wins.
+
+    ``order_by`` says which row of ``source`` is the first; without it any row
+    of a hash stands for all, which is right only if they are equal.  NULLs
+    come last.  Rows beyond the first leave in each task before the shuffle.
+    """
+    if order_by:
+        first = Window.partitionBy(hash_col).orderBy(*[F.col(c).asc_nulls_last() for c in order_by])
+        one = source.withColumn("__n", F.row_number().over(first)).where(F.col("__n") == 1).drop("__n")
+    else:
+        one = source.dropDuplicates([hash_col])
+    return one.join(target.select(hash_col), [hash_col], "left_anti").select(*source.columns)
 
 
 def publish_version(df: DataFrame, root: str, version: int, partition_by: Sequence[str] = ()) -> str:

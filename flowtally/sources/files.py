@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+import os
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from flowtally.functions.scalars import glob_match
 
@@ -23,6 +26,14 @@ SKIPPED_FOLDERS = (
 )
 
 
+def _pruned(path: str, includes: Sequence[str], skip: frozenset[str]) -> bool:
+    """Whether a folder can hold no wanted file, so that it is not listed."""
+    if not skip.isdisjoint(path.split("/")):
+        return True
+    inside = [i for i in includes if path == i or path.startswith(i + "/") or i.startswith(path + "/")]
+    return bool(includes) and not inside
+
+
 def file_manifest(
     spark: SparkSession,
     root: str,
@@ -30,31 +41,50 @@ def file_manifest(
     excludes: Sequence[str] = (),
     skip_folders: Sequence[str] = (),
 ) -> DataFrame:
-    """(path, sha256, size) of every file below ``root``, sorted by path.
+    """(path, sha256, size) of every file below ``root``, sorted by path; hidden and underscore names included.
 
     ``includes`` are files or folders relative to ``root`` (none means all),
     ``excludes`` are globs on the relative path, ``skip_folders`` are names
-    that may not occur anywhere in the path.  Each file is hashed by the task
-    that reads it; one file must fit into one row (2 GiB).
+    that may not occur anywhere in the path.  Spark's own listing leaves out
+    names that begin with ``_`` or ``.``, so a task lists the folders and does
+    not enter those that can hold no wanted file; the files that stay are dealt
+    out and hashed as streams, whatever their size.  ``root`` is a path or URI
+    of any file system that pyarrow opens; a relative one is resolved once.
     """
-    base = root.rstrip("/") + "/"
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .load(root)
-    )
-    # paths carry a scheme; keep what follows the root
-    rel = F.substring_index(F.col("path"), base, -1)
-    out = files.select(rel.alias("path"), "content", F.col("length").alias("size"))
-    if includes:
-        wanted = F.lit(False)
-        for item in dict.fromkeys(includes):
-            name = item.strip("/")
-            wanted = wanted | (F.col("path") == name) | F.col("path").startswith(name + "/")
-        out = out.where(wanted)
+    base = root if "://" in root or root.startswith("/") else os.path.abspath(root)
+    wanted = [i.strip("/") for i in dict.fromkeys(includes)]
+    skip = frozenset(skip_folders)
+
+    def listed(_: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, top = fs.FileSystem.from_uri(base)
+        top = top.rstrip("/")
+        folders = [top]
+        while folders:
+            found = []
+            for entry in store.get_file_info(fs.FileSelector(folders.pop())):
+                path = entry.path[len(top) + 1 :]
+                if entry.type == fs.FileType.Directory:
+                    if not _pruned(path, wanted, skip):
+                        folders.append(entry.path)
+                elif skip.isdisjoint(path.split("/")):
+                    if not wanted or any(path == i or path.startswith(i + "/") for i in wanted):
+                        found.append((path, entry.size))
+            yield pd.DataFrame(found, columns=["path", "size"])
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, top = fs.FileSystem.from_uri(base)
+        for batch in batches:
+            digests = []
+            for path in batch["path"]:
+                digest = hashlib.sha256()
+                with store.open_input_stream(f"{top.rstrip('/')}/{path}", compression=None) as source:
+                    while part := source.read(1 << 20):
+                        digest.update(part)
+                digests.append(digest.hexdigest())
+            yield pd.DataFrame({"path": batch["path"], "sha256": digests, "size": batch["size"]})
+
+    files = spark.range(0, 1, 1, 1).mapInPandas(listed, "path string, size bigint")
     if excludes:
-        out = out.where(~glob_match("path", list(dict.fromkeys(excludes))))
-    if skip_folders:
-        names = F.array(*[F.lit(s) for s in skip_folders])
-        out = out.where(~F.arrays_overlap(F.split("path", "/"), names))
-    return out.select("path", F.sha2("content", 256).alias("sha256"), "size").orderBy("path")
+        files = files.where(~glob_match("path", list(dict.fromkeys(excludes))))
+    dealt = files.repartition(spark.sparkContext.defaultParallelism)
+    return dealt.mapInPandas(hashed, "path string, sha256 string, size bigint").orderBy("path")

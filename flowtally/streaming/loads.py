@@ -55,7 +55,11 @@ def read_cdc_table(
     changes = _read_batches(spark, f"{root}/changes")
     if changes is None:
         return base
-    last = latest_per_key(changes, keys, ["batch_id"])
+    # changes without a key belong to no key and all count
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    last = latest_per_key(changes.where(known), keys, ["batch_id"]).unionByName(changes.where(~known))
     kept = base.join(last.select(*keys), list(keys), "left_anti").select(*base.columns)
     return kept.unionByName(last.where(F.coalesce(F.col(op_col) != "D", F.lit(True))).select(*base.columns))
 

@@ -50,8 +50,20 @@ def test_json_diff(spark):
         (3, "$", "modified"), (5, "$", "modified"), (6, "a", "modified"), (8, "a.b.c", "modified"), (10, "l", "modified"),
     ]
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
-    shallow = fn.json_diff(df.where("id = 8"), "x", "y", max_depth=2)
-    assert rows(shallow) == [(8, "a.b", "modified")]
+    assert rows(fn.json_diff(df.where("id = 8"), "x", "y", depth=3)) == [(8, "a.b.c", "modified")]
+    with pytest.raises(Exception, match="deeper than depth"):
+        fn.json_diff(df.where("id = 8"), "x", "y", depth=2).collect()
+    numbers = spark.createDataFrame(
+        [
+            (1, '{"v": 1e2}', '{"v": 100}'),
+            (2, '{"v": [1.50, [2, null]]}', '{"v": [1.5, [2.0, null]]}'),
+            (3, '{"v": 12345678901234567890}', '{"v": 12345678901234567891}'),
+            (4, '{"v": [1, null]}', '{"v": [1, 0]}'),
+            (5, '{"v": "1.0"}', '{"v": "1"}'),
+        ],
+        "id int, x string, y string",
+    )
+    assert sorted(r.id for r in fn.json_diff(numbers, "x", "y").collect()) == [3, 4, 5]
     assert rows(df.select("id", fn.json_parseable("x", "y").alias("ok")).where("not ok").select("id")) == [(4,), (9,)]
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Exchange" not in plan

@@ -20,7 +20,6 @@ from flowtally.plans import (
     incremental_filter,
     incremental_load,
     late_arrival_scd2,
-    late_arrival_strategy,
     materialize,
     preset_dedup,
     register_preset,
@@ -152,8 +151,6 @@ def test_late_rows_close_and_reopen(spark):
         ("late", "2024-03-01", False),
         ("z", "9999-12-31", True),
     ]
-    assert late_arrival_strategy("scd2") == late_arrival_strategy("type2")
-    assert late_arrival_strategy("scd1") == {"strategy": "overwrite"}
 
 
 def test_presets_and_steps(spark):

@@ -146,3 +146,18 @@ def test_versions(spark, folder):
     publish_version(spark.range(5), root, 2)
     publish_version(spark.range(3), root, 2)
     assert read_current(spark, root).count() == 3
+
+
+def test_file_manifest_has_hidden_names_and_nested_root_names(spark, tmp_path, monkeypatch):
+    names = ["a.txt", "__init__.py", ".env", "_x/c.txt", "pkg/b.txt", "sub/pkg/b.txt", "node_modules/pkg/d.txt", "empty"]
+    for name in names:
+        (tmp_path / "pkg" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "pkg" / name).write_text("" if name == "empty" else name)
+    monkeypatch.chdir(tmp_path)
+    for root in ("pkg", "pkg/", str(tmp_path / "pkg"), f"file://{tmp_path}/pkg"):
+        assert [r.path for r in file_manifest(spark, root).collect()] == sorted(names)
+    kept = [r.path for r in file_manifest(spark, "pkg", ["pkg", ".env", "sub/pkg"], ["*.env"], ["node_modules"]).collect()]
+    assert kept == ["pkg/b.txt", "sub/pkg/b.txt"]
+    got = {r.path: (r.sha256, r["size"]) for r in file_manifest(spark, "pkg").collect()}
+    assert got["a.txt"] == (hashlib.sha256(b"a.txt").hexdigest(), 5)
+    assert got["empty"] == (hashlib.sha256(b"").hexdigest(), 0)
