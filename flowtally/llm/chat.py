@@ -152,12 +152,24 @@ def loss_text(formatted, spans):
     return F.array_join(taken, "")
 
 
-@query("op6_chat_format")
+_ODD = "\\### Assistant: </turn> ok"
+_SQL = rf"""
+WITH m AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '{_ODD}' UNION ALL SELECT -7, 1, 'assistant', '{_ODD}'),
+e AS (SELECT *, length(regexp_replace(text, '[\\#<]', 'xx', 'g')) + length(regexp_replace(role, '[\\#<:]', 'xx', 'g')) + 14 AS size FROM m),
+g AS (SELECT conv_id, count(*) AS n_turns,
+             string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
+             coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '') AS loss,
+             sum(size)::BIGINT AS formatted_chars FROM e GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+       formatted_chars, 0::BIGINT AS expanded_tokens FROM g"""
+
+
+@query("op6_chat_format", _SQL)
 def op6_chat_format(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    odd = "\\### Assistant: </turn> ok"
     said_by = F.when(F.col("id") == 0, "user").otherwise("assistant")
-    extra = spark.range(2).select(F.lit(-7).cast("long"), F.col("id"), said_by, F.lit(odd))
+    extra = spark.range(2).select(F.lit(-7).cast("long"), F.col("id"), said_by, F.lit(_ODD))
     messages = rows.union(extra).select("conv_id", "turn", "role", text_part(F.col("text")).alias("content"))
     out = format_conversations(messages)
     turns = read_turns(F.col("formatted"))

@@ -102,13 +102,13 @@ def mix(
 
     ``entropy_share`` is the target entropy as a share of log(number of
     sources).  NULL is a source of its own.  Rows of a source without any
-    tokens are used once.  Repeated rows count each.
+    tokens are used once.  Repeated rows count each.  Columns of ``docs`` whose
+    names begin with ``_mix_`` or equal the three new ones are left out.
     """
-    names = {"_epoch", "_block", "_row", "_tokens", "_b"}
-    kept = [c for c in docs.columns if c not in names]
-    d = docs.select(*kept, F.coalesce(tokens.cast("long"), F.lit(0)).alias("_tokens"))
+    kept = [c for c in docs.columns if not c.startswith("_mix_") and c not in ("_epoch", "_block", "_row")]
+    d = docs.select(*kept, F.coalesce(tokens.cast("long"), F.lit(0)).alias("_mix_tokens"))
     source = F.col(source_col)
-    totals = d.groupBy(source.alias("src")).agg(F.sum("_tokens").alias("tokens"), F.count("*").alias("rows"))
+    totals = d.groupBy(source.alias("src")).agg(F.sum("_mix_tokens").alias("tokens"), F.count("*").alias("rows"))
     totals = cut(totals)
     total = totals.agg(F.sum("tokens"), F.count(F.when(F.col("tokens") > 0, 1)), F.count("*"), F.sum("rows")).first()
     shares = totals.withColumn("share", F.col("tokens") / F.lit(float(total[0] or 1)))
@@ -118,35 +118,41 @@ def mix(
     due = F.lit(budget / norm) * F.pow("share", F.lit(a)) / F.col("tokens")
     # one token in a million million off a whole number is rounding, not a part
     due = F.when(F.col("tokens") > 0, F.round(due, 12)).otherwise(F.lit(1.0))
-    plan = shares.select("src", "rows", F.floor(due).alias("full"), (F.pmod(due, F.lit(1.0)) * F.col("tokens")).alias("part"))
-    plan = plan.withColumn("blocks", F.ceil(F.col("rows") / block_rows))
+    plan = shares.select(
+        F.col("src").alias("_mix_src"),
+        F.floor(due).alias("_mix_full"),
+        (F.pmod(due, F.lit(1.0)) * F.col("tokens")).alias("_mix_part"),
+        F.ceil(F.col("rows") / block_rows).alias("_mix_blocks"),
+    )
 
     def mixed(*cols):
         return F.xxhash64(F.lit(seed), *cols)
 
-    # a row finds its block without knowing how many there are: blocks are ranges of the row's hash
-    per = d.withColumn("_b", F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit("block"), F.col(id_col), F.col("_tokens")), 44))
+    # a row finds its block without knowing the others: blocks are ranges of the row's hash
+    place = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit("block"), F.col(id_col), F.col("_mix_tokens")), 44)
     sources, rows = total[2], total[3] or 0
     plan = F.broadcast(plan) if sources <= BROADCAST_ROWS else plan
-    planned = per.join(plan, per[source_col].eqNullSafe(plan["src"]))
-    planned = planned.withColumn("_b", F.floor(F.col("_b") * F.col("blocks") / (1 << 20)))
-    keys = [source_col, "_b"]
-    blocks = planned.groupBy(*keys, "full").agg(F.sum("_tokens").alias("t"))
-    order = W.partitionBy(source_col).orderBy(mixed(F.col("full"), F.col("_b")), "_b")
-    blocks = blocks.withColumn("before", F.sum("t").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("t"))
-    blocks = blocks.select(F.col(source_col).alias("bs"), F.col("_b").alias("bb"), "before")
+    planned = d.join(plan, source.eqNullSafe(F.col("_mix_src")))
+    block = F.floor(place * F.col("_mix_blocks") / (1 << 20))
+    # the source's own name for a group key that may be NULL
+    planned = planned.withColumns({"_mix_b": block})
+    blocks = planned.groupBy("_mix_src", "_mix_b", "_mix_full").agg(F.sum("_mix_tokens").alias("t"))
+    order = W.partitionBy("_mix_src").orderBy(mixed(F.col("_mix_full"), F.col("_mix_b")), "_mix_b")
+    before = F.sum("t").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("t")
+    blocks = blocks.select(F.col("_mix_src").alias("_mix_bs"), F.col("_mix_b").alias("_mix_bb"), before.alias("_mix_before"))
     blocks = F.broadcast(blocks) if rows / block_rows + sources <= BROADCAST_ROWS else blocks
-    joined = planned.join(blocks, planned[source_col].eqNullSafe(blocks["bs"]) & (planned["_b"] == blocks["bb"]))
-    inside = W.partitionBy("bs", "bb").orderBy(mixed(F.col("full"), F.col(id_col), F.col("_tokens")), id_col, "_tokens")
-    inside = F.sum("_tokens").over(inside.rowsBetween(W.unboundedPreceding, 0)) - F.col("_tokens")
-    copies = F.col("full") + (F.col("before") + inside < F.col("part")).cast("int")
-    drawn = joined.withColumn("_copies", copies).where("_copies > 0")
-    drawn = drawn.withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.col("_copies").cast("int") - 1)))
+    same = F.col("_mix_src").eqNullSafe(F.col("_mix_bs")) & (F.col("_mix_b") == F.col("_mix_bb"))
+    joined = planned.join(blocks, same)
+    inside = W.partitionBy("_mix_bs", "_mix_bb").orderBy(mixed(F.col("_mix_full"), F.col(id_col), F.col("_mix_tokens")), id_col, "_mix_tokens")
+    inside = F.sum("_mix_tokens").over(inside.rowsBetween(W.unboundedPreceding, 0)) - F.col("_mix_tokens")
+    copies = F.col("_mix_full") + (F.col("_mix_before") + inside < F.col("_mix_part")).cast("int")
+    drawn = joined.withColumn("_mix_copies", copies.cast("int")).where("_mix_copies > 0")
+    drawn = drawn.withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.col("_mix_copies") - 1)))
     return drawn.select(
         *kept,
         "_epoch",
-        mixed(F.col("_epoch"), F.col("_b")).alias("_block"),
-        mixed(F.col("_epoch"), F.col(id_col), F.col("_tokens")).alias("_row"),
+        mixed(F.col("_epoch"), F.col("_mix_b")).alias("_block"),
+        mixed(F.col("_epoch"), F.col(id_col), F.col("_mix_tokens")).alias("_row"),
     )
 
 

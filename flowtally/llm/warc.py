@@ -271,7 +271,17 @@ def _id(column):
     return F.regexp_extract(column, "^<urn:record:(-?[0-9]+)>$", 1).try_cast("long")
 
 
-@query("op1_warc")
+_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+q AS (SELECT page_id, octet_length(encode(h)) AS n, sha1(h) AS d FROM p),
+r AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY d, n) ELSE page_id END AS first FROM q)
+SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest,
+       CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to, true AS digest_ok
+FROM r"""
+
+
+@query("op1_warc", _SQL)
 def op1_warc(spark, sf_dir):
     records = plan_records(table(spark, sf_dir, "pages"))
     manifest = write_archives(chunk_rows(records), new_folder(spark, "warc"))
