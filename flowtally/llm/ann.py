@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from flowtally.lineage import cut
-from flowtally.llm.base import query, table
+from flowtally.llm.base import hash_bound, query, table
 
 # rows of the fitting sample, and how many of them serve as its queries
 SAMPLE, SAMPLE_QUERIES = 4096, 256
@@ -194,7 +194,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     for e in list(largest):
         largest.setdefault(e - 1, largest[e])
         largest.setdefault(e + 1, largest[e])
-    picked = rows.orderBy(F.xxhash64(F.lit("sample"), "id"), "id").limit(SAMPLE).collect()
+    pick = F.xxhash64(F.lit("sample"), F.col("id"))
+    bound = hash_bound(rows.select(pick.alias("pick")), SAMPLE)
+    picked = rows.where(pick <= bound).orderBy(pick, "id", "vec").limit(SAMPLE).collect()
     index = fit(np.array([r["vec"] for r in picked]), n, k, largest, recall)
     shared = vectors.sparkSession.sparkContext.broadcast(index)
 

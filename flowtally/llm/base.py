@@ -17,7 +17,7 @@ SQL: dict[str, str] = {}
 SPACE = "\\x20\\x09-\\x0D"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
-__all__ = ["QUERIES", "SQL", "Query", "SPACE", "SPACE_CHARS", "query", "table", "words_of"]
+__all__ = ["QUERIES", "SQL", "Query", "SPACE", "SPACE_CHARS", "hash_bound", "query", "table", "words_of"]
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -32,6 +32,15 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def hash_bound(picks: DataFrame, n: int) -> int | None:
+    """The n-th smallest value of the column ``pick``; None for no rows.
+
+    Only this column goes through the sort, so that a bounded sample of wide
+    rows is a plain filter afterwards and no task gathers a part of each partition.
+    """
+    return picks.orderBy("pick").limit(n).agg(F.max("pick")).first()[0]
+
+
 def words_of(text):
     """The words of a text as an array; empty for NULL or blank text."""
     trimmed = F.trim(F.coalesce(text, F.lit("")), F.lit(SPACE_CHARS))

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowtally.llm.base import query, table
+from flowtally.llm.base import hash_bound, query, table
 
 # each of the feature families below hashes into this many weights
 FAMILY = 1 << 16
@@ -294,13 +294,15 @@ def fit(docs: DataFrame, rows: int = 2000, words: int = 72, text_col: str = "tex
     Of each row one window of ``words`` words is used, at a place the hash
     chooses.  Both bounds are parameters; only these windows reach the driver.
     """
-    text, pick = F.col(text_col), F.xxhash64(F.lit("fit"), F.col(id_col))
-    known = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
-    known = known.select(pick.alias("pick"), F.col(lang_col).alias("lang"), text.alias("text")).orderBy("pick", "lang", "text").limit(rows)
+    pick = F.xxhash64(F.lit("fit"), F.col(id_col))
+    known = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
+    bound = hash_bound(known.select(pick.alias("pick")), rows)
+    known = known.where((pick <= bound) & F.col(text_col).isNotNull() if bound is not None else F.lit(False))
+    known = known.select(pick.alias("pick"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     parts = F.split("text", r"\s+")
     known = known.select("pick", "lang", parts.alias("w"))
     begin = F.pmod("pick", F.greatest(F.size("w") - words + 1, F.lit(1))).cast("int") + 1
-    taken = known.select("pick", "lang", F.slice("w", begin, F.lit(words)).alias("w")).orderBy("pick", "lang", "w").collect()
+    taken = known.select("pick", "lang", F.slice("w", begin, F.lit(words)).alias("w")).orderBy("pick", "lang", "w").limit(rows).collect()
     samples = [(r["lang"], [c for c in map(clean, r["w"]) if c]) for r in taken]
     return train([(lang, w) for lang, w in samples if w])
 
