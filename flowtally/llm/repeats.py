@@ -29,7 +29,7 @@ GRAM = 32
 # bytes of a text hashed at once, so that a huge text needs no huge arrays
 BLOCK = 1 << 20
 # stretches sorted in one task, and the most stretches of one anchor that are sorted together
-BUCKET, LARGE = 4096, 8192
+BUCKET, LARGE = 1024, 4096
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -190,22 +190,24 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 200, k
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for text in b.column("text").to_pylist():
+            for text in b.column("text"):
+                text = text.as_py()
                 place, hashes, _ = anchors(text, length)
                 if len(place):
                     t = pa.array([_digest(text)] * len(place), pa.binary())
                     yield pa.RecordBatch.from_arrays([t, pa.array(place), pa.array(hashes)], ["t", "place", "anchor"])
 
     found = _texts(docs, text_col).mapInArrow(find, "t binary, place long, anchor long")
-    twice = found.groupBy("anchor").count().where("count > 1").select("anchor")
+    # on its own, so that both sides of the join are shuffled for it and AQE can split a frequent anchor
+    twice = cut(found.groupBy("anchor").count().where("count > 1").select("anchor"))
     places = found.join(twice, "anchor").groupBy("t").agg(F.collect_set("place").alias("places"))
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
             rows, size = [], 0
-            for t, z, known in zip(b.column("t").to_pylist(), b.column("z").to_pylist(), b.column("places"), strict=True):
-                text = unpack(z)
+            for t, z, known in zip(b.column("t"), b.column("z"), b.column("places"), strict=True):
+                t, text = t.as_py(), unpack(z.as_py())
                 for anchor, begin, end in stretches(text, np.sort(known.values.to_numpy()), length):
                     rows.append((t, anchor, begin, text[begin:end]))
                     size += end - begin
@@ -298,29 +300,37 @@ def remove_repeats(docs: DataFrame, id_cols: list[str], text_col: str = "text",
     not by row.  Adjoining spans are one.
     """
     spans = repeated_spans(docs, text_col, length, keep_first)
-    joined = _packed(docs, id_cols, text_col).join(spans, "t", "left")
+    inner = [f"_id{i}" for i in range(len(id_cols))]
+    source = docs.select(*[F.col(c).alias(n) for c, n in zip(id_cols, inner, strict=True)], F.col(text_col).alias("_whole"))
+    joined = _packed(source, inner, "_whole").join(spans, "t", "left")
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
+        kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
         for b in batches:
-            kept, sizes, gone, runs = [], [], [], []
-            for z, found in zip(b.column("z").to_pylist(), b.column("spans").to_pylist(), strict=True):
-                text, merged, at, pieces = unpack(z), _merged(found), 0, []
-                for begin, end in merged:
-                    pieces.append(text[at:begin])
-                    at = end
-                pieces.append(text[at:])
-                kept.append(b"".join(pieces))
-                sizes.append(len(text))
-                gone.append(len(text) - len(kept[-1]))
-                runs.append([{"begin": s, "end": e} for s, e in merged])
-            kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
-            new = [pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, kind)]
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in id_cols] + new, [*id_cols, "kept", "n_bytes", "n_removed", "removed"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*id_cols).schema.fields)
+            at = 0
+            while at < b.num_rows:
+                kept, sizes, gone, runs, begin = [], [], [], [], at
+                # texts of some megabytes at once, whatever they were packed to
+                while at < b.num_rows and sum(sizes) < 8 * BLOCK:
+                    text, merged, done, pieces = unpack(b.column("z")[at].as_py()), _merged(b.column("spans")[at].as_py()), 0, []
+                    for first, end in merged:
+                        pieces.append(text[done:first])
+                        done = end
+                    pieces.append(text[done:])
+                    kept.append(b"".join(pieces))
+                    sizes.append(len(text))
+                    gone.append(len(text) - len(kept[-1]))
+                    runs.append([{"begin": s, "end": e} for s, e in merged])
+                    at += 1
+                new = [pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, kind)]
+                ids = [b.column(c).slice(begin, at - begin) for c in inner]
+                yield pa.RecordBatch.from_arrays(ids + new, [*inner, "kept", "n_bytes", "n_removed", "removed"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
     schema = f"{fields}, kept binary, n_bytes long, n_removed long, removed array<struct<begin:long,end:long>>"
-    return joined.select(*id_cols, "z", "spans").mapInArrow(drop, schema)
+    out = joined.select(*inner, "z", "spans").mapInArrow(drop, schema)
+    return out.toDF(*id_cols, "kept", "n_bytes", "n_removed", "removed")
 
 
 @query("op7_repeats")
