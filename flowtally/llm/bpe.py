@@ -3,8 +3,8 @@
 Two forms of the same fold.  ``fold_words`` is made of Spark's higher-order
 functions over a table of distinct words.  ``encode`` runs the fold inside
 Arrow batches, once per distinct word a task meets: joining a corpus-wide word
-table back to every word place would shuffle several times the text (figures in
-the README), and a word table grows with the corpus, so it can't be broadcast.
+table back to every word place would shuffle all words of the text, and a word
+table grows with the corpus, so it can't be broadcast.
 """
 
 from __future__ import annotations
