@@ -182,15 +182,20 @@ def fold_words(words: DataFrame, ranks, word_col: str = "word") -> DataFrame:
         # without the piece the whole slot is left, which begins with a comma or is empty
         return F.substring_index(entry, ",", 1).try_cast("int")
 
+    def let(value, body):
+        # lambdas know no common subexpressions, so a value used twice is bound as the element of an array
+        return F.get(F.transform(F.array(value), body), 0)
+
     def step(parts, _):
         pairs = F.transform(F.sequence(F.lit(0), F.size(parts) - 2), lambda i: rank(F.concat(F.get(parts, i), F.get(parts, i + 1))))
-        at = F.array_position(pairs, F.array_min(pairs)).cast("int")
-        merged = F.concat(
-            F.slice(parts, F.lit(1), at - 1),
-            F.array(F.concat(F.get(parts, at - 1), F.get(parts, at))),
-            F.slice(parts, at + 2, F.size(parts)),
-        )
-        return F.when((F.size(parts) > 1) & (F.coalesce(at, F.lit(0)) > 0), merged).otherwise(parts)
+        least = let(pairs, lambda p: F.coalesce(F.array_position(p, F.array_min(p)).cast("int"), F.lit(0)))
+
+        def merge(at):
+            pair = F.array(F.concat(F.get(parts, at - 1), F.get(parts, at)))
+            merged = F.concat(F.slice(parts, F.lit(1), at - 1), pair, F.slice(parts, at + 2, F.size(parts)))
+            return F.when(at > 0, merged).otherwise(parts)
+
+        return F.when(F.size(parts) > 1, let(least, merge)).otherwise(parts)
 
     n = (F.length(coded) / 2).cast("int")
     empty = F.array().cast("array<string>")
