@@ -206,10 +206,10 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 200, k
         unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
             rows, size = [], 0
-            for t, z, known in zip(b.column("t"), b.column("z"), b.column("places"), strict=True):
-                t, text = t.as_py(), unpack(z.as_py())
+            for t, z, n, known in zip(*(b.column(c) for c in ("t", "z", "n", "places")), strict=True):
+                t, n, text = t.as_py(), n.as_py(), unpack(z.as_py())
                 for anchor, begin, end in stretches(text, np.sort(known.values.to_numpy()), length):
-                    rows.append((t, anchor, begin, text[begin:end]))
+                    rows.append((t, n, anchor, begin, text[begin:end]))
                     size += end - begin
                     if size > BLOCK:
                         yield batch_of(rows)
@@ -218,22 +218,24 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 200, k
                 yield batch_of(rows)
 
     def batch_of(rows):
-        kinds = (pa.binary(), pa.int64(), pa.int64(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["t", "anchor", "begin", "part"])
+        kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["t", "n", "anchor", "begin", "part"])
 
-    near = _packed(docs, [], text_col).join(places, "t").mapInArrow(around, "t binary, anchor long, begin long, part binary")
+    # equal texts go on as one with their number, combined before the shuffle that the join needs anyway
+    texts = _packed(docs, [], text_col).groupBy("t").agg(F.first("z").alias("z"), F.count("*").alias("n"))
+    near = texts.join(places, "t").mapInArrow(around, "t binary, n long, anchor long, begin long, part binary")
     # written once, read by the counts and by the places
     folder = new_folder(spark, "stretches")
     near.withColumn("h", F.unhex(F.md5("part"))).write.option("compression", "zstd").parquet(folder)
     near = spark.read.parquet(folder)
     here = F.struct("t", "begin")
-    counts = near.groupBy("anchor", "h").agg(F.count("*").alias("copies"), F.min(here).alias("first"))
+    counts = near.groupBy("anchor", "h").agg(F.sum("n").alias("copies"), F.min(here).alias("first"))
     counts = cut(counts)
     # a stretch that is the only one of its anchor needs no sorting
     sizes = counts.groupBy("anchor").agg(F.count("*").alias("different")).where("different > 1")
     sorted_ = counts.join(sizes, "anchor")
     first = sorted_.select("anchor", "copies", "different", "first.t", "first.begin")
-    whole = near.select("t", "begin", "part", "anchor").join(first, ["anchor", "t", "begin"]).dropDuplicates(["anchor", "t", "begin"])
+    whole = near.select("t", "begin", "part", "anchor").join(first, ["anchor", "t", "begin"])
     number = sizes.agg(F.sum("different")).first()[0] or 0
     buckets = max(1, math.ceil(number / BUCKET))
     small = whole.where(F.col("different") <= LARGE).withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets)))
