@@ -269,13 +269,22 @@ def _members(texts: DataFrame, size: int, percent: int) -> DataFrame:
     return sets.mapInPandas(chosen, "key long, cls long, n long, weight long, kind int, mode int")
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose sets are similar, counted element by element."""
+def _common(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` with their sets' sizes and ``common``, counted element by element."""
     left = sets.select(F.col("cls").alias("a"), F.col("h").alias("ha"))
     right = sets.select(F.col("cls").alias("b"), F.col("h").alias("hb"))
-    both = F.size(F.array_intersect("ha", "hb"))
-    union = F.size("ha") + F.size("hb") - both
-    return pairs.join(left, "a").join(right, "b").where(100 * both.cast("long") >= percent * union.cast("long")).select("a", "b")
+    sizes = [F.size(f"h{x}").cast("long").alias(f"n{x}") for x in "ab"]
+    both = F.size(F.array_intersect("ha", "hb")).cast("long").alias("common")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", *sizes, both)
+
+
+def _similar(pairs: DataFrame, percent: int) -> DataFrame:
+    """Of ``_common``, the pairs that are similar."""
+    return pairs.where(F.col("common") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
+
+
+def _pair(a: str, b: str) -> list:
+    return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
 
 
 def jaccard_groups(
@@ -313,7 +322,7 @@ def jaccard_groups(
     asked = members.groupBy("key").agg(F.max("mode").alias("m")).where("m >= 0").select("key")
     members = cut(members.join(cut(asked), "key"))
     sets = _sets(texts, made, members, shingle)
-    links = _links(members, sets, percent)
+    links = _links(cut(_with_lone(members, sets)), sets, percent)
     classes = made.where("cls <> 0").groupBy("cls").agg(F.min("id").alias("low"))
     found = classes.join(links.select(F.col("node").alias("cls"), "component"), "cls", "left")
     found = cut(found.select("cls", "low", F.coalesce("component", "cls").alias("component")))
@@ -350,32 +359,69 @@ def _sets(texts: DataFrame, made: DataFrame, members: DataFrame, shingle: int) -
     return cut(some.mapInArrow(hashed, "cls long, h array<long>").join(wanted, "cls", "left_semi").dropDuplicates(["cls"]))
 
 
+def _with_lone(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """``members`` with ``lone``: how many shingles of the class no other compared class has."""
+    lone = sets.select("cls", F.explode("h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("cls").alias("cls"))
+    lone = cut(lone.where("c = 1").groupBy("cls").agg(F.count(F.lit(1)).alias("lone")))
+    return members.join(lone, "cls", "left").withColumn("lone", F.coalesce("lone", F.lit(0)))
+
+
 def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``(node, component)`` of the classes that link."""
-    ratio = F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent
-    most = F.max(F.struct("weight", "cls", "n")).alias("hub")
-    hubs = cut(members.where("kind >= 0").groupBy("key").agg(most).select("key", F.col("hub.cls").alias("b"), F.col("hub.n").alias("n2")))
-    star = members.where("mode >= 0").join(hubs, "key").where((F.col("cls") != F.col("b")) & ratio)
-    star = star.select(F.greatest("cls", "b").alias("a"), F.least("cls", "b").alias("b")).distinct()
-    near = cut(_similar(star, sets, percent))
+    """``(node, component)`` of the classes that link.
+
+    First each class is compared with the hub of its keys, the class that
+    shares most.  Then the keys that still hold several components go on with
+    three bounds on what a pair x, y can have in common.  Let ``lone`` be the
+    shingles of a class that no compared class has, n its size and d its
+    difference from the hub, counted exactly.
+
+    * x and y have at most min(n - lone) in common;
+    * the lone shingles of x are in neither the hub nor y, so x and y differ in
+      at least d(y) - d(x) + 2 lone(x), and the same with x and y exchanged.
+
+    A class y outside the hub's component has a d(y) too large for a link with
+    the hub, so by the second bound it can link with an x only if d(x) exceeds
+    2 lone(x).  Such x are few in a group of copies edited independently, and
+    only with them is y compared.  Where d is not known nothing is left out.
+    """
+    whole, rest = 100 + percent, 100 - percent
+    rank = F.max(F.struct("weight", "cls")).alias("hub")
+    hubs = cut(members.where("kind >= 0").groupBy("key").agg(rank).select("key", F.col("hub.cls").alias("hub")))
+    members = cut(members.join(hubs, "key"))
+    star = members.where("mode >= 0 AND cls <> hub").select(*_pair("cls", "hub")).distinct()
+    star = cut(_common(star, sets))
+    near = _similar(star, percent)
     joined = cut(components(near))
-    # what is left: keys that hold several components still
     label = joined.select(F.col("node").alias("cls"), "component")
-    rows = members.join(label, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    home = label.select(F.col("cls").alias("hub"), F.col("component").alias("home"))
+    rows = members.join(label, "cls", "left").join(home, "hub", "left")
+    rows = rows.withColumns({"component": F.coalesce("component", "cls"), "home": F.coalesce("home", "hub")})
     split = rows.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("key")
     rows = cut(rows.join(cut(split), "key"))
-    # indexed rows fold to one per key and component first, so that members of one component never meet
-    others = rows.where("kind >= 0").groupBy("key", F.col("component").alias("other")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    asks = rows.where("mode >= 0").select("key", "cls", "n", "mode", "component")
-    apart = asks.join(others, "key").where(
-        (F.col("component") != F.col("other")) & (F.col("least") <= F.col("n")) & (F.col("most") * 100 >= F.col("n") * percent)
-    )
-    index = rows.where("kind >= 0").select("key", F.col("component").alias("other"), F.col("cls").alias("b"), F.col("n").alias("n2"), "kind")
-    smaller = (F.col("n2") < F.col("n")) | ((F.col("n2") == F.col("n")) & (F.col("b") < F.col("cls")))
-    meet = (F.col("mode") == 1) | (F.col("kind") == 0)
-    rest = apart.select("key", "other", "cls", "n", "mode").join(index, ["key", "other"]).where(smaller & meet & ratio)
-    rest = rest.select(F.greatest("cls", "b").alias("a"), F.least("cls", "b").alias("b")).distinct()
-    more = cut(_similar(rest, sets, percent))
+    # differences from the hub, also of rows that were only indexed
+    wanted = rows.where("cls <> hub").select(*_pair("cls", "hub")).distinct()
+    far = star.union(cut(_common(wanted.join(star, ["a", "b"], "left_anti"), sets)))
+    d = (F.col("na") + F.col("nb") - 2 * F.col("common")).alias("d")
+    far = far.select(F.col("a").alias("cls"), F.col("b").alias("hub"), d).union(far.select("b", "a", d))
+    rows = rows.join(far, ["cls", "hub"], "left").withColumn("d", F.when(F.col("cls") == F.col("hub"), 0).otherwise(F.col("d")))
+    rows = cut(rows.withColumn("free", F.coalesce(F.col("d") > 2 * F.col("lone"), F.lit(True))).withColumn("out", F.col("component") != F.col("home")))
+    asks, index = rows.where("mode >= 0"), rows.where("kind >= 0")
+    index = index.select("key", *[F.col(c).alias(f"{c}2") for c in ("cls", "n", "lone", "kind", "component", "d", "free", "out")])
+    smaller = (F.col("n2") < F.col("n")) | ((F.col("n2") == F.col("n")) & (F.col("cls2") < F.col("cls")))
+    meet = (F.col("mode") == 1) | (F.col("kind2") == 0)
+    sizes = F.col("n") + F.col("n2")
+    possible = F.least(F.col("n") - F.col("lone"), F.col("n2") - F.col("lone2")) * whole >= sizes * percent
+    apart = F.greatest(F.col("d") - F.col("d2") + 2 * F.col("lone2"), F.col("d2") - F.col("d") + 2 * F.col("lone"))
+    possible = possible & (F.coalesce(apart, F.lit(0)) * whole <= sizes * rest)
+    can = (F.col("component") != F.col("component2")) & smaller & meet & possible
+    found = [
+        asks.where("out").join(index.where("free2"), "key").where(can),
+        asks.where("NOT out AND free").join(index.where("out2"), "key").where(can),
+        asks.where("NOT out AND NOT free").join(index.where("out2 AND d2 IS NULL"), "key").where(can),
+        asks.where("out AND d IS NULL").join(index.where("NOT free2"), "key").where(can),
+    ]
+    last = found[0].union(found[1]).union(found[2]).union(found[3]).select(*_pair("cls", "cls2")).distinct()
+    more = cut(_similar(_common(last, sets), percent))
     if not more.limit(1).count():
         return joined
     return components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
