@@ -319,10 +319,11 @@ def jaccard_groups(
 
     made = cut(texts.mapInArrow(classes_of, "id long, n long, cls long"))
     members = cut(_members(texts, shingle, percent))
-    asked = members.groupBy("key").agg(F.max("mode").alias("m")).where("m >= 0").select("key")
-    members = cut(members.join(cut(asked), "key"))
+    rank = F.max(F.when(F.col("kind") >= 0, F.struct("weight", "cls")))
+    hubs = members.groupBy("key").agg(F.max("mode").alias("m"), rank.alias("hub")).where("m >= 0")
+    members = cut(members.drop("weight").join(cut(hubs.select("key", F.col("hub.cls").alias("hub"))), "key"))
     sets = _sets(texts, made, members, shingle)
-    links = _links(cut(_with_lone(members, sets)), sets, percent)
+    links = _links(members, sets, percent)
     classes = made.where("cls <> 0").groupBy("cls").agg(F.min("id").alias("low"))
     found = classes.join(links.select(F.col("node").alias("cls"), "component"), "cls", "left")
     found = cut(found.select("cls", "low", F.coalesce("component", "cls").alias("component")))
@@ -359,72 +360,80 @@ def _sets(texts: DataFrame, made: DataFrame, members: DataFrame, shingle: int) -
     return cut(some.mapInArrow(hashed, "cls long, h array<long>").join(wanted, "cls", "left_semi").dropDuplicates(["cls"]))
 
 
-def _with_lone(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """``members`` with ``lone``: how many shingles of the class no other compared class has."""
-    lone = sets.select("cls", F.explode("h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("cls").alias("cls"))
-    lone = cut(lone.where("c = 1").groupBy("cls").agg(F.count(F.lit(1)).alias("lone")))
-    return members.join(lone, "cls", "left").withColumn("lone", F.coalesce("lone", F.lit(0)))
+def _lone(sets: DataFrame) -> DataFrame:
+    """``(cls, lone)``: how many shingles of a class no other compared class has; classes without any are missing."""
+    found = sets.select("cls", F.explode("h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("cls").alias("cls"))
+    return found.where("c = 1").groupBy("cls").agg(F.count(F.lit(1)).alias("lone"))
 
 
 def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``(node, component)`` of the classes that link.
 
     First each class is compared with the hub of its keys, the class that
-    shares most.  Then the keys that still hold several components go on with
-    three bounds on what a pair x, y can have in common.  Let ``lone`` be the
-    shingles of a class that no compared class has, n its size and d its
-    difference from the hub, counted exactly.
+    shares most.  Members of a key that link with its hub are connected and
+    need no comparison with each other, and neither do classes that link with
+    the same other hub.  For the rest three bounds hold on what a pair x, y of
+    a key can have in common.  Let ``lone`` be the shingles of a class that no
+    compared class has, n its size and d its difference from the hub, counted
+    exactly.
 
     * x and y have at most min(n - lone) in common;
     * the lone shingles of x are in neither the hub nor y, so x and y differ in
       at least d(y) - d(x) + 2 lone(x), and the same with x and y exchanged.
 
-    A class y outside the hub's component has a d(y) too large for a link with
-    the hub, so by the second bound it can link with an x only if d(x) exceeds
-    2 lone(x).  Such x are few in a group of copies edited independently, and
-    only with them is y compared.  Where d is not known nothing is left out.
+    A class y that does not link with the hub has d(y) whole > (n(y) + n(hub))
+    rest, so by the second bound it can link with an x only if (d(x) - 2
+    lone(x)) whole > (n(hub) - n(x)) rest.  Such x, called free, are few in a
+    group of copies edited independently, and only with them is y compared.
     """
     whole, rest = 100 + percent, 100 - percent
-    rank = F.max(F.struct("weight", "cls")).alias("hub")
-    hubs = cut(members.where("kind >= 0").groupBy("key").agg(rank).select("key", F.col("hub.cls").alias("hub")))
-    members = cut(members.join(hubs, "key"))
     star = members.where("mode >= 0 AND cls <> hub").select(*_pair("cls", "hub")).distinct()
     star = cut(_common(star, sets))
     near = _similar(star, percent)
-    joined = cut(components(near))
-    label = joined.select(F.col("node").alias("cls"), "component")
-    home = label.select(F.col("cls").alias("hub"), F.col("component").alias("home"))
-    rows = members.join(label, "cls", "left").join(home, "hub", "left")
-    rows = rows.withColumns({"component": F.coalesce("component", "cls"), "home": F.coalesce("home", "hub")})
-    split = rows.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("key")
-    rows = cut(rows.join(cut(split), "key"))
-    # differences from the hub, also of rows that were only indexed
+    # keys of which some member is not known to link with the hub
+    both = near.select(F.col("a").alias("cls"), F.col("b").alias("hub")).union(near.select("b", "a"))
+    rows = members.join(both.withColumn("near", F.lit(True)), ["cls", "hub"], "left")
+    rows = rows.withColumn("near", F.col("near").isNotNull() | (F.col("cls") == F.col("hub")))
+    open_keys = rows.groupBy("key").agg(F.min("near").alias("near")).where("NOT near").select("key")
+    rows = cut(rows.join(cut(open_keys), "key").drop("near"))
     wanted = rows.where("cls <> hub").select(*_pair("cls", "hub")).distinct()
-    far = star.union(cut(_common(wanted.join(star, ["a", "b"], "left_anti"), sets)))
-    d = (F.col("na") + F.col("nb") - 2 * F.col("common")).alias("d")
-    far = far.select(F.col("a").alias("cls"), F.col("b").alias("hub"), d).union(far.select("b", "a", d))
-    rows = rows.join(far, ["cls", "hub"], "left").withColumn("d", F.when(F.col("cls") == F.col("hub"), 0).otherwise(F.col("d")))
-    rows = cut(rows.withColumn("free", F.coalesce(F.col("d") > 2 * F.col("lone"), F.lit(True))).withColumn("out", F.col("component") != F.col("home")))
+    star = cut(star.union(_common(wanted.join(star, ["a", "b"], "left_anti"), sets)))
+    near = _similar(star, percent)
+    both = near.select(F.col("a").alias("cls"), F.col("b").alias("label")).union(near.select("b", "a"))
+    heads = members.select(F.col("hub").alias("label")).distinct()
+    label = both.union(heads.select("label", "label")).join(heads, "label").groupBy("cls").agg(F.max("label").alias("label"))
+    facts = label.withColumn("lone", F.lit(None).cast("long")).unionByName(_lone(sets), allowMissingColumns=True)
+    facts = cut(facts.groupBy("cls").agg(F.max("label").alias("label"), F.max("lone").alias("lone")))
+    d = F.col("na") + F.col("nb") - 2 * F.col("common")
+    linked = F.col("common") * whole >= (F.col("na") + F.col("nb")) * percent
+    far = star.select(F.col("a").alias("cls"), F.col("b").alias("hub"), F.col("nb").alias("n_hub"), d.alias("d"), linked.alias("linked"))
+    far = far.union(star.select("b", "a", "na", d, linked))
+    rows = rows.join(facts, "cls", "left").join(far, ["cls", "hub"], "left")
+    is_hub = F.col("cls") == F.col("hub")
+    rows = rows.withColumns(
+        {
+            "label": F.coalesce("label", "cls"),
+            "lone": F.coalesce("lone", F.lit(0)),
+            "n_hub": F.when(is_hub, F.col("n")).otherwise(F.col("n_hub")),
+            "d": F.when(is_hub, 0).otherwise(F.col("d")),
+            "out": ~(is_hub | F.col("linked")),
+        }
+    ).drop("linked", "hub")
+    free = (F.col("d") - 2 * F.col("lone")) * whole > (F.col("n_hub") - F.col("n")) * rest
+    rows = cut(rows.withColumn("free", free).drop("n_hub"))
     asks, index = rows.where("mode >= 0"), rows.where("kind >= 0")
-    index = index.select("key", *[F.col(c).alias(f"{c}2") for c in ("cls", "n", "lone", "kind", "component", "d", "free", "out")])
+    index = index.select("key", *[F.col(c).alias(f"{c}2") for c in ("cls", "n", "lone", "kind", "label", "d", "free", "out")])
     smaller = (F.col("n2") < F.col("n")) | ((F.col("n2") == F.col("n")) & (F.col("cls2") < F.col("cls")))
     meet = (F.col("mode") == 1) | (F.col("kind2") == 0)
     sizes = F.col("n") + F.col("n2")
     possible = F.least(F.col("n") - F.col("lone"), F.col("n2") - F.col("lone2")) * whole >= sizes * percent
     apart = F.greatest(F.col("d") - F.col("d2") + 2 * F.col("lone2"), F.col("d2") - F.col("d") + 2 * F.col("lone"))
-    possible = possible & (F.coalesce(apart, F.lit(0)) * whole <= sizes * rest)
-    can = (F.col("component") != F.col("component2")) & smaller & meet & possible
-    found = [
-        asks.where("out").join(index.where("free2"), "key").where(can),
-        asks.where("NOT out AND free").join(index.where("out2"), "key").where(can),
-        asks.where("NOT out AND NOT free").join(index.where("out2 AND d2 IS NULL"), "key").where(can),
-        asks.where("out AND d IS NULL").join(index.where("NOT free2"), "key").where(can),
-    ]
-    last = found[0].union(found[1]).union(found[2]).union(found[3]).select(*_pair("cls", "cls2")).distinct()
-    more = cut(_similar(_common(last, sets), percent))
-    if not more.limit(1).count():
-        return joined
-    return components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    can = (F.col("label") != F.col("label2")) & smaller & meet & possible & (apart * whole <= sizes * rest)
+    # one of the two does not link with the hub, and the other one is free
+    last = asks.where("out").join(index.where("free2"), "key").where(can)
+    last = last.union(asks.where("NOT out AND free").join(index.where("out2"), "key").where(can))
+    last = last.select(*_pair("cls", "cls2")).distinct()
+    return components(near.union(_similar(_common(last, sets), percent)))
 
 
 @query("op12_jaccard_join")
