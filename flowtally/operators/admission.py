@@ -115,7 +115,7 @@ def budget_admission(
     for turn in range(max(1, rounds)):
         # no entry can hold more rows than its tenant and month, so one count does for both
         calm = hot_keys(current, _GROUP, order, min_rows=min_rows, parts=parts) is None
-        head, lost, unsure = _round(current, order, warn_ratio, NEVER if calm else min_rows, parts)
+        head, lost, unsure = _round(current, order, warn_ratio, NEVER if calm else min_rows)
         parts_out += [head, lost]
         if calm or turn >= rounds - 1:
             break
@@ -130,7 +130,7 @@ def budget_admission(
 
 
 def _round(
-    rows: DataFrame, order: str, warn_ratio: float, min_rows: int, parts: int
+    rows: DataFrame, order: str, warn_ratio: float, min_rows: int
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Split open requests into admitted ones, hopeless ones and the rest.
 
@@ -138,7 +138,7 @@ def _round(
     ones: spend of its tenant and month, and estimate of its entry.
     """
     zero = F.lit(0).cast("bigint")
-    split = dict(min_rows=min_rows, parts=parts)
+    split = dict(chunk_rows=min_rows)
     known = with_previous(rows, [*_GROUP, "entry_id", "__writes"], [order], {"__prev": "__cost"}, **split)
     delta = F.when(F.col("__writes"), F.col("__cost") - F.coalesce("__prev", "__own", zero)).otherwise(zero)
     summed = with_running(known.withColumn("__d", delta), _GROUP, [order], {"__after": "__d"}, **split)

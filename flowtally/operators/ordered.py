@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowtally.skew import MIN_ROWS, PARTS, with_position, with_previous
+from flowtally.skew import CHUNK_ROWS, with_position, with_previous
 
 # Fixed values
 ALLOWED_TRANSITIONS = (
@@ -109,13 +109,12 @@ def needs_rebuild(
     order: Sequence[str] = ("seq",),
     hash_col: str = "spec_hash",
     *,
-    min_rows: int = MIN_ROWS,
-    parts: int = PARTS,
+    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Add ``rebuild``: the specification differs from the job's previous one."""
     marked = requests.withColumn("__seen", F.lit(True))
     out = with_previous(
-        marked, [key], order, {"previous_hash": hash_col, "__had": "__seen"}, min_rows=min_rows, parts=parts
+        marked, [key], order, {"previous_hash": hash_col, "__had": "__seen"}, chunk_rows=chunk_rows
     )
     changed = F.col("__had").isNull() | ~F.col(hash_col).eqNullSafe(F.col("previous_hash"))
     return out.withColumn("rebuild", changed).select(*requests.columns, "previous_hash", "rebuild")
@@ -135,11 +134,10 @@ def check_transitions(
     order: Sequence[str] = ("ts", "seq"),
     state: str = "state",
     *,
-    min_rows: int = MIN_ROWS,
-    parts: int = PARTS,
+    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Add ``previous_state`` and ``legal``; the first event of a key is legal."""
-    out = with_previous(events, [key], order, {"previous_state": state}, min_rows=min_rows, parts=parts)
+    out = with_previous(events, [key], order, {"previous_state": state}, chunk_rows=chunk_rows)
     legal = F.coalesce(transition_legal("previous_state", state), F.lit(True))
     return out.withColumn("legal", legal)
 
@@ -167,11 +165,10 @@ def execution_history(
     key: str = "job_name",
     order: Sequence[str] = ("ts", "seq"),
     *,
-    min_rows: int = MIN_ROWS,
-    parts: int = PARTS,
+    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Events with their place in the job's history; a list per job could grow without limit."""
-    return with_position(events, [key], order, "position", min_rows=min_rows, parts=parts)
+    return with_position(events, [key], order, "position", chunk_rows=chunk_rows)
 
 
 def newest_first(df: DataFrame, order: Sequence[str] = ("seq",)) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowtally.plans.scd import OPEN_END
-from flowtally.skew import MIN_ROWS, PARTS, with_next
+from flowtally.skew import CHUNK_ROWS, with_next
 
 
 def late_arrival_scd2(
@@ -19,8 +19,7 @@ def late_arrival_scd2(
     current_flag: str = "is_current",
     tie_break: Sequence[str] = (),
     *,
-    min_rows: int = MIN_ROWS,
-    parts: int = PARTS,
+    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Rebuild validity: each version ends where the next one of its key starts.
 
@@ -29,7 +28,7 @@ def late_arrival_scd2(
     """
     base = history.drop(effective_to, current_flag)
     out = with_next(
-        base, keys, [effective_from, *tie_break], {"__until": effective_from}, min_rows=min_rows, parts=parts
+        base, keys, [effective_from, *tie_break], {"__until": effective_from}, chunk_rows=chunk_rows
     )
     return out.select(
         *base.columns,

@@ -387,3 +387,22 @@ def _(spark, sf):
     h = table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.col("o_orderdate").alias("effective_dt"))
     out = late_arrival_scd2(h, ["o_custkey"], tie_break=["o_orderkey"])
     return out.withColumns({"effective_dt": day("effective_dt"), "end_dt": day("end_dt")})
+
+
+@query(
+    "late_arrival_scd2_hot_key",
+    """WITH h AS (SELECT CASE WHEN o_orderkey % 3 > 0 THEN -1 ELSE o_custkey END AS o_custkey, o_orderkey,
+                        date_trunc('year', o_orderdate) AS d FROM orders)
+       SELECT o_custkey, o_orderkey, strftime(d, '%Y-%m-%d %H:%M:%S') AS effective_dt,
+              coalesce(strftime(lead(d) OVER w, '%Y-%m-%d %H:%M:%S'), '9999-12-31 00:00:00') AS end_dt,
+              lead(d) OVER w IS NULL AS is_current
+       FROM h WINDOW w AS (PARTITION BY o_custkey ORDER BY d, o_orderkey)""",
+)
+def _(spark, sf):
+    h = table(spark, sf, "orders").select(
+        F.when(F.col("o_orderkey") % 3 > 0, F.lit(-1)).otherwise(F.col("o_custkey")).alias("o_custkey"),
+        "o_orderkey",
+        F.date_trunc("year", "o_orderdate").alias("effective_dt"),
+    )
+    out = late_arrival_scd2(h, ["o_custkey"], tie_break=["o_orderkey"], chunk_rows=500)
+    return out.withColumns({"effective_dt": day("effective_dt"), "end_dt": day("end_dt")})

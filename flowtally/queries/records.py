@@ -254,6 +254,64 @@ def _(spark, sf):
     return ordered.execution_history(_builds(spark, sf)).select("job_name", "seq", "position")
 
 
+# The same log with one job that has most of the builds, all of a month at one time
+HOT_BUILDS_SQL = """
+builds AS (SELECT CASE WHEN event_id % 10 < 7 THEN 'job_hot' ELSE 'job_' || user_id END AS job_name, event_id AS seq,
+                  date_trunc('month', ts) AS ts, CASE WHEN event_id % 17 <> 0 THEN sha256(event_type) END AS spec_hash,
+                  CASE event_type WHEN 'click' THEN 'DRAFT' WHEN 'error' THEN 'FAILED' WHEN 'purchase' THEN 'APPLIED'
+                    WHEN 'signup' THEN 'PLAN_READY' ELSE 'RUNNING' END AS state
+           FROM events)
+"""
+# most rows of a job in one group, so that the hot job is cut at any scale
+HOT_CHUNK = 500
+
+
+def _hot_builds(spark, sf) -> DataFrame:
+    states = F.expr(
+        "CASE event_type WHEN 'click' THEN 'DRAFT' WHEN 'error' THEN 'FAILED' WHEN 'purchase' THEN 'APPLIED' "
+        "WHEN 'signup' THEN 'PLAN_READY' ELSE 'RUNNING' END"
+    )
+    return table(spark, sf, "events").select(
+        F.when(F.col("event_id") % 10 < 7, F.lit("job_hot")).otherwise(F.concat(F.lit("job_"), "user_id")).alias("job_name"),
+        F.col("event_id").alias("seq"),
+        F.date_trunc("month", "ts").alias("ts"),
+        F.when(F.col("event_id") % 17 != 0, F.sha2("event_type", 256)).alias("spec_hash"),
+        states.alias("state"),
+    )
+
+
+@query(
+    "needs_rebuild_hot_key",
+    f"""WITH {HOT_BUILDS_SQL}
+    SELECT job_name, seq, lag(seq) OVER w IS NULL OR spec_hash IS DISTINCT FROM lag(spec_hash) OVER w AS rebuild
+    FROM builds WINDOW w AS (PARTITION BY job_name ORDER BY ts, seq)""",
+)
+def _(spark, sf):
+    out = ordered.needs_rebuild(_hot_builds(spark, sf), order=["ts", "seq"], chunk_rows=HOT_CHUNK)
+    return out.select("job_name", "seq", "rebuild")
+
+
+@query(
+    "check_transitions_hot_key",
+    f"""WITH {HOT_BUILDS_SQL},
+    p AS (SELECT job_name, seq, state, lag(state) OVER (PARTITION BY job_name ORDER BY ts, seq) AS previous_state FROM builds)
+    SELECT *, previous_state IS NULL OR previous_state = state OR (previous_state <> 'FAILED' AND (previous_state, state) IN (
+      ('DRAFT', 'PLAN_READY'), ('APPLIED', 'RUNNING'), ('RUNNING', 'FAILED'))) AS legal FROM p""",
+)
+def _(spark, sf):
+    out = ordered.check_transitions(_hot_builds(spark, sf), chunk_rows=HOT_CHUNK)
+    return out.select("job_name", "seq", "state", "previous_state", "legal")
+
+
+@query(
+    "execution_history_hot_key",
+    f"""WITH {HOT_BUILDS_SQL}
+    SELECT job_name, seq, row_number() OVER (PARTITION BY job_name ORDER BY ts, seq) AS position FROM builds""",
+)
+def _(spark, sf):
+    return ordered.execution_history(_hot_builds(spark, sf), chunk_rows=HOT_CHUNK).select("job_name", "seq", "position")
+
+
 @query(
     "newest_first",
     f"WITH {BUILDS_SQL} SELECT seq, job_name FROM builds ORDER BY seq DESC",

@@ -1,18 +1,17 @@
 """Ordered per-key operators that do not put a hot key into one task.
 
 A plain ``Window.partitionBy(key).orderBy(ts)`` sends all rows of a key to one
-task.  So keys are counted first.  Where no key holds more than 1/``parts`` of
-all rows (nor fewer than ``min_rows``), the plain window is the plan.  Hot keys
-are cut into chunks along their order column: windows run per (key, chunk),
-and what has to cross a chunk border travels in a small table.
-
-The count comes back to the driver as at most ``parts`` rows, because no more
-keys can hold that share.  Chunk borders are quantiles of the order column, so
-chunks hold about equally many rows however the rows lie in time.  Hot keys
-make at most ``2 * parts`` chunks together, which bounds every table broadcast
-below.  Borders are fixed before the job is planned, so a task that runs again
-after an executor loss sees the same chunks.  Rows of a key that share one
-value of the first order column stay in one chunk.
+task.  ``lag``, ``lead``, running sums and positions therefore ask first
+whether a key may hold more than ``chunk_rows`` rows.  If none does, the plain
+window is the plan.  Otherwise the table is cut by range along (keys, order):
+windows run per (chunk, key), and what has to cross a border travels in a table
+of one row per chunk at most.  Nothing is collected, and the size of a chunk
+does not depend on the size of the table.
+
+``hot_keys`` and ``with_chunk`` cut hot keys alone, along one order column; the
+chains of the rate limit and the rounds of budget admission use them.  There a
+hot key is one with more than 1/``parts`` of all rows, so at most ``parts``
+keys reach the driver, and rows that share a value stay together.
 """
 
 from __future__ import annotations
@@ -23,6 +22,12 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowtally.lineage import cut
+
+# most rows of a key that one task may get
+CHUNK_ROWS = 1_000_000
+# counters of the heavy-hitter sketch
+TRACKED = 10_000
 PARTS = 1000
 MIN_ROWS = 10_000
 # as min_rows: the caller knows that no key is hot, so nothing is counted
@@ -122,86 +127,108 @@ def with_chunk(
     )
 
 
-def _carry_join(inner: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
+def may_have_hot_key(df: DataFrame, keys: Sequence[str], chunk_rows: int) -> tuple[bool, int]:
+    """Whether some key may hold more than ``chunk_rows`` rows, and the number of rows.
+
+    One pass fills a mergeable heavy-hitter sketch of bounded size.  Its count
+    of the heaviest key is an upper bound, and no other key holds more than the
+    sketch can overlook.  Where that is too coarse to tell, keys are counted.
+    False is proven; True may be a false alarm, which costs time only.
+    """
+    if chunk_rows >= NEVER:
+        return False, 0
+    hashed = F.xxhash64(*keys)
+    # the function is there in SQL only
+    top = F.call_function("approx_top_k", hashed, F.lit(1), F.lit(TRACKED))
+    rows, found = df.agg(F.count(F.lit(1)), top).first()
+    if rows <= chunk_rows:
+        return False, rows
+    if found and found[0]["count"] > chunk_rows:
+        return True, rows
+    # the sketch keeps at least TRACKED counters and overlooks 3.5 rows in so many; twice that shows without being listed
+    if 7 * rows <= chunk_rows * TRACKED:
+        return False, rows
+    most = df.groupBy(hashed.alias("k")).count().agg(F.max("count")).first()[0]
+    return most > chunk_rows, rows
+
+
+def range_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk_rows: int, rows: int) -> DataFrame:
+    """``df`` cut along (keys, order) into chunks of about half of ``chunk_rows`` rows, numbered in ``__chunk``.
+
+    Cuts go through all columns, so rows of one key and one time are cut too.
+    The number of chunks grows with the table and the size of a chunk does not.
+    Spark samples the borders while the plan runs, so the result is
+    checkpointed: every later step, and any repeated task, sees the same chunks.
+    """
+    parts = max(2, -(-2 * rows // chunk_rows))
+    by = [F.col(c).asc_nulls_first() for c in [*keys, *order]]
+    return cut(df.repartitionByRange(parts, *by).withColumn(CHUNK, F.spark_partition_id()))
+
+
+def _border_rows(chunks: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows of the first and the last key of each chunk; only these keys can go on in another chunk."""
+    key = F.struct(*keys)
+    ends = chunks.groupBy(CHUNK).agg(F.min(key).alias("__lo"), F.max(key).alias("__hi"))
+    found = chunks.join(ends, CHUNK).where(key.eqNullSafe(F.col("__lo")) | key.eqNullSafe(F.col("__hi")))
+    return found.drop("__lo", "__hi")
+
+
+def _carried(inner: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``inner`` with the row ``carry`` has for the chunk, and ``__same``: it is of the row's key.
+
+    A chunk goes on with one key of the chunk before it at most, so the join
+    is by chunk and adds no rows.
+    """
     names = [f"__carry_key{i}" for i in range(len(keys))]
-    side = carry
-    for k, n in zip(keys, names, strict=True):
-        side = side.withColumnRenamed(k, n)
-    side = side.withColumnRenamed(CHUNK, "__carry_chunk")
-    cond = _same_keys(keys, names) & (F.col(CHUNK) == F.col("__carry_chunk"))
-    return inner.join(F.broadcast(side), cond, "left").drop("__carry_chunk", *names)
+    side = carry.withColumnsRenamed(dict(zip(keys, names, strict=True)))
+    out = inner.join(side.withColumnRenamed(CHUNK, "__carry_chunk"), F.col(CHUNK) == F.col("__carry_chunk"), "left")
+    same = F.col("__carry_chunk").isNotNull() & _same_keys(keys, names)
+    return out.withColumn("__same", same).drop("__carry_chunk", *names)
 
 
 def _shift(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    values: Mapping[str, str],
-    forward: bool,
-    min_rows: int,
-    parts: int,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Mapping[str, str], forward: bool, chunk_rows: int
 ) -> DataFrame:
     columns = df.columns
-    asc = [F.col(c).asc_nulls_first() for c in order]
-    desc = [F.col(c).desc_nulls_last() for c in order]
-    chunked = with_chunk(df, keys, order[0], min_rows=min_rows, parts=parts)
-    if chunked is None:
-        plain = Window.partitionBy(*keys).orderBy(*(desc if forward else asc))
+    by = [F.col(c).desc_nulls_last() if forward else F.col(c).asc_nulls_first() for c in order]
+    hot, rows = may_have_hot_key(df, keys, chunk_rows)
+    if not hot:
+        plain = Window.partitionBy(*keys).orderBy(*by)
         return df.select(*columns, *[F.lag(source).over(plain).alias(name) for name, source in values.items()])
-    inside = Window.partitionBy(*keys, CHUNK).orderBy(*(desc if forward else asc))
+    chunks = range_chunks(df, keys, order, chunk_rows, rows)
     packed = F.struct(*[F.col(source).alias(name) for name, source in values.items()])
-    inner = chunked.withColumn("__near", F.lag(packed).over(inside)).withColumn(
-        "__edge", F.row_number().over(inside) == 1
+    inside = Window.partitionBy(CHUNK, *keys).orderBy(*by)
+    inner = chunks.repartition(CHUNK).withColumns(
+        {"__near": F.lag(packed).over(inside), "__edge": F.row_number().over(inside) == 1}
     )
     pick = F.min_by if forward else F.max_by
-    edges = chunked.where(HOT).groupBy(*keys, CHUNK).agg(pick(packed, F.struct(*order)).alias("__tail"))
+    edges = _border_rows(chunks, keys).groupBy(*keys, CHUNK).agg(pick(packed, F.struct(*order)).alias("__tail"))
     between = Window.partitionBy(*keys).orderBy(F.col(CHUNK).desc() if forward else F.col(CHUNK).asc())
-    carry = edges.select(*keys, CHUNK, F.lag("__tail").over(between).alias("__far")).where(F.col("__far").isNotNull())
-    out = _carry_join(inner, carry, keys)
-    use_far = F.col("__edge") & F.col(HOT)
+    carry = edges.select(*keys, CHUNK, F.lag("__tail").over(between).alias("__far")).where("__far IS NOT NULL")
+    out = _carried(inner, carry, keys)
+    use_far = F.col("__edge") & F.col("__same")
     return out.select(
         *columns,
-        *[
-            F.when(use_far, F.col(f"__far.{name}")).otherwise(F.col(f"__near.{name}")).alias(name)
-            for name in values
-        ],
+        *[F.when(use_far, F.col(f"__far.{n}")).otherwise(F.col(f"__near.{n}")).alias(n) for n in values],
     )
 
 
 def with_previous(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    values: Mapping[str, str],
-    *,
-    min_rows: int = MIN_ROWS,
-    parts: int = PARTS,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Mapping[str, str], *, chunk_rows: int = CHUNK_ROWS
 ) -> DataFrame:
     """``lag(source)`` as ``name`` for each ``name: source``; ``order`` must be total within a key."""
-    return _shift(df, keys, order, values, False, min_rows, parts)
+    return _shift(df, keys, order, values, False, chunk_rows)
 
 
 def with_next(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    values: Mapping[str, str],
-    *,
-    min_rows: int = MIN_ROWS,
-    parts: int = PARTS,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Mapping[str, str], *, chunk_rows: int = CHUNK_ROWS
 ) -> DataFrame:
     """``lead(source)`` as ``name`` for each ``name: source``; ``order`` must be total within a key."""
-    return _shift(df, keys, order, values, True, min_rows, parts)
+    return _shift(df, keys, order, values, True, chunk_rows)
 
 
 def with_running(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    sums: Mapping[str, str],
-    *,
-    min_rows: int = MIN_ROWS,
-    parts: int = PARTS,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Mapping[str, str], *, chunk_rows: int = CHUNK_ROWS
 ) -> DataFrame:
     """Inclusive running sums as ``name`` for each ``name: source``.
 
@@ -209,39 +236,29 @@ def with_running(
     """
     columns = df.columns
     asc = [F.col(c).asc_nulls_first() for c in order]
-    chunked = with_chunk(df, keys, order[0], min_rows=min_rows, parts=parts)
-    if chunked is None:
+    zero = F.lit(0)
+    hot, rows = may_have_hot_key(df, keys, chunk_rows)
+    if not hot:
         plain = Window.partitionBy(*keys).orderBy(*asc).rowsBetween(Window.unboundedPreceding, 0)
-        return df.select(
-            *columns, *[F.coalesce(F.sum(source).over(plain), F.lit(0)).alias(n) for n, source in sums.items()]
-        )
-    inside = Window.partitionBy(*keys, CHUNK).orderBy(*asc).rowsBetween(Window.unboundedPreceding, 0)
-    inner = chunked
-    for name, source in sums.items():
-        inner = inner.withColumn(f"__in_{name}", F.coalesce(F.sum(source).over(inside), F.lit(0)))
-    totals = chunked.where(HOT).groupBy(*keys, CHUNK).agg(
-        *[F.coalesce(F.sum(source), F.lit(0)).alias(f"__sum_{name}") for name, source in sums.items()]
+        return df.select(*columns, *[F.coalesce(F.sum(source).over(plain), zero).alias(n) for n, source in sums.items()])
+    chunks = range_chunks(df, keys, order, chunk_rows, rows)
+    inside = Window.partitionBy(CHUNK, *keys).orderBy(*asc).rowsBetween(Window.unboundedPreceding, 0)
+    inner = chunks.repartition(CHUNK).withColumns(
+        {f"__in_{n}": F.coalesce(F.sum(source).over(inside), zero) for n, source in sums.items()}
     )
+    totals = _border_rows(chunks, keys).groupBy(*keys, CHUNK)
+    totals = totals.agg(*[F.coalesce(F.sum(source), zero).alias(f"__sum_{n}") for n, source in sums.items()])
     before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(
-        *keys, CHUNK, *[F.sum(f"__sum_{name}").over(before).alias(f"__off_{name}") for name in sums]
-    )
-    out = _carry_join(inner, carry, keys)
-    return out.select(
-        *columns,
-        *[(F.col(f"__in_{n}") + F.coalesce(F.col(f"__off_{n}"), F.lit(0))).alias(n) for n in sums],
-    )
+    carry = totals.select(*keys, CHUNK, *[F.sum(f"__sum_{n}").over(before).alias(f"__off_{n}") for n in sums])
+    carry = carry.where(" OR ".join(f"`__off_{n}` IS NOT NULL" for n in sums))
+    out = _carried(inner, carry, keys)
+    offset = {n: F.when(F.col("__same"), F.col(f"__off_{n}")).otherwise(zero) for n in sums}
+    return out.select(*columns, *[(F.col(f"__in_{n}") + F.coalesce(offset[n], zero)).alias(n) for n in sums])
 
 
 def with_position(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    name: str = "position",
-    *,
-    min_rows: int = MIN_ROWS,
-    parts: int = PARTS,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "position", *, chunk_rows: int = CHUNK_ROWS
 ) -> DataFrame:
     """1-based position of each row within its key."""
     ones = df.withColumn("__one", F.lit(1).cast("bigint"))
-    return with_running(ones, keys, order, {name: "__one"}, min_rows=min_rows, parts=parts).drop("__one")
+    return with_running(ones, keys, order, {name: "__one"}, chunk_rows=chunk_rows).drop("__one")

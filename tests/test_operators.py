@@ -290,8 +290,8 @@ def test_latest_files(spark):
     assert O.latest_files(files, 0).count() == 1
 
 
-@pytest.mark.parametrize("min_rows", [10, 10_000])
-def test_hot_jobs_match_plain_windows(spark, min_rows):
+@pytest.mark.parametrize("chunk_rows", [10, 10_000])
+def test_hot_jobs_match_plain_windows(spark, chunk_rows):
     from pyspark.sql import Window
 
     states = F.array(*[F.lit(s) for s in ("DRAFT", "PLAN_READY", "PRECHECK_PASSED", "APPLIED", "RUNNING")])
@@ -301,7 +301,7 @@ def test_hot_jobs_match_plain_windows(spark, min_rows):
         F.get(states, F.col("id").cast("int") % 5).alias("state"),
     )
     w = Window.partitionBy("job_name").orderBy("seq")
-    got = O.check_transitions(e, order=["seq"], min_rows=min_rows, parts=50)
+    got = O.check_transitions(e, order=["seq"], chunk_rows=chunk_rows)
     want = e.select("seq", F.lag("state").over(w).alias("previous_state"))
     assert rows(got.select("seq", "previous_state")) == rows(want)
     legal = want.join(e, "seq").select("seq", F.coalesce(O.transition_legal("previous_state", "state"), F.lit(True)).alias("legal"))
