@@ -24,9 +24,10 @@ from pyspark.sql import functions as F
 from flowtally.llm.base import query, table
 
 # distinct words whose ids a task keeps; it starts afresh beyond that
-KEPT = 400_000
-# words up to this many bytes are folded by rescanning, longer ones with a heap
+KEPT = 1 << 17
+# words up to this many bytes are folded in a list, longer ones with a heap
 SHORT = 48
+UNRANKED = 1 << 62
 # words whose ids are laid out at once; bounds memory whatever a text's length
 GROUP = 1 << 18
 SLOTS = 1 << 14
@@ -42,8 +43,8 @@ def load_ranks(path: str) -> dict[bytes, int]:
 def fold(word: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
     """Ids of a word: the leftmost neighbouring pair of lowest rank merges until none is ranked.
 
-    A word that is a piece itself is that piece.  Short words are rescanned
-    after each merge; long ones keep their pairs in a heap, so a run of
+    A word that is a piece itself is that piece.  Short words keep the ranks of
+    their pairs in a list, of which a merge changes two; long ones keep their pairs in a heap, so a run of
     millions of letters takes n log n steps.
     """
     whole = ranks.get(word)
@@ -51,16 +52,17 @@ def fold(word: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
         return (whole,)
     if len(word) <= SHORT:
         parts = [word[i : i + 1] for i in range(len(word))]
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                r = ranks.get(parts[i] + parts[i + 1])
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if at < 0:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return tuple(ranks[p] for p in parts)
+        # rank of each part with the next one
+        pairs = [ranks.get(word[i : i + 2], UNRANKED) for i in range(len(word) - 1)]
+        while pairs and (least := min(pairs)) < UNRANKED:
+            at = pairs.index(least)
+            parts[at] += parts.pop(at + 1)
+            pairs.pop(at)
+            if at < len(pairs):
+                pairs[at] = ranks.get(parts[at] + parts[at + 1], UNRANKED)
+            if at:
+                pairs[at - 1] = ranks.get(parts[at - 1] + parts[at], UNRANKED)
+        return tuple(map(ranks.__getitem__, parts))
     n = len(word)
     end, after, before = list(range(1, n + 1)), list(range(1, n + 1)), list(range(-1, n - 1))
     alive = [True] * n
