@@ -57,6 +57,7 @@ CHOICES: Mapping[str, Sequence[str]] = {
     "language": ("pyspark", "scala"),
     "write_mode": ("merge", "append", "overwrite"),
 }
+DESCRIPTION = "Generated from requirement"
 # Fields whose absence from the text is worth a warning
 WARN_MISSING = ("env", "schedule", "source_table", "target_table")
 
@@ -86,7 +87,11 @@ def extract_spec(
     hint_col: str | None = None,
     defaults: Mapping[str, Any] | None = None,
 ) -> DataFrame:
-    """Add one column per specification field, ``warnings`` (codes) and ``confidence``.
+    """Add one column per specification field, ``description``, ``tags``, ``warnings`` (codes) and ``confidence``.
+
+    The text never names description and tags: they come from ``defaults``,
+    tags as a list or as text parted by commas.  Without them the description
+    is a fixed one and the only tag is the row's ``env``.
 
     ``defaults`` replaces the built-in default of a field and silences its
     "missing" warning.
@@ -141,6 +146,13 @@ def extract_spec(
             warn(F.col(f"__raw_{name}").isNull(), f"{name}.missing")
         fields[name] = F.coalesce(raw, F.lit(value))
 
+    fields["description"] = F.lit(str(given.get("description") or DESCRIPTION).strip() or DESCRIPTION)
+    tags = given.get("tags")
+    if tags:
+        tags = [str(t).strip() for t in (tags.split(",") if isinstance(tags, str) else tags)]
+        fields["tags"] = F.array(*[F.lit(t) for t in tags if t]).cast("array<string>")
+    else:
+        fields["tags"] = F.array(fields["env"])
     fields["warnings"] = F.array_compact(F.array(*warnings))
     out = out.withColumns(fields)
     confidence = F.greatest(F.lit(0.5), F.least(F.lit(1.0), F.round(1.0 - 0.1 * F.size("warnings"), 2)))

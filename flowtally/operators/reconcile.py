@@ -141,6 +141,45 @@ def sync_summary(items: DataFrame) -> DataFrame:
     )
 
 
+# What to do with a sync, by how the two histories lie to each other
+SYNC_ACTIONS = {
+    "unrelated_histories": "reset_or_rebaseline_required",
+    "diverged": "manual_resolution_required",
+    "workspace_behind_linear": "safe_auto_apply_possible",
+    "workspace_ahead_linear": "workspace_ahead_review_then_apply",
+}
+OTHER_ACTION = "manual_review"
+
+
+def recommended_action(topology: Column | str) -> Column:
+    """The action a topology asks for; any other one, NULL included, asks for a review."""
+    t = F.col(topology) if isinstance(topology, str) else topology
+    out = F.lit(OTHER_ACTION)
+    for name, action in SYNC_ACTIONS.items():
+        out = F.when(t == name, action).otherwise(out)
+    return out
+
+
+def sync_summaries(items: DataFrame, syncs: DataFrame, key: str = "sync") -> DataFrame:
+    """One row per sync of ``syncs(key, topology)``: its item counts and ``recommended_action``.
+
+    Counts are made per key before the join, so a sync with most of the items
+    is one row per task.  Syncs without items have zeros; items of no known
+    sync are left out; repeated syncs stay.
+    """
+    auto = F.col("apply_mode") == "safe_auto"
+    counts = items.groupBy(F.col(key).alias("__key")).agg(
+        F.count(F.lit(1)).alias("total_items"),
+        F.count_if(auto).alias("safe_auto_items"),
+        F.count_if(~F.coalesce(auto, F.lit(False))).alias("manual_items"),
+    )
+    names = ("total_items", "safe_auto_items", "manual_items")
+    out = syncs.select(key, "topology").join(counts, F.col(key).eqNullSafe(F.col("__key")), "left")
+    return out.select(
+        key, "topology", *[F.coalesce(n, F.lit(0)).alias(n) for n in names], recommended_action("topology").alias("recommended_action")
+    )
+
+
 def manifest_equal(
     a: DataFrame,
     b: DataFrame,
@@ -204,6 +243,34 @@ def verify_summary(checks: DataFrame, strict_no_extras: bool = False) -> DataFra
     return counts.withColumn("ok", ok)
 
 
+def verify_releases(checks: DataFrame, releases: DataFrame, key: str = "release", strict_no_extras: bool = False) -> DataFrame:
+    """One row per release: file counts, ``sha256_match`` of its archive, ``manifest_ok`` and ``ok``.
+
+    ``checks`` are rows of ``verify_hashes`` with the release they belong to,
+    ``releases`` are ``(key, expected_sha256, actual_sha256)`` of the archives.
+    Without an expected hash the archive matches; without an archive it does
+    not.  Without the packaging manifest nothing can be checked file by file:
+    a release with no check rows has a manifest that is not ok.
+    """
+    statuses = {"missing": "missing", "extras": "extra", "mismatched": "mismatched"}
+    counts = checks.groupBy(F.col(key).alias("__key")).agg(*[F.count_if(F.col("status") == s).alias(n) for n, s in statuses.items()])
+    out = releases.join(counts, F.col(key).eqNullSafe(F.col("__key")), "left")
+    known = F.col("missing").isNotNull()
+    clean = known & (F.col("missing") == 0) & (F.col("mismatched") == 0)
+    if strict_no_extras:
+        clean = clean & (F.col("extras") == 0)
+    there = F.col("actual_sha256").isNotNull()
+    match = there & (F.col("expected_sha256").isNull() | (F.col("expected_sha256") == F.col("actual_sha256")))
+    match, clean = (F.coalesce(c, F.lit(False)) for c in (match, clean))
+    return out.select(
+        key,
+        *[F.coalesce(n, F.lit(0)).alias(n) for n in statuses],
+        match.alias("sha256_match"),
+        clean.alias("manifest_ok"),
+        (match & clean).alias("ok"),
+    )
+
+
 def artifact_integrity(expected: DataFrame, artifacts: DataFrame, sums: DataFrame) -> DataFrame:
     """Check each expected ``path`` against ``artifacts(path, sha256)`` and ``sums(path, line)``.
 

@@ -128,6 +128,29 @@ def _(spark, sf):
     return rec.sync_summary(rec.three_way_reconcile(*_sides(spark, sf)))
 
 
+_TOPOLOGY = """CASE n_nationkey % 6 WHEN 0 THEN 'unrelated_histories' WHEN 1 THEN 'diverged' WHEN 2 THEN 'workspace_behind_linear'
+  WHEN 3 THEN 'workspace_ahead_linear' WHEN 4 THEN 'equal' END"""
+
+
+@query(
+    "sync_summaries",
+    f"""WITH t AS ({THREE_SQL}), s AS (SELECT n_nationkey AS sync, {_TOPOLOGY} AS topology FROM nation),
+        c AS (SELECT length(path) AS sync, count(*) AS total_items, count(*) FILTER (apply_mode = 'safe_auto') AS safe_auto_items
+              FROM t GROUP BY 1)
+        SELECT sync, topology, coalesce(total_items, 0) AS total_items, coalesce(safe_auto_items, 0) AS safe_auto_items,
+               coalesce(total_items - safe_auto_items, 0) AS manual_items,
+               CASE topology WHEN 'unrelated_histories' THEN 'reset_or_rebaseline_required' WHEN 'diverged' THEN 'manual_resolution_required'
+                 WHEN 'workspace_behind_linear' THEN 'safe_auto_apply_possible'
+                 WHEN 'workspace_ahead_linear' THEN 'workspace_ahead_review_then_apply' ELSE 'manual_review' END AS recommended_action
+        FROM s LEFT JOIN c USING (sync)""",
+)
+def _(spark, sf):
+    """A sync per nation; paths belong to the sync of their length."""
+    items = rec.three_way_reconcile(*_sides(spark, sf)).withColumn("sync", F.length("path"))
+    syncs = table(spark, sf, "nation").select(F.col("n_nationkey").alias("sync"), F.expr(_TOPOLOGY).alias("topology"))
+    return rec.sync_summaries(items, syncs)
+
+
 @query(
     "manifest_equal",
     f"""WITH {FILES_SQL}, c AS (SELECT path, sha256, CASE WHEN size % 2 = 0 THEN size END AS size FROM base)
@@ -175,6 +198,31 @@ def _(spark, sf):
     return rec.verify_summary(rec.verify_hashes(base, ws))
 
 
+@query(
+    "verify_releases",
+    f"""WITH v AS ({VERIFY_SQL}),
+        r AS (SELECT n_nationkey AS release, CASE WHEN n_nationkey % 5 <> 0 THEN sha256(n_name) END AS e,
+                     CASE n_nationkey % 4 WHEN 1 THEN sha256('other') WHEN 3 THEN NULL ELSE sha256(n_name) END AS a FROM nation),
+        c AS (SELECT length(path) AS release, count(*) FILTER (status = 'missing') AS missing, count(*) FILTER (status = 'extra') AS extras,
+                     count(*) FILTER (status = 'mismatched') AS mismatched FROM v GROUP BY 1),
+        j AS (SELECT release, coalesce(missing, 0) AS missing, coalesce(extras, 0) AS extras, coalesce(mismatched, 0) AS mismatched,
+                     a IS NOT NULL AND (e IS NULL OR e = a) AS sha256_match,
+                     coalesce(missing = 0 AND mismatched = 0, false) AS manifest_ok FROM r LEFT JOIN c USING (release))
+        SELECT *, sha256_match AND manifest_ok AS ok FROM j""",
+)
+def _(spark, sf):
+    """A release per nation; files belong to the release of their path's length."""
+    base, _, ws = _sides(spark, sf)
+    checks = rec.verify_hashes(base, ws).withColumn("release", F.length("path"))
+    k, own = F.col("n_nationkey"), F.sha2("n_name", 256)
+    releases = table(spark, sf, "nation").select(
+        k.alias("release"),
+        F.when(k % 5 != 0, own).alias("expected_sha256"),
+        F.when(k % 4 == 1, F.sha2(F.lit("other"), 256)).when(k % 4 != 3, own).alias("actual_sha256"),
+    )
+    return rec.verify_releases(checks, releases)
+
+
 @query(
     "artifact_integrity",
     f"""WITH {FILES_SQL}, j AS (

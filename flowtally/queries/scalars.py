@@ -217,6 +217,7 @@ def _texts(spark, sf):
       CASE WHEN o_orderkey % 7 < 4 THEN 'cur.t' || (o_custkey % 9) ELSE 'curated_db.target_table' END AS target_table,
       CASE WHEN o_orderkey % 11 < 6 THEN 'dt' || (o_custkey % 4) ELSE 'dd' END AS partition_column,
       CASE WHEN o_orderkey % 4 = 2 THEN 'append' ELSE 'merge' END AS write_mode,
+      'Generated from requirement' AS description, CASE o_orderkey % 3 WHEN 0 THEN 'qa' WHEN 1 THEN 'prod' ELSE 'dev' END AS tags,
       [CASE WHEN o_orderkey % 2 = 0 THEN 'job_name.sanitized' ELSE 'job_name.missing' END,
        CASE WHEN o_orderkey % 3 = 2 THEN 'env.missing' END,
        CASE WHEN o_orderkey % 8 = 5 THEN 'schedule.invalid' WHEN o_orderkey % 4 > 1 THEN 'schedule.missing' END,
@@ -228,7 +229,7 @@ def _texts(spark, sf):
 )
 def _(spark, sf):
     out = fn.extract_spec(_texts(spark, sf), "text")
-    return out.drop("o_custkey", "text", "preset").withColumn("warnings", F.array_join("warnings", ","))
+    return out.drop("o_custkey", "text", "preset").withColumns({c: F.array_join(c, ",") for c in ("warnings", "tags")})
 
 
 @query(

@@ -89,6 +89,10 @@ def test_requirement_text(spark):
     ).where("i = 0").first()
     assert (own.env, own.source_table, own.target_table, own.schedule) == ("prod", "a.b", "curated_db.target_table", "0 6 * * *")
     assert own.warnings == ["preset.invalid", "job_name.missing", "language.invalid"]
+    assert (got[1].description, got[1].tags, own.tags) == ("Generated from requirement", ["qa"], ["prod"])
+    described = fn.extract_spec(df, "t", defaults={"description": " daily ", "tags": "a, ,b"}).where("i = 1").first()
+    assert (described.description, described.tags) == ("daily", ["a", "b"])
+    assert fn.extract_spec(df, "t", defaults={"description": "  ", "tags": ["x", 1]}).where("i = 1").first().tags == ["x", "1"]
     hinted = fn.extract_spec(df.withColumn("h", F.lit("my job")), "t", "h").where("i = 0").first()
     assert hinted.job_name == "my_job" and "job_name.sanitized" in hinted.warnings
 

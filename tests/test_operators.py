@@ -306,3 +306,37 @@ def test_hot_jobs_match_plain_windows(spark, chunk_rows):
     assert rows(got.select("seq", "previous_state")) == rows(want)
     legal = want.join(e, "seq").select("seq", F.coalesce(O.transition_legal("previous_state", "state"), F.lit(True)).alias("legal"))
     assert rows(got.select("seq", "legal")) == rows(legal)
+
+
+def test_every_sync_gets_an_action(spark):
+    items = spark.createDataFrame(
+        [(1, "safe_auto"), (1, "manual"), (1, None), (2, "safe_auto"), (9, "manual"), (None, "manual")], "sync int, apply_mode string"
+    )
+    syncs = spark.createDataFrame(
+        [(1, "diverged"), (2, "workspace_behind_linear"), (3, "workspace_ahead_linear"), (4, "unrelated_histories"), (5, "equal"), (None, None)],
+        "sync int, topology string",
+    )
+    got = {r.sync: tuple(r)[2:] for r in R.sync_summaries(items, syncs).collect()}
+    assert got == {
+        1: (3, 1, 2, "manual_resolution_required"),
+        2: (1, 1, 0, "safe_auto_apply_possible"),
+        3: (0, 0, 0, "workspace_ahead_review_then_apply"),
+        4: (0, 0, 0, "reset_or_rebaseline_required"),
+        5: (0, 0, 0, "manual_review"),
+        None: (1, 0, 1, "manual_review"),
+    }
+
+
+def test_a_release_needs_its_archive_and_its_files(spark):
+    checks = spark.createDataFrame(
+        [("a", "ok"), ("a", "extra"), ("b", "ok"), ("b", "missing"), ("c", "mismatched"), ("d", "ok"), ("e", "unchecked")], "release string, status string"
+    )
+    releases = spark.createDataFrame(
+        [("a", "h", "h"), ("b", "h", "h"), ("c", None, "h"), ("d", "h", "x"), ("e", None, "h"), ("f", "h", "h"), ("g", "h", None)],
+        "release string, expected_sha256 string, actual_sha256 string",
+    )
+    got = {r.release: (r.sha256_match, r.manifest_ok, r.ok) for r in R.verify_releases(checks, releases).collect()}
+    t, f = True, False
+    assert got == {"a": (t, t, t), "b": (t, f, f), "c": (t, f, f), "d": (f, t, f), "e": (t, t, t), "f": (t, f, f), "g": (f, f, f)}
+    strict = R.verify_releases(checks, releases, strict_no_extras=True)
+    assert {r.release for r in strict.where("ok").collect()} == {"e"}
