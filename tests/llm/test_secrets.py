@@ -3,6 +3,8 @@ from __future__ import annotations
 import hashlib
 import re
 
+from pyspark.sql import functions as F
+
 from flowtally.llm.secrets import RULES, findings_by_path, op9_secret_scan, redact, scan_new, span_text
 
 SMALL = "/root/testdata/sf0.001"
@@ -44,9 +46,16 @@ def test_spans_equal_brute_force(spark):
     assert by_path(df, found) == {i: plain_spans(t or "") for i, t in enumerate(TEXTS)}
 
 
-def test_query_equals_brute_force(spark):
-    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
-    for r in op9_secret_scan(spark, SMALL).collect():
+def test_query_equals_brute_force(spark, tmp_path):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    # every fifth text gets one of the odd ones, since the small table holds no secrets
+    odd = F.array(*[F.lit(t) for t in TEXTS if t])
+    planted = F.concat("text", F.lit("\n"), F.get(odd, (F.col("doc_id") / 5 % len([t for t in TEXTS if t])).cast("int")))
+    docs = docs.withColumn("text", F.when(F.col("doc_id") % 5 == 0, planted).otherwise(F.col("text")))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert sum(bool(plain_spans(t)) for t in texts.values()) > 20
+    for r in op9_secret_scan(spark, str(tmp_path)).collect():
         spans = plain_spans(texts[r.doc_id])
         assert r.base_sha256 == sha(spans)
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(spans.count(f"{k}:") for k in ("assign", "access", "hex"))
