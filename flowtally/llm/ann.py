@@ -105,12 +105,26 @@ class Index:
         return base[:, None] + steps @ sets.T
 
 
-def candidates(index: Index, lifted: np.ndarray, queries: np.ndarray) -> np.ndarray:
-    """Which rows each query meets in a visited bucket of any table: queries x rows, boolean."""
+def candidates(index: Index, lifted: np.ndarray, queries: np.ndarray, least: int = 0) -> np.ndarray:
+    """Which rows each query meets in a visited bucket of any table: queries x rows, boolean.
+
+    A query that meets fewer than ``least`` rows probes on, twice as far each
+    time, until it has them; after ``MOST_PROBES`` buckets of each table it
+    meets all rows.
+    """
+    met = _met(index, lifted, queries, index.probes)
+    probes, least = index.probes, min(least, len(lifted))
+    while len(short := np.nonzero(met.sum(axis=1) < least)[0]):
+        probes *= 2
+        met[short] = True if probes > MOST_PROBES else _met(index, lifted, queries[short], probes)
+    return met
+
+
+def _met(index: Index, lifted: np.ndarray, queries: np.ndarray, count: int) -> np.ndarray:
     met = np.zeros((len(queries), len(lifted)), bool)
     for t in range(len(index.directions)):
         buckets, inverse = np.unique(index.codes(lifted, t), return_inverse=True)
-        probes = index.probe_codes(queries, t, index.probes)
+        probes = index.probe_codes(queries, t, count)
         at = np.minimum(np.searchsorted(buckets, probes), len(buckets) - 1)
         visited = np.zeros((len(queries), len(buckets)), bool)
         q, p = np.nonzero(buckets[at] == probes)
@@ -169,7 +183,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     its id, so no bucket, however full, is ever gathered in one place.  In a
     shard each query visits its buckets in all tables, the candidates are
     merged and ranked by the exact inner product (added up in order, in double
-    precision), and its k best leave as one row.  Hash functions and probes are
+    precision), and its k best leave as one row.  A query that meets too few
+    rows of a shard probes on, so k rows are found wherever k exist.  Hash functions and probes are
     fitted on ``SAMPLE`` rows with the smallest hash of their id; their size is
     fixed.  Buckets and candidates are never cut off.
 
@@ -212,11 +227,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
             index = shared.value
             ids, x = left["id"].to_numpy(), np.stack(left["vec"].to_numpy())
             columns = np.ascontiguousarray(x.T)
+            # rows of one id lie in one shard
+            repeated = 1 + len(ids) - len(np.unique(ids))
             lifted = index.rows(x)
             for at in range(0, len(right), QUERY_BLOCK):
                 part = right.iloc[at : at + QUERY_BLOCK]
                 y = np.stack(part["vec"].to_numpy())
-                met = candidates(index, lifted, y)
+                # its own row is no candidate, and rows of one id are one
+                met = candidates(index, lifted, y, k + repeated)
                 for i, qid in enumerate(part["id"].tolist()):
                     found = np.nonzero(met[i] & (ids != qid))[0]
                     if not len(found):

@@ -17,7 +17,7 @@ SQL: dict[str, str] = {}
 SPACE = "\\x20\\x09-\\x0D"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
-__all__ = ["QUERIES", "SQL", "Query", "SPACE", "SPACE_CHARS", "hash_bound", "query", "table", "words_of"]
+__all__ = ["QUERIES", "SQL", "Query", "SPACE", "SPACE_CHARS", "column", "free_names", "hash_bound", "query", "table", "words_of"]
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -41,6 +41,23 @@ def hash_bound(picks: DataFrame, n: int) -> int | None:
     return picks.orderBy("pick").limit(n).agg(F.max("pick")).first()[0]
 
 
+def column(name: str):
+    """The column of exactly this name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The given names for helper columns, made longer until none clashes with a column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def words_of(text):
     """The words of a text as an array; empty for NULL or blank text."""
     trimmed = F.trim(F.coalesce(text, F.lit("")), F.lit(SPACE_CHARS))

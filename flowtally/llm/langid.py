@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowtally.llm.base import hash_bound, query, table
+from flowtally.llm.base import column, free_names, hash_bound, query, table
 
 # each of the feature families below hashes into this many weights
 FAMILY = 1 << 16
@@ -324,9 +324,10 @@ def predict(docs: DataFrame, crf: Crf, text_col: str = "text") -> DataFrame:
             langs, scores = tagger.predict(batch.tolist())
             yield pd.DataFrame({"lang_pred": langs, "score": scores})
 
-    kept = [F.col(c) for c in docs.columns if c not in ("lang_pred", "score")]
-    tagged = docs.select(*kept, tag(F.col(text_col).cast("string")).alias("_tag"))
-    return tagged.select(*kept, "_tag.lang_pred", "_tag.score")
+    kept = [column(c) for c in docs.columns if c not in ("lang_pred", "score")]
+    (made,) = free_names(docs, "tag")
+    tagged = docs.select(*kept, tag(column(text_col).cast("string")).alias(made))
+    return tagged.select(*kept, f"{made}.lang_pred", f"{made}.score")
 
 
 @query("op5_language_id")

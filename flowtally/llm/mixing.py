@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from flowtally.lineage import cut
-from flowtally.llm.base import query, table, words_of
+from flowtally.llm.base import column, query, table, words_of
 
 # levels of bisection that one pass over the source totals evaluates, and passes
 LEVELS, PASSES = 4, 10
@@ -78,7 +79,7 @@ def fit_exponent(totals: DataFrame, budget: float | None, entropy: float | None
     return a, budget
 
 
-def mix(
+def allot(
     docs: DataFrame,
     tokens,
     budget: float | None = None,
@@ -89,7 +90,7 @@ def mix(
     source_col: str = "source",
     id_col: str = "doc_id",
 ) -> DataFrame:
-    """``docs`` drawn to the target weights: a row per copy, with ``_epoch``, ``_block`` and ``_row``.
+    """``docs`` with ``_copies``, how often the target weights use each row (0 too), ``_mix_b``, its block, and ``_mix_key``, a hash.
 
     ``tokens`` is a column expression for a row's token count (NULL: 0).  A
     source that is due r times its tokens is used floor(r) times whole and then
@@ -97,17 +98,21 @@ def mix(
     permuted and rows are permuted within their block, and rows are taken while
     the tokens before them are under what is left of the budget.  Block totals
     are summed first, so the running sum of a source of any size is a short
-    window over blocks and one window inside each block.  Sorting by
-    ``(_epoch, _block, _row)`` gives the order of the mixture.
+    window over blocks and one window inside each block.
 
     ``entropy_share`` is the target entropy as a share of log(number of
     sources).  NULL is a source of its own.  Rows of a source without any
-    tokens are used once.  Repeated rows count each.  Columns of ``docs`` whose
-    names begin with ``_mix_`` or equal the three new ones are left out.
+    tokens are used once.  Repeated rows count each, and each has its own number
+    of copies.  Rows without an id are placed by all their columns that can be
+    hashed.  Columns of ``docs`` whose names begin with ``_mix_`` or equal
+    ``_copies``, ``_epoch``, ``_block`` or ``_row`` are left out.
     """
-    kept = [c for c in docs.columns if not c.startswith("_mix_") and c not in ("_epoch", "_block", "_row")]
-    d = docs.select(*kept, F.coalesce(tokens.cast("long"), F.lit(0)).alias("_mix_tokens"))
-    source = F.col(source_col)
+    names = [c for c in docs.columns if not c.startswith("_mix_") and c not in ("_copies", "_epoch", "_block", "_row")]
+    kept = [column(c) for c in names]
+    hashable = [column(f.name) for f in docs.schema.fields if f.name in names and not re.search("map<|variant", f.dataType.simpleString())]
+    key = F.when(column(id_col).isNull(), F.xxhash64(F.lit(seed), *hashable)).otherwise(F.xxhash64(F.lit(seed), column(id_col)))
+    d = docs.select(*kept, F.coalesce(tokens.cast("long"), F.lit(0)).alias("_mix_tokens"), key.alias("_mix_key"))
+    source = column(source_col)
     totals = d.groupBy(source.alias("src")).agg(F.sum("_mix_tokens").alias("tokens"), F.count("*").alias("rows"))
     totals = cut(totals)
     total = totals.agg(F.sum("tokens"), F.count(F.when(F.col("tokens") > 0, 1)), F.count("*"), F.sum("rows")).first()
@@ -125,35 +130,39 @@ def mix(
         F.ceil(F.col("rows") / block_rows).alias("_mix_blocks"),
     )
 
-    def mixed(*cols):
-        return F.xxhash64(F.lit(seed), *cols)
-
-    # a row finds its block without knowing the others: blocks are ranges of the row's hash
-    place = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit("block"), F.col(id_col), F.col("_mix_tokens")), 44)
+    # a row finds its block without knowing the others: blocks are ranges of 31 bits of the row's hash
+    place = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit("block"), F.col("_mix_key"), F.col("_mix_tokens")), 33)
     sources, rows = total[2], total[3] or 0
     plan = F.broadcast(plan) if sources <= BROADCAST_ROWS else plan
     planned = d.join(plan, source.eqNullSafe(F.col("_mix_src")))
-    block = F.floor(place * F.col("_mix_blocks") / (1 << 20))
+    block = F.shiftright(place * F.col("_mix_blocks"), 31)
     # the source's own name for a group key that may be NULL
     planned = planned.withColumns({"_mix_b": block})
     blocks = planned.groupBy("_mix_src", "_mix_b", "_mix_full").agg(F.sum("_mix_tokens").alias("t"))
-    order = W.partitionBy("_mix_src").orderBy(mixed(F.col("_mix_full"), F.col("_mix_b")), "_mix_b")
+    order = W.partitionBy("_mix_src").orderBy(F.xxhash64(F.lit(seed), "_mix_full", "_mix_b"), "_mix_b")
     before = F.sum("t").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("t")
     blocks = blocks.select(F.col("_mix_src").alias("_mix_bs"), F.col("_mix_b").alias("_mix_bb"), before.alias("_mix_before"))
     blocks = F.broadcast(blocks) if rows / block_rows + sources <= BROADCAST_ROWS else blocks
     same = F.col("_mix_src").eqNullSafe(F.col("_mix_bs")) & (F.col("_mix_b") == F.col("_mix_bb"))
     joined = planned.join(blocks, same)
-    inside = W.partitionBy("_mix_bs", "_mix_bb").orderBy(mixed(F.col("_mix_full"), F.col(id_col), F.col("_mix_tokens")), id_col, "_mix_tokens")
+    inside = W.partitionBy("_mix_bs", "_mix_bb").orderBy(F.xxhash64(F.lit(seed), "_mix_full", "_mix_key", "_mix_tokens"), "_mix_key", "_mix_tokens")
     inside = F.sum("_mix_tokens").over(inside.rowsBetween(W.unboundedPreceding, 0)) - F.col("_mix_tokens")
     copies = F.col("_mix_full") + (F.col("_mix_before") + inside < F.col("_mix_part")).cast("int")
-    drawn = joined.withColumn("_mix_copies", copies.cast("int")).where("_mix_copies > 0")
-    drawn = drawn.withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.col("_mix_copies") - 1)))
-    return drawn.select(
-        *kept,
-        "_epoch",
-        mixed(F.col("_epoch"), F.col("_mix_b")).alias("_block"),
-        mixed(F.col("_epoch"), F.col(id_col), F.col("_mix_tokens")).alias("_row"),
-    )
+    return joined.select(*kept, copies.cast("int").alias("_copies"), "_mix_b", F.xxhash64("_mix_key", "_mix_tokens").alias("_mix_key"))
+
+
+def mix(docs: DataFrame, tokens, budget: float | None = None, seed: int = 1, **targets) -> DataFrame:
+    """``docs`` drawn to the target weights: a row per copy, with ``_epoch``, ``_block`` and ``_row``.
+
+    Copies and arguments are those of ``allot``.  Sorting by
+    ``(_epoch, _block, _row)`` gives the order of the mixture.
+    """
+    given = allot(docs, tokens, budget, seed=seed, **targets)
+    kept = [column(c) for c in given.columns if c not in ("_copies", "_mix_b", "_mix_key")]
+    epochs = F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))
+    drawn = given.where("_copies > 0").select(*kept, "_mix_b", "_mix_key", epochs.alias("_epoch"))
+    block, row = (F.xxhash64(F.lit(seed), "_epoch", c) for c in ("_mix_b", "_mix_key"))
+    return drawn.select(*kept, "_epoch", block.alias("_block"), row.alias("_row"))
 
 
 @query("op8_mix_sources")
@@ -162,7 +171,5 @@ def op8_mix_sources(spark, sf_dir):
     sized = docs.select("doc_id", "source", F.size(words_of(F.col("text"))).cast("long").alias("n_tokens"))
     sized = cut(sized)
     budget = float(sized.agg(F.sum("n_tokens")).first()[0] or 0)
-    drawn = mix(sized, F.col("n_tokens"), budget, entropy_share=0.97, max_repeat=4.0)
-    copies = drawn.groupBy("doc_id", "n_tokens").agg(F.count("*").alias("copies")).toDF("_id", "_n", "copies")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("n_tokens") == F.col("_n"))
-    return sized.join(copies, same, "left").select("doc_id", "source", "n_tokens", F.coalesce("copies", F.lit(0)).alias("copies"))
+    given = allot(sized, F.col("n_tokens"), budget, entropy_share=0.97, max_repeat=4.0)
+    return given.select("doc_id", "source", "n_tokens", F.col("_copies").cast("long").alias("copies"))

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flowtally.lineage import cut
-from flowtally.llm.base import query, table
+from flowtally.llm.base import column, free_names, query, table
 
 
 @dataclass(frozen=True)
@@ -129,16 +129,19 @@ def findings_by_path(docs: DataFrame, found: DataFrame, path_col: str = "doc_id"
 def redact(docs: DataFrame, found: DataFrame, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
     """``docs`` with every found span replaced by ``mark``; overlapping spans become one.
 
-    Rows without findings keep their text, NULL included.  Columns stay as they are.
+    Rows without findings keep their text, NULL included.  Columns stay as they are, whatever their names.
     """
     before = W.partitionBy("blob").orderBy("start", "end")
     reach = F.max("end").over(before.rowsBetween(W.unboundedPreceding, -1))
     runs = found.select("blob", "start", "end").withColumn("new", (F.coalesce(reach, F.lit(-1)) < F.col("start")).cast("int"))
     runs = runs.withColumn("run", F.sum("new").over(before.rowsBetween(W.unboundedPreceding, 0)))
     runs = runs.groupBy("blob", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    runs = runs.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_runs"))
-    blob = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
-    text, runs_col = F.col(text_col), F.col("_runs")
+    runs = runs.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("runs"))
+    text = column(text_col)
+    key, own = free_names(docs, "blob", "runs")
+    runs = runs.toDF(key, own)
+    blob = F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
+    runs_col = F.col(own)
     # the clean piece before each run, then what follows the last
     from_ = F.transform(runs_col, lambda r, i: F.when(i == 0, F.lit(0)).otherwise(F.get(runs_col, i - 1)["end"]))
     pieces = F.transform(
@@ -147,12 +150,8 @@ def redact(docs: DataFrame, found: DataFrame, text_col: str = "text", mark: str
     )
     rest = F.substring(text, (F.element_at(runs_col, -1)["end"] + 1).cast("int"), F.length(text))
     clean = F.array_join(F.concat(pieces, F.array(rest)), mark)
-    return (
-        docs.withColumn("_blob", blob)
-        .join(runs.withColumnRenamed("blob", "_blob"), "_blob", "left")
-        .withColumn(text_col, F.when(runs_col.isNull(), text).otherwise(clean))
-        .select(*docs.columns)
-    )
+    new = F.when(runs_col.isNull(), text).otherwise(clean).alias(text_col)
+    return docs.withColumn(key, blob).join(runs, key, "left").select(*[new if c == text_col else column(c) for c in docs.columns])
 
 
 def span_text(spans):

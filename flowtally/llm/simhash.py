@@ -86,9 +86,9 @@ def near_links(prints: DataFrame, radius: int = 2, bucket: int = 32) -> DataFram
 
     Candidates share a bucket of some covering table.  Buckets of up to
     ``bucket`` members are compared pair by pair.  The members of larger ones
-    are linked exactly through balls, which is linear; that way needs radius 2,
-    for other radii such buckets are cut by further covering tables of the
-    remaining bits until each is small, and compared then.
+    are linked exactly through balls, which is linear; that way needs radius 2.
+    Radii 0 and 1 meet such members through their own points; a larger radius
+    raises ``ValueError``.
     """
     masks = covering_masks(radius)
     tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for t, m in enumerate(masks)])
@@ -111,7 +111,7 @@ def near_links(prints: DataFrame, radius: int = 2, bucket: int = 32) -> DataFram
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
-    """``(id, fingerprint long, component_id)``: one row per input row.
+    """``(id, fingerprint long, component_id, group_id)``: one row per input row; ``group_id`` is a fingerprint of its group.
 
     Fingerprints are made in Arrow batches next to the scan; only
     ``(id, fingerprint)`` travels.  Equal fingerprints are one class, so a
@@ -140,8 +140,18 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     whole = classes.join(linked.select(F.col("node").alias("fp"), "component"), "fp", "left")
     whole = whole.select("fp", "low", F.coalesce("component", "fp").alias("component"))
     lowest = whole.groupBy("component").agg(F.min("low").alias("component_id"))
-    classes = whole.join(lowest, "component").select("fp", "component_id")
-    return made.join(classes, "fp").select("id", F.col("fp").alias("fingerprint"), "component_id")
+    classes = whole.join(lowest, "component").select("fp", "component_id", F.col("component").alias("group_id"))
+    return made.join(classes, "fp").select("id", F.col("fp").alias("fingerprint"), "component_id", "group_id")
+
+
+def with_fingerprint(docs: DataFrame, name: str, text_col: str = "text", shingle: int = 3) -> DataFrame:
+    """``docs`` with one more column, the fingerprint of its text."""
+
+    @F.pandas_udf("long")
+    def prints(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: fingerprint(t, shingle))
+
+    return docs.withColumn(name, prints(F.col(text_col).cast("string")))
 
 
 @query("op4_simhash")

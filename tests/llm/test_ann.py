@@ -104,3 +104,24 @@ def test_fit_on_few_rows():
     x = np.eye(3)
     for n in (1, 2, 3):
         assert fit(x[:n], n, 20, {0: 1.0}).probes >= 1
+
+
+def test_twenty_one_rows_give_twenty_each(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(21)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = by_query(nearest(df, df.where("vec_id % 20 = 0")).collect())
+    assert got == {q: plain(dict(rows), q) for q in (0, 20)}
+
+
+def test_queries_probe_on_until_they_have_enough():
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(300, 16))
+    norm = np.linalg.norm(x, axis=1)
+    bands = {e: norm.max() for e in range(-2, 6)}
+    index = Index.make(16, 4, 8, 1.0, bands)
+    lifted = index.rows(x)
+    few = ann.candidates(index, lifted, x[:40])
+    more = ann.candidates(index, lifted, x[:40], 25)
+    assert few.sum(axis=1).min() < 25 <= more.sum(axis=1).min() and not (few & ~more).any()
+    assert ann.candidates(index, lifted, x[:2], 1000).all()

@@ -86,3 +86,11 @@ def test_groups_do_not_change_the_result(monkeypatch):
     monkeypatch.setattr(langid, "KEPT", 3)
     langs, scores = Tagger(crf).predict(texts)
     assert langs == whole[0] and np.allclose(scores, whole[1])
+
+
+def test_clashing_names_are_carried(spark):
+    crf = train([("en", ["the", "thing"]), ("de", ["der", "keit"])] * 5)
+    df = spark.createDataFrame([("the thing", 1, 2, 3)], ["text", "tag", "_tag", "a.b"])
+    out = predict(df, crf)
+    assert out.columns == [*df.columns, "lang_pred", "score"]
+    assert tuple(out.first())[:5] == ("the thing", 1, 2, 3, "en")

@@ -6,7 +6,8 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from flowtally.llm.mixing import fit_exponent, mix, op8_mix_sources
+from flowtally.llm.base import words_of
+from flowtally.llm.mixing import allot, fit_exponent, mix, op8_mix_sources
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -114,3 +115,28 @@ def test_null_tokens_repeated_rows_and_nothing(spark):
     assert drawn.where("_epoch = 0").count() == 4
     assert mix(df.where("1 = 0"), F.col("n"), None, max_repeat=2.0).collect() == []
     assert mix(df.where("n IS NULL"), F.col("n"), 10.0, entropy_share=0.5).count() == 1
+
+
+def test_each_repeated_row_has_its_own_copies(spark):
+    df = spark.createDataFrame([(1, "a", 5), (1, "a", 5), (2, "b", 5)], "doc_id long, source string, n int")
+    given = allot(df, F.col("n"), 15.0)
+    assert sorted((r.doc_id, r._copies) for r in given.collect()) == [(1, 1), (1, 1), (2, 1)]
+    half = allot(df.where("source = 'a'"), F.col("n"), 5.0).collect()
+    assert sorted(r._copies for r in half) == [0, 1]
+
+
+def test_rows_without_ids_are_spread_over_blocks(spark):
+    df = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a").alias("source"), "id", F.lit(3).alias("n"))
+    sizes = [r["count"] for r in allot(df, F.col("n"), block_rows=100).groupBy("_mix_b").count().collect()]
+    assert len(sizes) == 40 and max(sizes) < 200
+
+
+def test_clashing_and_dotted_names(spark):
+    df = spark.createDataFrame([(1, "a", 5, "p", "q")], ["doc_id", "source", "n", "a.b", "_mix_key"])
+    drawn = mix(df, F.col("n"), 5.0)
+    assert drawn.columns == ["doc_id", "source", "n", "a.b", "_epoch", "_block", "_row"] and drawn.first()["a.b"] == "p"
+
+
+def test_a_very_long_text_is_one_row(spark):
+    df = spark.createDataFrame([(1, "a", "w " * 1_000_000), (2, "a", "w")], "doc_id long, source string, text string")
+    assert mix(df, F.size(words_of(F.col("text")))).groupBy("doc_id").count().collect().__len__() == 2

@@ -100,3 +100,20 @@ def test_run_and_odd_rows(spark, tmp_path):
     empty = tmp_path / "none"
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{empty}/documents.parquet")
     assert pipeline.run(spark, str(empty)).collect() == []
+
+
+def test_rows_that_share_an_id_are_told_apart_by_text(spark):
+    a, b, c = (" ".join(f"{w}{i}" for i in range(60)) for w in ("alpha", "beta", "gamma"))
+    rows = [(3, b, 0), (5, a, 1), (5, b, 2), (5, a, 3), (None, c, 4), (None, c, 5), (None, a, 6), (None, "one two", 7), (5, c + " x y z", 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, id int")
+    kept = pipeline.near_duplicates(spark, df, None)
+    assert kept.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(
+        [(3, b), (5, a), (None, "one two"), *plain_choice([(None, c), (5, c + " x y z")])], key=str
+    )
+
+
+def plain_choice(pair):
+    """Both texts if their fingerprints differ in more than two bits, else that with an id."""
+    near = bin(plain_fingerprint(pair[0][1]) ^ plain_fingerprint(pair[1][1])).count("1") <= 2
+    return pair[1:] if near else pair

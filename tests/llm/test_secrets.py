@@ -103,3 +103,12 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     found, seen = scan_new(df)
     assert found.count() == 0 and seen.count() == 0 and findings_by_path(df, found).count() == 0 and redact(df, found).count() == 0
+
+
+def test_redaction_with_clashing_names(spark):
+    df = spark.createDataFrame([(1, "password = hunter2-hunter2", "r", "b", "d")], ["doc_id", "text", "runs", "blob", "a.b"])
+    df = df.withColumn("_runs", F.lit("x")).withColumn("_blob", F.lit("y"))
+    clean = redact(df, scan_new(df)[0])
+    assert clean.columns == df.columns
+    r = clean.first()
+    assert "hunter2" not in r.text and (r.runs, r.blob, r["a.b"], r._runs, r._blob) == ("r", "b", "d", "x", "y")
