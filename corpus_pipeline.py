@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowtally.lineage import cut, new_folder
-from flowtally.llm import bpe, langid, mixing, secrets, simhash
+from flowtally.llm import base, bpe, langid, mixing, secrets, simhash
 from flowtally.llm.base import words_of
 
 # mean word marginal under which no single language is accepted
@@ -32,15 +32,26 @@ def language(spark, docs, sf_dir):
 def near_duplicates(spark, docs, sf_dir):
     """Keep the document with the smallest id of each SimHash group, and one of its repeated rows.
 
-    Rows with a NULL id can't be told apart from their group's other rows by
-    id; they stay only if their group has no row with an id.
+    Rows that share an id are told apart by their fingerprint: of a group the
+    row with the smallest id stays, then the one with the smallest fingerprint,
+    then any one of those equal in both.  Rows with a NULL id stay only if
+    their group has no row with an id, one row of each group.
     """
     groups = simhash.simhash_groups(docs.select("doc_id", "text"))
-    keep = groups.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy(F.col("id").alias("_id")).count()
-    keep = cut(keep)
-    kept = docs.join(keep, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
+    lowest = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fingerprint")).alias("low")
+    keep = cut(groups.groupBy("group_id").agg(lowest))
+    key, mark, rest = base.free_names(docs, "id", "print", "rest")
+    one = keep.select(F.col("low.id").alias(key), F.col("low.fingerprint").alias(mark))
     # ids that rows share are rare; without any, no second pass over the texts is needed
-    return kept.dropDuplicates(["doc_id"]) if keep.where("count > 1").limit(1).count() else kept
+    shared = cut(groups.groupBy(F.col("id").alias(key)).agg(F.count("*").alias(rest)).where(F.col(rest) > 1))
+    same = F.col("doc_id").eqNullSafe(F.col(key))
+    kept = docs.join(one, same, "left_semi")
+    if not shared.limit(1).count():
+        return kept
+    alone = kept.join(shared, same, "left_anti")
+    several = simhash.with_fingerprint(kept.join(shared, same, "left_semi"), mark)
+    chosen = several.join(one.withColumnRenamed(mark, rest), same & (F.col(mark) == F.col(rest)), "left_semi")
+    return alone.union(chosen.dropDuplicates(["doc_id", mark]).select(*docs.columns))
 
 
 def redact_secrets(spark, docs, sf_dir):
