@@ -41,36 +41,48 @@ FROM level{below}
 
 _LEVELS = 4
 _NUMBER = "schema_of_variant({v}) RLIKE '^(BIGINT|DOUBLE|DECIMAL)'"
-_PLAIN = "regexp_replace(regexp_replace(to_json({v}), '([.][0-9]*?)0+$', '$1'), '[.]$', '')"
+# strings, numbers, and all else between them, of a text that has sorted keys and no white space
+_TOKENS = r"""regexp_extract_all(to_json({v}), r'"(?:[^"\\]|\\.)*+"|-?[0-9][0-9.E+-]*+|[^"0-9-]++', 0)"""
+_PLAIN = "regexp_replace(regexp_replace({t}, '([.][0-9]*?)0+$', '$1'), '[.]$', '')"
 
 
-def _differs(a: str, b: str, lists: int = 2) -> str:
+def _differs(a: str, b: str) -> str:
     """SQL that is true for two different values.
 
     Numbers are equal by value: a number with an exponent or many digits is a
     double and compared as one, others digit by digit without trailing zeros.
-    Lists are compared item by item, lists in them as well; what objects
-    inside a list hold is compared as text.
+    Lists, and whatever lists hold at any depth, are compared token by token of
+    their sorted texts: numbers in them are equal if their digits are, or, where
+    one is written with an exponent, if their doubles are.
     """
-    numbers = f"{_NUMBER.format(v=a)} AND {_NUMBER.format(v=b)}"
+    text_a, text_b = f"to_json({a})", f"to_json({b})"
     doubles = f"NOT (try_variant_get({a}, '$', 'double') <=> try_variant_get({b}, '$', 'double'))"
-    exact = f"(schema_of_variant({a}) <> 'DOUBLE' AND schema_of_variant({b}) <> 'DOUBLE' AND {_PLAIN.format(v=a)} <> {_PLAIN.format(v=b)})"
-    cases = f"WHEN {numbers} THEN {doubles} OR {exact}"
-    if lists:
-        one, two = (f"try_variant_get({v}, '$', 'array<variant>')" for v in (a, b))
-        p, q = f"p{lists}", f"q{lists}"
-        # a JSON null in a list is a NULL item
-        items = f"CASE WHEN {p} IS NULL OR {q} IS NULL THEN {p} IS NOT NULL OR {q} IS NOT NULL ELSE {_differs(p, q, lists - 1)} END"
-        found = f"exists(zip_with({one}, {two}, ({p}, {q}) -> {items}), x -> x)"
-        cases += f" WHEN {one} IS NOT NULL AND {two} IS NOT NULL THEN size({one}) <> size({two}) OR {found}"
-    return f"(CASE WHEN to_json({a}) = to_json({b}) THEN false {cases} ELSE to_json({a}) <> to_json({b}) END)"
+    plain = f"{_PLAIN.format(t=text_a)} <> {_PLAIN.format(t=text_b)}"
+    exact = f"(schema_of_variant({a}) <> 'DOUBLE' AND schema_of_variant({b}) <> 'DOUBLE' AND {plain})"
+    number = "p RLIKE '^[-0-9]' AND q RLIKE '^[-0-9]'"
+    value = "(contains(p, 'E') OR contains(q, 'E')) AND try_cast(p AS double) = try_cast(q AS double)"
+    same = f"p = q OR ({number} AND ({_PLAIN.format(t='p')} = {_PLAIN.format(t='q')} OR ({value})))"
+    # a shorter side is filled up with NULL, which is no equal token
+    tokens = f"exists(zip_with({_TOKENS.format(v=a)}, {_TOKENS.format(v=b)}, (p, q) -> coalesce(NOT ({same}), true)), x -> x)"
+    return f"""(CASE WHEN {text_a} = {text_b} THEN false
+      WHEN {_NUMBER.format(v=a)} AND {_NUMBER.format(v=b)} THEN {doubles} OR {exact}
+      WHEN {text_a} LIKE '[%' AND {text_b} LIKE '[%' THEN {tokens}
+      ELSE {text_a} <> {text_b} END)"""
 
 
 def object_depth(text: Column | str) -> Column:
     """How deeply objects are nested in a JSON text; braces inside strings don't count."""
     text = F.col(text) if isinstance(text, str) else text
+    return _nesting(_braces(text))
+
+
+def _braces(text: Column) -> Column:
     bare = F.regexp_replace(text, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', "")
-    braces = F.split(F.regexp_replace(bare, "[^{}]+", ""), "")
+    return F.regexp_replace(bare, "[^{}]+", "")
+
+
+def _nesting(braces: Column) -> Column:
+    braces = F.split(braces, "")
 
     def step(s, c):
         now = s["now"] + F.when(c == "{", 1).when(c == "}", -1).otherwise(0)
@@ -85,8 +97,8 @@ def json_diff(df: DataFrame, before: str, after: str, depth: int | None = None)
     Both documents stay in their row: each level turns two objects into one
     row per key that may differ, so nothing is joined or shuffled.  A subtree
     found on one side only is reported at its top key, lists are compared as a
-    whole, and ``$`` stands for a differing root.  Objects are followed to any
-    depth: the plan has as many levels as the deepest pair of the data, which a
+    whole by the values they hold at any depth, and ``$`` stands for a differing
+    root.  Objects are followed to any depth: the plan has as many levels as the deepest pair of the data, which a
     first pass over the texts measures (one number).  A caller who knows a
     bound passes ``depth`` and saves that pass; a deeper pair then fails the
     job.  Rows where a side is missing or no valid JSON give nothing;
@@ -94,7 +106,9 @@ def json_diff(df: DataFrame, before: str, after: str, depth: int | None = None)
     """
     kept = [c for c in df.columns if c not in (before, after)]
     if depth is None:
-        depth = df.agg(F.max(F.least(object_depth(before), object_depth(after)))).first()[0] or 0
+        # documents of one shape are folded once; combined before the shuffle
+        shapes = df.select(_braces(F.col(before)).alias("x"), _braces(F.col(after)).alias("y")).distinct()
+        depth = shapes.agg(F.max(F.least(_nesting(F.col("x")), _nesting(F.col("y"))))).first()[0] or 0
     # a side that is NULL compares to NULL and drops out at the end; a filter
     # here would be pushed below the projection and parse everything twice
     parsed = df.select(*kept, parse_json(before).alias("__x"), parse_json(after).alias("__y"))

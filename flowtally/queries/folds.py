@@ -62,7 +62,7 @@ def _(spark, sf):
          SELECT 'r' || o_custkey AS run_id, CASE o_custkey % 6 WHEN 0 THEN 'PENDING' WHEN 1 THEN 'RUNNING' WHEN 2 THEN 'CANCELING'
                 WHEN 3 THEN 'SUCCEEDED' WHEN 4 THEN 'FAILED' ELSE 'CANCELED' END AS status FROM orders GROUP BY o_custkey),
        cmd AS (SELECT 'r' || o_custkey AS run_id, CASE WHEN o_orderkey % 3 = 0 THEN 'cancel' ELSE 'retry' END AS command,
-                      row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders WHERE o_orderkey % 4 = 0),
+                      row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
        f(run_id, status, asked, retries, errors, n) AS (
          SELECT run_id, status, FALSE, 0, 0, 0 FROM runs
          UNION ALL
@@ -99,7 +99,7 @@ def _(spark, sf):
         F.lit(None).cast("string").alias("terminal_reason"),
         F.lit(0).alias("retry_count"),
     )
-    commands = o.where("o_orderkey % 4 = 0").select(
+    commands = o.select(
         run,
         F.when(F.col("o_orderkey") % 3 == 0, "cancel").otherwise("retry").alias("command"),
         F.col("o_orderkey").alias("seq"),

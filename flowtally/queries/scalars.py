@@ -384,6 +384,25 @@ def _(spark, sf):
     return fn.json_diff(docs, "before", "after").select("o_orderkey", "path", "change")
 
 
+@query(
+    "json_diff_lists",
+    """SELECT o_orderkey, 'items' AS path, 'modified' AS change FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 5 = 0
+       UNION ALL SELECT o_orderkey, 'deep', 'modified' FROM orders WHERE o_orderkey % 7 = 0
+       UNION ALL SELECT o_orderkey, 'names', 'modified' FROM orders WHERE o_orderkey % 11 = 0""",
+)
+def _(spark, sf):
+    """Objects and lists inside lists; numbers in them written in another way are equal, texts that look so are not."""
+    docs = table(spark, sf, "orders").selectExpr(
+        "o_orderkey",
+        """concat('{"items": [{"tags": [', o_orderkey + 1, ', {"v": ', o_orderkey + 1, 'e2}], "qty": ', o_orderkey + 1,
+             '}, null], "deep": [[[', o_orderkey + 1, ', {"a": -0.50}]]], "names": ["q\\\\" 1.0", "1.0"]}') AS before""",
+        """concat('{"items": [{"qty": ', o_orderkey + 1, IF(o_orderkey % 3 = 0, '.5', '.0'), ', "tags": [', o_orderkey + 1, '.00, {"v": ',
+             o_orderkey + 1, IF(o_orderkey % 5 = 0, '01', '00'), '}]}, null], "deep": [[[', o_orderkey + 1, ', {"a": -0.5',
+             IF(o_orderkey % 7 = 0, ', "b": 1', ''), '}]]], "names": ["q\\\\" 1.0", "1', IF(o_orderkey % 11 = 0, '', '.0'), '"]}') AS after""",
+    )
+    return fn.json_diff(docs, "before", "after").select("o_orderkey", "path", "change")
+
+
 @query(
     "numeric_or_null",
     """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN value END AS amount FROM events""",

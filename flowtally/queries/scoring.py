@@ -205,7 +205,7 @@ def _(spark, sf):
 @query(
     "decide_execution",
     f"""WITH {LEDGER_SQL}, {BUDGETS_SQL},
-        spent AS (SELECT tenant, month, sum(estimated_cost_usd) AS used FROM ledger_log WHERE seq % 3 = 0 GROUP BY 1, 2),
+        spent AS (SELECT tenant, month, sum(estimated_cost_usd) AS used FROM ledger_log GROUP BY 1, 2),
         jobs AS (SELECT seq, tenant, month, estimated_cost_usd / 8 AS cost, seq % 250 AS minutes, seq % 230 AS executors,
                         CASE WHEN seq % 4 <> 0 THEN (seq % 100) / 100.0::DOUBLE END AS risk FROM ledger_log),
         j AS (SELECT jobs.*, coalesce(used, 0) AS used, coalesce(limit_usd, 250.0::DOUBLE) AS lim
@@ -230,7 +230,7 @@ def _(spark, sf):
         (k % 230).alias("executors"),
         F.when(k % 4 != 0, (k % 100) / 100.0).alias("risk_score"),
     )
-    out = sc.decide_execution(jobs, log.where("seq % 3 = 0"), budgets(spark, sf))
+    out = sc.decide_execution(jobs, log, budgets(spark, sf))
 
     def codes(name: str):
         return F.array_join(F.transform(name, lambda n: n["code"]), ",").alias(name)

@@ -60,10 +60,18 @@ def test_json_diff(spark):
             (3, '{"v": 12345678901234567890}', '{"v": 12345678901234567891}'),
             (4, '{"v": [1, null]}', '{"v": [1, 0]}'),
             (5, '{"v": "1.0"}', '{"v": "1"}'),
+            (6, '[{"x":100}]', '[{"x":1e2}]'),
+            (7, '[[[[{"x":[1.0, "a\\\\"1.0"]}]]]]', '[[[[{"x":[1, "a\\\\"1.0"]}]]]]'),
+            (8, '[{"x":"1.0"}]', '[{"x":"1"}]'),
+            (9, '[{"x":1,"y":2}]', '[{"y":2.0,"x":1}]'),
+            (10, '[1, 2]', '[12]'),
+            (11, '[9007199254740993]', '[9007199254740992]'),
+            (12, '[]', '[null]'),
+            (13, '[1e400]', '[true]'),
         ],
         "id int, x string, y string",
     )
-    assert sorted(r.id for r in fn.json_diff(numbers, "x", "y").collect()) == [3, 4, 5]
+    assert sorted(r.id for r in fn.json_diff(numbers, "x", "y").collect()) == [3, 4, 5, 8, 10, 11, 12, 13]
     assert rows(df.select("id", fn.json_parseable("x", "y").alias("ok")).where("not ok").select("id")) == [(4,), (9,)]
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Exchange" not in plan
