@@ -2,98 +2,43 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowtally.lineage import cut
 from flowtally.operators.ordered import top_k_per_group
 
-# A task holds one block of queries and one slice of documents
-BLOCK_QUERIES = 5_000
-BLOCK_CHARS = 8_000_000
-SLICE_CHARS = 64_000_000
-
-_HITS = "query_id {q}, doc_id {d}, score double, seq bigint"
-_BUFFER = 200_000
-
-
-def _index(queries: pd.DataFrame):
-    """Token postings per (tenant, collection), and the distinct token count of each query."""
-    postings: dict = {}
-    sizes = np.ones(len(queries))
-    for i, (tenant, collection, text) in enumerate(
-        zip(queries["tenant"], queries["collection"], queries["query"], strict=True)
-    ):
-        words = set((text or "").lower().split())
-        sizes[i] = max(1, len(words))
-        table = postings.setdefault((tenant, collection), {})
-        for word in words:
-            table.setdefault(word, []).append(i)
-    for table in postings.values():
-        for word, hits in table.items():
-            table[word] = np.array(hits)
-    return postings, sizes
-
-
-class _Best:
-    """The best ``k`` documents per query seen so far."""
-
-    def __init__(self, k: int) -> None:
-        self.k = k
-        self.parts: list[tuple] = []
-        self.size = 0
-
-    def add(self, query: np.ndarray, score: np.ndarray, seq: int, doc) -> None:
-        self.parts.append((query, score, np.full(len(query), seq), np.full(len(query), doc, dtype=object)))
-        self.size += len(query)
-        if self.size > _BUFFER:
-            self.prune()
-
-    def prune(self) -> None:
-        if not self.parts:
-            return
-        q, s, o, d = (np.concatenate(c) for c in zip(*self.parts, strict=True))
-        order = np.lexsort((o, -s, q))
-        q, s, o, d = q[order], s[order], o[order], d[order]
-        start = np.r_[True, q[1:] != q[:-1]]
-        place = np.arange(len(q)) - np.maximum.accumulate(np.where(start, np.arange(len(q)), 0))
-        keep = place < self.k
-        self.parts = [(q[keep], s[keep], o[keep], d[keep])]
-        # pruning pays only once the buffer has grown well past what is kept
-        self.size = min(int(keep.sum()), _BUFFER // 2)
-
-
-def _score(docs: pd.DataFrame, postings: dict, sizes: np.ndarray, best: _Best) -> None:
-    for tenant, collection, doc, text, seq in zip(
-        docs["tenant"], docs["collection"], docs["doc_id"], docs["text"], docs["seq"], strict=True
-    ):
-        table = postings.get((tenant, collection))
-        if not table:
-            continue
-        hits = [table[w] for w in set((text or "").lower().split()) if w in table]
-        if hits:
-            counts = np.bincount(np.concatenate(hits))
-            found = np.flatnonzero(counts)
-            best.add(found, np.round(counts[found] / sizes[found], 4), seq, doc)
-
-
-def _result(best: _Best, queries: pd.DataFrame) -> pd.DataFrame:
-    best.prune()
-    empty = np.array([], dtype=int), np.array([], dtype=float), np.array([], dtype=int), np.array([], dtype=object)
-    q, s, o, d = best.parts[0] if best.parts else empty
-    ids = queries["query_id"].to_numpy(dtype=object)[q]
-    # object columns: pandas would turn text ids into a chunked type Spark does not take
-    return pd.DataFrame(
-        {
-            "query_id": pd.Series(ids, dtype=object),
-            "doc_id": pd.Series(d, dtype=object),
-            "score": s,
-            "seq": o.astype("int64"),
-        }
-    )
+# a token of more documents or of more queries than this is heavy
+LIGHT_ROWS = 10_000
+# documents, and queries, of one heavy token that meet in one cell of its join
+CELL_ROWS = 10_000
+# Fixed value: what parts words
+SPACES = r"[\s\x1c-\x1f\x85\p{Z}]+"
+
+_TERM = ["scope", "token"]
+_PAIR = ["query_id", "q", "m", "doc_id", "seq", "row"]
+
+
+def _words(text: str) -> Column:
+    """The distinct lower-cased words of a text."""
+    return F.array_remove(F.array_distinct(F.split(F.lower(F.col(text)), SPACES)), "")
+
+
+def _terms(texts: DataFrame, text: str, *ids: Column) -> DataFrame:
+    """One row per distinct word of each text: the scope as one value, the word, and ``ids``."""
+    split = texts.withColumn("words", _words(text)).select(F.struct("tenant", "collection").alias("scope"), "words", *ids)
+    names = [c for c in split.columns if c != "words"]
+    # unlike explode, the outer form adds no filter that would split every text once more
+    return split.select(*names, F.explode_outer("words").alias("token")).where("token IS NOT NULL")
+
+
+def _score(shared: Column | str, size: str) -> Column:
+    return F.bround((F.col(shared) if isinstance(shared, str) else shared) / F.col(size), 4)
+
+
+def _pairs(terms: DataFrame, postings: DataFrame, on: list[str]) -> DataFrame:
+    """Number of common tokens per query and document that have one."""
+    return terms.join(postings, on).groupBy(*_PAIR).agg(F.count(F.lit(1)).alias("c"))
 
 
 def text_search(
@@ -101,68 +46,99 @@ def text_search(
     docs: DataFrame,
     k: int = 5,
     *,
-    block_queries: int = BLOCK_QUERIES,
-    slice_chars: int = SLICE_CHARS,
+    light_rows: int = LIGHT_ROWS,
+    cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
     """Top ``k`` documents per query within its tenant and collection.
 
-    The score is the share of the query's distinct lower-cased tokens that the
+    The score is the share of the query's distinct lower-cased words that the
     document holds, to 4 decimals; scores of 0 are left out and ties go to the
-    smaller ``seq``.  Queries are (tenant, collection, query_id, query),
-    documents (tenant, collection, doc_id, text, seq).
-
-    Pairs are never rows: each task scores its documents against a block of
-    queries and puts out its own best ``k`` per query.  When all queries fit
-    one block (checked by count and length), the block is broadcast and
-    documents stay where they are.  Otherwise queries are cut into blocks and
-    documents into slices by hash, and every block meets every slice.
+    smaller ``seq``, then ``doc_id``.  Queries are (tenant, collection,
+    query_id, query), documents (tenant, collection, doc_id, text, seq).  NULL
+    tenants and collections are scopes of their own, a NULL or empty text has
+    no words, repeated rows of documents are hits of their own, and rows that
+    share a ``query_id`` share its ``k`` places.
+
+    An inverted join: words of queries meet the same words of documents.  A
+    word of more than ``light_rows`` documents or queries is heavy.  Light
+    words are joined first, which gives each query its documents with the
+    words they share, and so a floor, the score its ``k``-th of them has
+    already.  Where a query's heavy words together score less than the floor,
+    only documents met by light words can win: those that can still reach the
+    floor get their heavy words counted one document at a time.  Other queries
+    join their heavy words too, cut into cells of about ``cell_rows``
+    documents and ``cell_rows`` queries.  Both ways are exact.
     """
     k = max(1, int(k))
-    ids = queries.schema["query_id"].dataType.simpleString(), docs.schema["doc_id"].dataType.simpleString()
-    schema = _HITS.format(q=ids[0], d=ids[1])
-    q = queries.select("tenant", "collection", "query_id", "query")
-    d = docs.select("tenant", "collection", "doc_id", "text", F.col("seq").cast("bigint").alias("seq"))
-    size = q.agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("query")), F.lit(0)).alias("chars")
-    ).first()
-    if size["n"] <= block_queries and size["chars"] <= BLOCK_CHARS:
-        hits = _by_broadcast(q, d, k, schema)
+    # row numbers are set before words become rows; the cut makes them final
+    asked = _terms(queries, "query", F.col("query_id"), F.monotonically_increasing_id().alias("q"), F.size("words").alias("m"))
+    known = _terms(docs, "text", F.col("doc_id"), F.col("seq").cast("bigint").alias("seq"), F.monotonically_increasing_id().alias("row"))
+    terms = cut(asked)
+    wanted = terms.groupBy(*_TERM).agg(F.count(F.lit(1)).alias("asked"))
+    postings = cut(known.join(wanted.select(*_TERM), _TERM, "left_semi"))
+    held = postings.groupBy(*_TERM).agg(F.count(F.lit(1)).alias("held"))
+    heavy = cut(held.join(wanted, _TERM).where(F.greatest("held", "asked") > light_rows))
+    if heavy.isEmpty():
+        counts = _pairs(terms, postings, _TERM)
     else:
-        blocks = max(-(-size["n"] // block_queries), -(-size["chars"] // BLOCK_CHARS))
-        hits = _by_blocks(q, d, k, schema, int(blocks), slice_chars)
-    best = top_k_per_group(hits, ["query_id"], [F.col("score").desc(), "seq", "doc_id"], k)
-    return best.select("query_id", "doc_id", "score", "seq")
-
-
-def _by_broadcast(q: DataFrame, d: DataFrame, k: int, schema: str) -> DataFrame:
-    block = q.sparkSession.sparkContext.broadcast(q.toPandas())
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        postings, sizes = _index(block.value)
-        best = _Best(k)
-        for batch in batches:
-            _score(batch, postings, sizes, best)
-        yield _result(best, block.value)
+        counts = _by_weight(terms, postings, heavy, k, cell_rows)
+    scored = counts.select("query_id", "doc_id", _score("c", "m").alias("score"), "seq")
+    return top_k_per_group(scored, ["query_id"], [F.col("score").desc(), "seq", "doc_id"], k)
+
+
+def _by_weight(terms: DataFrame, postings: DataFrame, heavy: DataFrame, k: int, cell_rows: int) -> DataFrame:
+    """Common tokens of every pair that can be among a query's best ``k``."""
+    light = cut(_pairs(terms.join(heavy, _TERM, "left_anti"), postings, _TERM))
+    weighty = cut(terms.join(heavy, _TERM))
+    common = postings.join(heavy, _TERM)
+
+    best = top_k_per_group(light, ["q"], [F.col("c").desc()], k)
+    least = best.groupBy("q").agg(F.min("c").alias("least"), F.count(F.lit(1)).alias("found"))
+    floor = F.when(F.col("found") >= k, _score("least", "m")).otherwise(F.lit(0.0))
+    state = cut(
+        weighty.groupBy("q", "m")
+        .agg(F.count(F.lit(1)).alias("h"))
+        .join(least, "q", "left")
+        # a tie with the floor may still win by its place, so it leaves the query open
+        .select("q", "h", floor.alias("floor"), (_score("h", "m") >= floor).alias("open"))
+    )
+    still_open = state.where("open").select("q")
+
+    started = light.join(state, "q", "left")
+    done = started.where("h IS NULL").select(*_PAIR, "c")
+    part = started.where("open").select(*_PAIR, "c")
+    near = started.where(~F.col("open") & (_score(F.col("c") + F.col("h"), "m") >= F.col("floor"))).select(*_PAIR, "c")
+
+    return (
+        done.unionByName(_heavy_of_near(near, weighty, common))
+        .unionByName(
+            part.unionByName(_pairs_by_cell(weighty.join(still_open, "q", "left_semi"), common, cell_rows))
+            .groupBy(*_PAIR)
+            .agg(F.sum("c").alias("c"))
+        )
+    )
 
-    return d.mapInPandas(run, schema)
 
+def _heavy_of_near(near: DataFrame, weighty: DataFrame, common: DataFrame) -> DataFrame:
+    """Pairs with their heavy tokens added; a list holds words of one text, of queries and documents in ``near`` only."""
+    of_query = weighty.join(near.select("q").distinct(), "q", "left_semi").groupBy("q").agg(F.collect_list("token").alias("ours"))
+    of_doc = common.join(near.select("row").distinct(), "row", "left_semi").groupBy("row").agg(F.collect_list("token").alias("theirs"))
+    both = near.join(of_query, "q").join(of_doc, "row", "left")
+    # a document without heavy tokens has no list
+    shared = F.size(F.array_intersect("ours", F.coalesce("theirs", F.array().cast("array<string>"))))
+    return both.select(*_PAIR, (F.col("c") + shared).alias("c"))
 
-def _by_blocks(q: DataFrame, d: DataFrame, k: int, schema: str, blocks: int, slice_chars: int) -> DataFrame:
-    chars = d.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()["chars"]
-    slices = max(1, -(-int(chars) // slice_chars))
 
-    def spread(df: DataFrame, own: str, by: str, n: int, other: str, m: int) -> DataFrame:
-        out = df.withColumn(own, F.pmod(F.xxhash64(by), F.lit(n)))
-        return out.withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(m - 1).cast("bigint"))))
+def _pairs_by_cell(weighty: DataFrame, common: DataFrame, cell_rows: int) -> DataFrame:
+    """Pairs by heavy tokens: a token's documents and queries are dealt to a grid of cells."""
 
-    qs = spread(q, "block", "query_id", blocks, "slice", slices).groupBy("block", "slice")
-    ds = spread(d, "slice", "doc_id", slices, "block", blocks).groupBy("block", "slice")
+    def parts(count: str) -> Column:
+        return F.ceil(F.col(count) / cell_rows).cast("bigint")
 
-    def run(_key, queries: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
-        best = _Best(k)
-        if len(queries) and len(docs):
-            postings, sizes = _index(queries)
-            _score(docs, postings, sizes, best)
-        return _result(best, queries)
+    def every(count: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), parts(count) - 1))
 
-    return qs.cogroup(ds).applyInPandas(run, schema)
+    ours = weighty.withColumn("column", F.pmod(F.xxhash64("q"), parts("asked"))).withColumn("line", every("held"))
+    theirs = common.withColumn("line", F.pmod(F.xxhash64("row"), parts("held"))).withColumn("column", every("asked"))
+    cell = [*_TERM, "line", "column"]
+    return _pairs(ours.select(*cell, "query_id", "q", "m"), theirs.select(*cell, "doc_id", "seq", "row"), cell)

@@ -200,7 +200,7 @@ def _(spark, sf):
     "text_search_by_tenant",
     f"""WITH q AS (SELECT DISTINCT query_id, lang, t FROM (
                SELECT doc_id AS query_id, lang, unnest(string_split_regex(lower(text), '{_SPACES}')) AS t
-               FROM documents WHERE n_chars < 300) WHERE t <> ''),
+               FROM documents) WHERE t <> ''),
     n AS (SELECT query_id, count(*) AS m FROM q GROUP BY 1),
     d AS (SELECT DISTINCT doc_id, lang, t FROM (
             SELECT doc_id, lang, unnest(string_split_regex(lower(text), '{_SPACES}')) AS t FROM documents) WHERE t <> ''),
@@ -211,7 +211,8 @@ def _(spark, sf):
 )
 def _(spark, sf):
     docs = table(spark, sf, "documents").select(
-        F.col("lang").alias("tenant"), F.lit("corpus").alias("collection"), "doc_id", "text", F.col("doc_id").alias("seq"), "n_chars"
+        F.col("lang").alias("tenant"), F.lit("corpus").alias("collection"), "doc_id", "text", F.col("doc_id").alias("seq")
     )
-    q = docs.where("n_chars < 300").select("tenant", "collection", F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
-    return text_search(q, docs, 3).select("query_id", "doc_id", "score")
+    q = docs.select("tenant", "collection", F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
+    # low bounds, so that heavy words and their cells occur at every scale
+    return text_search(q, docs, 3, light_rows=20, cell_rows=100).select("query_id", "doc_id", "score")

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -268,18 +270,51 @@ def test_ordered(spark):
 
 def test_search(spark):
     q = spark.createDataFrame(
-        [("t1", "c", 1, "OOM"), ("t2", "c", 2, "OOM"), ("t1", "c", 3, "stage oom oom x"), ("t1", "d", 4, "oom"), ("t1", "c", 5, "")],
+        [("t1", "c", 1, "OOM"), ("t2", "c", 2, "OOM"), ("t1", "c", 3, "stage oom oom x"), ("t1", "d", 4, "oom"), ("t1", "c", 5, ""),
+         (None, "c", 6, "oom"), ("t1", "c", 7, None)],
         "tenant string, collection string, query_id int, query string",
     )
     d = spark.createDataFrame(
-        [("t1", "c", "a", "OOM on stage 3", 1), ("t2", "c", "b", "network timeout", 2), ("t1", "c", "e", "oom again", 3), ("t1", "c", "f", "oom oom", 4)],
+        [("t1", "c", "a", "OOM on stage 3", 1), ("t2", "c", "b", "network timeout", 2), ("t1", "c", "e", "oom again", 3), ("t1", "c", "f", "oom oom", 4),
+         (None, "c", "g", "oom", 5), (None, None, "h", "oom", 6), ("t1", "c", "i", None, 0)],
         "tenant string, collection string, doc_id string, text string, seq int",
     )
-    want = [(1, "a", 1.0), (1, "e", 1.0), (3, "a", 0.6667), (3, "e", 0.3333)]
+    want = [(1, "a", 1.0), (1, "e", 1.0), (3, "a", 0.6667), (3, "e", 0.3333), (6, "g", 1.0)]
     assert rows(text_search(q, d, 2).select("query_id", "doc_id", "score")) == want
-    # more queries than one block: the same answer from blocks and slices
-    assert rows(text_search(q, d, 2, block_queries=2, slice_chars=20).select("query_id", "doc_id", "score")) == want
+    # every word heavy, one row a cell: the same answer
+    assert rows(text_search(q, d, 2, light_rows=0, cell_rows=1).select("query_id", "doc_id", "score")) == want
     assert text_search(q, d, 0).where("query_id = 1").count() == 1
+    # a repeated document is a hit of its own, and rows of one query id share its places
+    twice = text_search(q.unionByName(q), d.unionByName(d), 3).where("query_id = 1")
+    assert [r.doc_id for r in twice.orderBy("seq").collect()] == ["a", "a", "a"]
+    assert text_search(q.limit(0), d).count() == 0 and text_search(q, d.limit(0)).count() == 0
+
+
+def _best_by_hand(queries, docs, k):
+    out = []
+    for qid, text in queries:
+        words = set(text.split())
+        found = [(-round(len(words & set(t.split())) / len(words), 4), did) for did, t in docs if words & set(t.split())]
+        out += [(qid, did, -s) for s, did in sorted(found)[:k]]
+    return out
+
+
+@pytest.mark.parametrize("light_rows", [1, 5, 15, 40, 10_000])
+def test_search_equals_brute_force_at_every_weight(spark, light_rows):
+    dice = random.Random(7)
+    # common words, rare words, and a shared passage of rare words that lets light words alone decide
+    def text(i):
+        common = [f"c{dice.randrange(12)}" for _ in range(dice.randrange(1, 8))]
+        rare = [f"r{dice.randrange(120)}" for _ in range(dice.randrange(0, 6))]
+        return " ".join(common + rare + ([f"p{i % 5}x{j}" for j in range(15)] if i % 3 == 0 else []))
+
+    docs = [(i, text(i)) for i in range(120)]
+    queries = [(i, text(i)) for i in range(40)]
+    scope = [F.lit("t").alias("tenant"), F.lit("c").alias("collection")]
+    d = spark.createDataFrame(docs, "doc_id int, text string").select(*scope, "*", F.col("doc_id").alias("seq"))
+    q = spark.createDataFrame(queries, "query_id int, query string").select(*scope, "*")
+    got = text_search(q, d, 4, light_rows=light_rows, cell_rows=7).select("query_id", "doc_id", "score")
+    assert sorted(tuple(r) for r in got.collect()) == sorted(_best_by_hand(queries, docs, 4))
 
 
 def test_latest_files(spark):

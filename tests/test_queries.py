@@ -12,7 +12,7 @@ SMALL = "/root/testdata/sf0.001"
 QUERIES = {n: q for n, q in spark_entry.queries().items() if n != "pipeline" and not re.match(r"op\d", n)}
 SQL = {n: q for n, q in spark_entry.oracle_sql().items() if n in QUERIES}
 # work that is done in Arrow batches, see README
-PYTHON = {"text_search", "text_search_by_tenant", "rate_limit", "rate_limit_hot_key", "budget_admission"}
+PYTHON = {"rate_limit", "rate_limit_hot_key", "budget_admission"}
 
 
 @pytest.fixture(scope="module")
