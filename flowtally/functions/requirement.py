@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -62,13 +65,30 @@ DESCRIPTION = "Generated from requirement"
 WARN_MISSING = ("env", "schedule", "source_table", "target_table")
 
 
-def _captures(text: str) -> dict[str, Column]:
-    """Group 1 of every pattern, each in a column of its own so that it is computed once."""
-    return {
-        f"__{name}_{i}": F.regexp_extract(text, "(?i)" + pattern, 1)
-        for name, patterns in PATTERNS.items()
-        for i, pattern in enumerate(patterns)
-    }
+def _openings(pattern: str) -> list[str]:
+    """The lower-case words one of which every match of ``pattern`` begins with."""
+    opening = re.match(r"\\b(?:([a-z_]+)|\(([a-z|]+)\))", pattern)
+    return [opening[1]] if opening[1] else opening[2].split("|")
+
+
+def _capture(name: str, at: int) -> Column:
+    """Group 1 of one pattern, or "" where it does not match.
+
+    A pattern is tried only on a text that holds a word it begins with, and
+    only if the field's patterns before it found nothing.
+    """
+    pattern = PATTERNS[name][at]
+    may = reduce(or_, [F.contains(F.col("__lower"), F.lit(word)) for word in _openings(pattern)])
+    for earlier in range(at):
+        may = may & (F.col(f"__{name}_{earlier}") == "")
+    return F.when(may, F.regexp_extract("__text", "(?i)" + pattern, 1)).otherwise("")
+
+
+def _with_captures(df: DataFrame) -> DataFrame:
+    """Every capture in a column of its own, so that it is computed once; a field's later patterns see its earlier ones."""
+    for at in range(max(len(p) for p in PATTERNS.values())):
+        df = df.withColumns({f"__{name}_{at}": _capture(name, at) for name in PATTERNS if at < len(PATTERNS[name])})
+    return df
 
 
 def _found(name: str) -> Column:
@@ -98,9 +118,9 @@ def extract_spec(
     """
     given = dict(defaults or {})
     clean = F.trim(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), f"[{SPACE}]+", " "))
-    captures = _captures("__text")
+    captures = [f"__{name}_{at}" for name, patterns in PATTERNS.items() for at in range(len(patterns))]
     raws = {f"__raw_{name}": _found(name) for name in PATTERNS}
-    out = df.withColumn("__text", clean).withColumns(captures).withColumns(raws)
+    out = _with_captures(df.withColumn("__text", clean).withColumn("__lower", F.lower("__text"))).withColumns(raws)
 
     fields: dict[str, Column] = {}
     warnings: list[Column] = []
@@ -156,7 +176,7 @@ def extract_spec(
     fields["warnings"] = F.array_compact(F.array(*warnings))
     out = out.withColumns(fields)
     confidence = F.greatest(F.lit(0.5), F.least(F.lit(1.0), F.round(1.0 - 0.1 * F.size("warnings"), 2)))
-    return out.withColumn("confidence", confidence).drop("__text", "__job", *captures, *raws)
+    return out.withColumn("confidence", confidence).drop("__text", "__lower", "__job", *captures, *raws)
 
 
 def _is_table(value: str) -> bool:
