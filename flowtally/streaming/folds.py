@@ -1,6 +1,8 @@
 """Stateful folds: rate limit, stale runs, cancel and retry.
 
-State per key is a handful of numbers, so it does not grow with the stream.
+State per key is a handful of numbers, and keys leave the state: a rate limit
+key when its window is over, a run when it ends or, where rows have a time, has
+ended long ago.
 """
 
 from __future__ import annotations
@@ -26,10 +28,14 @@ def stream_rate_limit(
     rpm: int = RPM,
     method: str | None = None,
     window_seconds: float = 60,
+    delay: str = "10 minutes",
 ) -> DataFrame:
     """(key, event_id, ts, window_start, window_count, over_limit), in append mode.
 
-    Requests of a key are taken in time order within a micro-batch.
+    Requests of a key are taken in time order within a micro-batch.  Once event
+    time, held back by ``delay``, has passed the end of a key's window, the key
+    leaves the state: whatever may still come opens a new window.  Requests
+    that come later than ``delay`` are left out, as in any watermarked stream.
     """
     if method:
         events = events.where(F.upper(F.col(method)).isin(*COUNTED_METHODS))
@@ -38,10 +44,14 @@ def stream_rate_limit(
     slim = events.select(
         F.col(key).cast("string").alias("key"),
         F.col(event_id).alias("event_id"),
-        F.unix_micros(F.col(ts).cast("timestamp")).alias("t"),
-    ).where("t is not null")
+        F.col(ts).cast("timestamp").alias("ts"),
+    ).where("ts is not null")
+    slim = slim.withWatermark("ts", delay).withColumn("t", F.unix_micros("ts"))
 
     def fold(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         start, count = state.get if state.exists else (None, 0)
         rows = pd.concat(list(batches)).sort_values(["t", "event_id"])
         starts, counts = [], []
@@ -52,6 +62,8 @@ def stream_rate_limit(
             starts.append(start)
             counts.append(count)
         state.update((start, count))
+        over = -(-(start + window) // 1000)
+        state.setTimeoutTimestamp(max(over, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(
             {
                 "key": [keys[0]] * len(rows),
@@ -67,7 +79,7 @@ def stream_rate_limit(
         f"key string, event_id {kind}, t bigint, start bigint, window_count bigint",
         "start bigint, count bigint",
         "append",
-        GroupStateTimeout.NoTimeout,
+        GroupStateTimeout.EventTimeTimeout,
     )
     return folded.select(
         "key",
@@ -126,16 +138,33 @@ def stream_stale_runs(heartbeats: DataFrame, stale_after_seconds: float, delay:
     )
 
 
-def stream_request_commands(commands: DataFrame) -> DataFrame:
+def stream_request_commands(
+    commands: DataFrame, ts: str | None = None, delay: str = "1 hour", forget_after_seconds: float = 7 * 86_400
+) -> DataFrame:
     """State of a run after each micro-batch, in update mode.
 
     Rows are (run_id, command, status, seq): ``report`` sets the status, and
     ``cancel`` and ``retry`` act on it as ``apply_commands`` does.  A command
     for a run that was never reported is an error.
+
+    With ``ts``, the time column of the rows, runs leave the state: one that
+    has ended, or of which only errors are known, goes once event time, held
+    back by ``delay``, has passed its last row by ``forget_after_seconds``, and
+    counts as never reported from then on.  Active runs stay.  Rows later than
+    ``delay`` are left out.  Without ``ts`` there is no clock and all runs stay.
     """
+    forget_ms = int(forget_after_seconds * 1000)
+    slim = [F.col("run_id"), F.col("command"), F.col("status"), F.col("seq").cast("bigint").alias("seq")]
+    timed = commands.select(*slim)
+    if ts:
+        clock = commands.select(*slim, F.col(ts).cast("timestamp").alias("ts"))
+        timed = clock.withWatermark("ts", delay).withColumn("ms", F.unix_millis("ts"))
     schema = "run_id string, status string, cancel_requested boolean, retry_count bigint, errors bigint"
 
     def fold(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         status, asked, retries, errors = state.get if state.exists else (None, False, 0, 0)
         rows = pd.concat(list(batches)).sort_values("seq")
         for command, told in zip(rows["command"], rows["status"], strict=True):
@@ -150,6 +179,11 @@ def stream_request_commands(commands: DataFrame) -> DataFrame:
             elif command == "retry" and status not in ACTIVE:
                 errors += 1
         state.update((status, asked, retries, errors))
+        # an update clears the timer, so an active run has none
+        if ts and (status is None or status in TERMINAL):
+            last = rows["ms"].max()
+            due = state.getCurrentWatermarkMs() if pd.isna(last) else int(last)
+            state.setTimeoutTimestamp(max(due + forget_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(
             {
                 "run_id": [keys[0]],
@@ -160,14 +194,10 @@ def stream_request_commands(commands: DataFrame) -> DataFrame:
             }
         )
 
-    return (
-        commands.select("run_id", "command", "status", F.col("seq").cast("bigint").alias("seq"))
-        .groupBy("run_id")
-        .applyInPandasWithState(
-            fold,
-            schema,
-            "status string, asked boolean, retries bigint, errors bigint",
-            "update",
-            GroupStateTimeout.NoTimeout,
-        )
+    return timed.groupBy("run_id").applyInPandasWithState(
+        fold,
+        schema,
+        "status string, asked boolean, retries bigint, errors bigint",
+        "update",
+        GroupStateTimeout.EventTimeTimeout if ts else GroupStateTimeout.NoTimeout,
     )

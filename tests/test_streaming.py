@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import os
 import random
 import tempfile
 from datetime import datetime, timedelta
@@ -38,8 +39,6 @@ def _batches(spark, parts, schema):
         path = root / f"{i:03d}.json"
         path.write_text("\n".join(json.dumps(r) for r in part), encoding="utf-8")
         stamp = 1_700_000_000 + i
-        import os
-
         os.utime(path, (stamp, stamp))
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(root))
 
@@ -62,7 +61,10 @@ def test_audit_counts_stream_equals_batch(spark):
     lines = [[{"ts_ms": (m * 60 + s) * 1000, "http": {"method": "get", "path": "/a", "status": 200}} for s in range(m + 1)] for m in range(4)]
     src = _folder()
     for i, part in enumerate(lines):
-        Path(src, f"{i}.jsonl").write_text("\n".join([*map(json.dumps, part), "oops", ""]))
+        path = Path(src, f"{i}.jsonl")
+        path.write_text("\n".join([*map(json.dumps, part), "oops", ""]))
+        # batches go by the files' times, which may be equal otherwise
+        os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))
     stream = json_objects(spark.readStream.option("maxFilesPerTrigger", 1).text(src), schema)
     got = _memory(stream_audit_counts(stream, delay="0 seconds"), "audit_counts", "append")
     batch = stream_audit_counts(json_objects(spark.read.text(src), schema))
@@ -89,6 +91,46 @@ def test_rate_limit_stream_equals_batch(spark):
     assert rows(got.select("event_id", *pick)) == rows(want.select("i", *pick))
 
 
+def _state_rows(df, mode, checkpoint):
+    """Keys in the state after each micro-batch of one run."""
+    q = df.writeStream.format("noop").outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    return [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+
+
+def test_rate_limit_stream_forgets_idle_keys(spark):
+    parts = [
+        [{"k": f"idle{i}", "s": 1 + i, "i": i} for i in range(20)] + [{"k": "back", "s": 5, "i": 20}],
+        [{"k": "busy", "s": 500, "i": 21}],
+        [{"k": "busy", "s": 501, "i": 22}, {"k": "back", "s": 502, "i": 23}],
+    ]
+    shape = _batches(spark, parts, "k string, s bigint, i bigint").select("k", "i", F.timestamp_seconds("s").alias("ts"))
+    limited = stream_rate_limit(shape, "k", "ts", "i", 5, delay="30 seconds")
+    kept = _state_rows(limited, "append", _folder())
+    assert kept[0] == 21 and kept[-1] == 2
+    got = _memory(limited, "limits_idle", "append")
+    assert rows(got.where("key = 'back'").select("event_id", "window_count")) == [(20, 1), (23, 1)]
+
+
+def test_commands_stream_forgets_ended_runs(spark):
+    def c(run, command, seq, sec, status=None):
+        return {"run_id": run, "command": command, "status": status, "seq": seq, "s": 1000 + sec}
+
+    parts = [
+        [c("done", "report", 1, 0, "SUCCEEDED"), c("live", "report", 2, 0, "RUNNING"), c("never", "cancel", 3, 0)],
+        [c("new", "report", 4, 500, "RUNNING")],
+        [c("new", "report", 5, 501, "RUNNING")],
+        [c("done", "retry", 6, 502)],
+    ]
+    read = _batches(spark, parts, "run_id string, command string, status string, seq int, s bigint")
+    stream = stream_request_commands(read.withColumn("at", F.timestamp_seconds("s")), "at", "10 seconds", 60)
+    kept = _state_rows(stream, "update", _folder())
+    # the ended run and the one never reported leave, active ones stay
+    assert kept[0] == 3 and 2 in kept[1:]
+    got = _memory(stream, "cmds_idle", "update")
+    assert rows(got.where("run_id = 'done'").select("status", "errors")) == [(None, 1), ("SUCCEEDED", 0)]
+
+
 def test_stale_runs_stream(spark):
     def beat(run, status, sec, asked=False):
         return {"run_id": run, "status": status, "updated_ts": (datetime(2024, 1, 1) + timedelta(seconds=sec)).isoformat() + "Z", "cancel_requested": asked}
