@@ -19,7 +19,7 @@ from flowtally.sinks import (
     write_overwrite,
 )
 from flowtally.sources import file_manifest, read_json_dir, read_jsonl, read_overrides, read_table, read_wrapped_json
-from flowtally.sources.files import SKIPPED_FOLDERS
+from flowtally.sources.files import SKIPPED_FOLDERS, _list_tree
 from tests.conftest import rows
 
 
@@ -161,3 +161,18 @@ def test_file_manifest_has_hidden_names_and_nested_root_names(spark, tmp_path, m
     got = {r.path: (r.sha256, r["size"]) for r in file_manifest(spark, "pkg").collect()}
     assert got["a.txt"] == (hashlib.sha256(b"a.txt").hexdigest(), 5)
     assert got["empty"] == (hashlib.sha256(b"").hexdigest(), 0)
+
+
+def test_file_manifest_lists_folders_in_several_tasks(spark, tmp_path):
+    names = [f"top{i}/in{j}/f{k}.txt" for i in range(6) for j in range(4) for k in range(3)] + ["top0/deep/er/still/x", "root.txt"]
+    for name in names:
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(name)
+    (tmp_path / "empty").mkdir()
+    listed = _list_tree(spark, str(tmp_path), [], frozenset())
+    assert sorted(r.path for r in listed.collect()) == sorted(names)
+    assert listed.where("path LIKE '%/in%'").select(F.spark_partition_id()).distinct().count() > 1
+    got = {r.path: (r.sha256, r["size"]) for r in file_manifest(spark, str(tmp_path)).collect()}
+    assert got == {n: (hashlib.sha256(n.encode()).hexdigest(), len(n)) for n in names}
+    assert file_manifest(spark, str(tmp_path / "empty")).count() == 0
