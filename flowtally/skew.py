@@ -5,8 +5,9 @@ task.  ``lag``, ``lead``, running sums and positions therefore ask first
 whether a key may hold more than ``chunk_rows`` rows.  If none does, the plain
 window is the plan.  Otherwise the table is cut by range along (keys, order):
 windows run per (chunk, key), and what has to cross a border travels in a table
-of one row per chunk at most.  Nothing is collected, and the size of a chunk
-does not depend on the size of the table.
+of one row per chunk at most.  Nothing is collected but the samples from which
+Spark takes its borders, and the size of a chunk does not depend on the size of
+the table until there are ``MOST_CHUNKS`` of them.
 
 ``hot_keys`` and ``with_chunk`` cut hot keys alone, along one order column; the
 chains of the rate limit and the rounds of budget admission use them.  There a
@@ -26,6 +27,8 @@ from flowtally.lineage import cut
 
 # most rows of a key that one task may get
 CHUNK_ROWS = 1_000_000
+# most chunks of a table: Spark samples borders on the driver, as many rows as there are chunks times a constant
+MOST_CHUNKS = 1000
 # counters of the heavy-hitter sketch
 TRACKED = 10_000
 PARTS = 1000
@@ -156,11 +159,13 @@ def range_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk
     """``df`` cut along (keys, order) into chunks of about half of ``chunk_rows`` rows, numbered in ``__chunk``.
 
     Cuts go through all columns, so rows of one key and one time are cut too.
-    The number of chunks grows with the table and the size of a chunk does not.
+    The number of chunks grows with the table, and the size of a chunk does not,
+    up to ``MOST_CHUNKS`` chunks; beyond that chunks grow instead, because borders
+    are sampled on the driver and every chunk is a task.
     Spark samples the borders while the plan runs, so the result is
     checkpointed: every later step, and any repeated task, sees the same chunks.
     """
-    parts = max(2, -(-2 * rows // chunk_rows))
+    parts = min(max(2, -(-2 * rows // chunk_rows)), MOST_CHUNKS)
     by = [F.col(c).asc_nulls_first() for c in [*keys, *order]]
     return cut(df.repartitionByRange(parts, *by).withColumn(CHUNK, F.spark_partition_id()))
 

@@ -91,6 +91,16 @@ def test_chunks_stay_small_whatever_the_table(spark, n):
     assert ends.withColumn("before", F.lag("hi").over(last)).where("before >= lo").count() == 0
 
 
+def test_chunks_have_a_most_number(spark, monkeypatch):
+    monkeypatch.setattr("flowtally.skew.MOST_CHUNKS", 6, raising=False)
+    df = _hot(spark, 3000)
+    chunks = range_chunks(df, ["k"], ["ts", "id"], 50, 3000)
+    assert chunks.rdd.getNumPartitions() <= 6
+    got = with_position(df, ["k"], ["ts", "id"], "n", chunk_rows=50).select("id", "n")
+    w = Window.partitionBy("k").orderBy(F.col("ts").asc_nulls_first(), "id")
+    assert rows(got) == rows(df.select("id", F.row_number().over(w).alias("n")))
+
+
 def test_hot_keys_are_told_from_many_small_ones(spark):
     small = spark.range(60_000).select(F.col("id").alias("k"), F.col("id").alias("ts"))
     # too many keys for the sketch, so they are counted
