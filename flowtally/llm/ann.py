@@ -22,6 +22,9 @@ SAMPLE, SAMPLE_QUERIES = 4096, 256
 SHARD_ROWS, QUERY_BLOCK = 4096, 2048
 # numbers of hash functions a table may have, and the most buckets a query may visit in it
 HASHES, MOST_PROBES = (12, 10, 8, 6, 4), 2048
+# the normal distribution function at steps of 0.005
+_AT = np.linspace(-8, 8, 3201)
+_CDF = np.array([0.5 * (1 + math.erf(x / math.sqrt(2))) for x in _AT.tolist()])
 
 
 @lru_cache(maxsize=16)
@@ -133,6 +136,42 @@ def _met(index: Index, lifted: np.ndarray, queries: np.ndarray, count: int) -> n
     return met
 
 
+def chance(index: Index, queries: np.ndarray, reach: np.ndarray, count: int) -> np.ndarray:
+    """How likely a row at lifted distance ``reach`` lies in one of the first ``count`` buckets of some table.
+
+    A hash moves by a normal number with the distance as its deviation,
+    whatever the rows are like, so this holds for all data; nearer rows are
+    likelier to be met.
+    """
+    unit = queries / np.linalg.norm(queries, axis=1, keepdims=True)
+    sigma = np.maximum(reach / index.width, 1e-9)[:, None]
+    missed = np.ones(len(queries))
+    for t in range(len(index.directions)):
+        place = (unit @ index.directions[t][:, :-1].T + index.offsets[t]) / index.width
+        inside = place - np.floor(place)
+        # where the cell below, the own and the cell above begin and end
+        below, low, high, above = (np.interp((i - inside) / sigma, _AT, _CDF) for i in (-1, 0, 1, 2))
+        own = np.maximum(high - low, 1e-300)
+        gain = np.log(np.maximum(np.concatenate([low - below, above - high], axis=1), 1e-300))
+        gain -= np.log(np.concatenate([own, own], axis=1))
+        border = np.concatenate([inside, 1 - inside], axis=1)
+        gain = np.take_along_axis(gain, np.argsort(border, axis=1, kind="stable"), axis=1)
+        inner = np.log(own).sum(axis=1)[:, None] + gain @ probe_sets(inside.shape[1], count).T
+        missed *= 1 - np.minimum(np.exp(inner).sum(axis=1), 1)
+    return 1 - missed
+
+
+def widen(index: Index, lifted: np.ndarray, queries: np.ndarray, met: np.ndarray, reach: np.ndarray, recall: float) -> None:
+    """Let each query probe on, twice as far each time, until ``chance`` is ``recall``; after the last bucket it meets all rows."""
+    count, short = index.probes, np.arange(len(queries))
+    while len(short := short[chance(index, queries[short], reach[short], count) < recall]):
+        count *= 2
+        if count > MOST_PROBES:
+            met[short] = True
+            break
+        met[short] |= _met(index, lifted, queries[short], count)
+
+
 def fit(sample: np.ndarray, n_rows: int, k: int, bands: dict[int, float], recall: float = 0.96, tables: int = 8, width: float = 2.5) -> Index:
     """Choose hashes per table and probes on a bounded sample.
 
@@ -184,9 +223,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     shard each query visits its buckets in all tables, the candidates are
     merged and ranked by the exact inner product (added up in order, in double
     precision), and its k best leave as one row.  A query that meets too few
-    rows of a shard probes on, so k rows are found wherever k exist.  Hash functions and probes are
+    rows of a shard probes on, so k rows are found wherever k exist.  Hash functions and first probes are
     fitted on ``SAMPLE`` rows with the smallest hash of their id; their size is
-    fixed.  Buckets and candidates are never cut off.
+    fixed.  A query unlike the sample probes on too: the best it has met say how
+    far a better row may lie, and it stops where such a row would have been met
+    with a chance of ``recall``.  Buckets and candidates are never cut off.
 
     Rows without an id, and vectors that are NULL, zero, or hold NULL or
     non-finite components, take no part; neither do vectors of another length
@@ -216,10 +257,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     shared = vectors.sparkSession.sparkContext.broadcast(index)
 
     shards = max(1, math.ceil(n / SHARD_ROWS))
+    # the most of a query's k nearest that one shard is likely to hold: mean and three deviations
+    share = min(k, math.ceil(k / shards + 3 * math.sqrt(k / shards)))
     blocks = max(1, math.ceil(asked.count() / QUERY_BLOCK))
-    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    dealt = rows.select(F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), every(blocks).alias("block"), "id", "vec")
-    posed = asked.select(every(shards).alias("shard"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), "id", "vec")
+    # both sides need the same types: a cogroup compares keys by the hash of their type and would lose pairs
+    every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
+    one_of = lambda count: F.pmod(F.xxhash64("id"), F.lit(count)).cast("long")
+    dealt = rows.select(one_of(shards).alias("shard"), every(blocks).alias("block"), "id", "vec")
+    posed = asked.select(every(shards).alias("shard"), one_of(blocks).alias("block"), "id", "vec")
 
     def search(_, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -230,22 +275,37 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
             # rows of one id lie in one shard
             repeated = 1 + len(ids) - len(np.unique(ids))
             lifted = index.rows(x)
+            scale = np.unique([index.bands[int(e)] for e in np.rint(np.log2(np.linalg.norm(x, axis=1)))])
+
+            def best_of(met: np.ndarray, qid: int, vector: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                found = np.nonzero(met & (ids != qid))[0]
+                # one component after the other, so equal vectors get equal scores
+                score = (columns.take(found, axis=1) * vector[:, None]).sum(axis=0)
+                if len(found) > 4 * k:
+                    floor = np.partition(score, -k)[-k]
+                    found, score = found[score >= floor], score[score >= floor]
+                best = np.lexsort((ids[found], -score))[:k]
+                return found[best], score[best]
+
             for at in range(0, len(right), QUERY_BLOCK):
                 part = right.iloc[at : at + QUERY_BLOCK]
                 y = np.stack(part["vec"].to_numpy())
+                asking = part["id"].tolist()
                 # its own row is no candidate, and rows of one id are one
                 met = candidates(index, lifted, y, k + repeated)
-                for i, qid in enumerate(part["id"].tolist()):
-                    found = np.nonzero(met[i] & (ids != qid))[0]
-                    if not len(found):
-                        continue
-                    # one component after the other, so equal vectors get equal scores
-                    score = (columns.take(found, axis=1) * y[i][:, None]).sum(axis=0)
-                    if len(found) > 4 * k:
-                        floor = np.partition(score, -k)[-k]
-                        found, score = found[score >= floor], score[score >= floor]
-                    best = np.lexsort((ids[found], -score))[:k]
-                    out.append((qid, ids[found[best]].tolist(), score[best].tolist()))
+                first = met.sum(axis=1)
+                best = [best_of(met[i], qid, y[i]) for i, qid in enumerate(asking)]
+                # the lifted distance of a row as good as the last that counts, in the band where it is farthest
+                last = np.array([s[share - 1] if len(s) >= share else -np.inf for _, s in best])
+                with np.errstate(invalid="ignore", over="ignore"):
+                    cosine = last[:, None] / (np.linalg.norm(y, axis=1)[:, None] * scale[None, :])
+                reach = np.sqrt(np.clip(2 - 2 * np.clip(cosine, -1, 1), 0, None)).max(axis=1)
+                widen(index, lifted, y, met, reach, recall)
+                for i, qid in enumerate(asking):
+                    if met[i].sum() > first[i]:
+                        best[i] = best_of(met[i], qid, y[i])
+                    if len(best[i][0]):
+                        out.append((qid, ids[best[i][0]].tolist(), best[i][1].tolist()))
         return pd.DataFrame(out, columns=["query_id", "ids", "scores"])
 
     pair = dealt.groupBy("shard", "block").cogroup(posed.groupBy("shard", "block"))

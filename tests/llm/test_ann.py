@@ -125,3 +125,35 @@ def test_queries_probe_on_until_they_have_enough():
     more = ann.candidates(index, lifted, x[:40], 25)
     assert few.sum(axis=1).min() < 25 <= more.sum(axis=1).min() and not (few & ~more).any()
     assert ann.candidates(index, lifted, x[:2], 1000).all()
+
+
+def _recall(got, x):
+    score = x[sorted(got)] @ x.T
+    hits = 0
+    for row, q in zip(score, sorted(got), strict=True):
+        row[q] = -np.inf
+        hits += sum(s >= np.sort(row)[-20] - 1e-9 for _, s in got[q])
+    return hits / (20 * len(got))
+
+
+def test_every_block_meets_every_shard_in_many_partitions(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SHARD_ROWS", 256)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 32)
+    x = np.random.default_rng(13).normal(size=(1500, 16))
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = by_query(nearest(df, df.where("vec_id % 20 = 0")).collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(got) == 75 and _recall(got, x) >= 0.95
+
+
+def test_queries_unlike_the_rows_find_their_nearest(spark):
+    rng = np.random.default_rng(14)
+    centres = rng.normal(size=(60, 48))
+    x = centres[rng.integers(60, size=2400)] + 0.05 * rng.normal(size=(2400, 48))
+    x[::20] = rng.normal(size=(120, 48))
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>").coalesce(1)
+    got = by_query(nearest(df, df.where("vec_id % 20 = 0")).collect())
+    assert len(got) == 120 and _recall(got, x) >= 0.9
