@@ -18,8 +18,11 @@ from flowtally.llm.base import hash_bound, query, table
 
 # rows of the fitting sample, and how many of them serve as its queries
 SAMPLE, SAMPLE_QUERIES = 4096, 256
-# rows and queries that meet in one task: a shard of the index and a block of queries
-SHARD_ROWS, QUERY_BLOCK = 4096, 2048
+# rows and queries that meet in one task: a shard of the index and a block of queries.  Probing costs a query the same
+# in a shard of any size, so shards are as large as a task can hold
+SHARD_ROWS, QUERY_BLOCK = 32768, 1024
+# queries of a block that are looked up at once
+AT_ONCE = 256
 # numbers of hash functions a table may have, and the most buckets a query may visit in it
 HASHES, MOST_PROBES = (12, 10, 8, 6, 4), 2048
 # the normal distribution function at steps of 0.005
@@ -108,25 +111,30 @@ class Index:
         return base[:, None] + steps @ sets.T
 
 
-def candidates(index: Index, lifted: np.ndarray, queries: np.ndarray, least: int = 0) -> np.ndarray:
+def filled(index: Index, lifted: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per table its buckets that hold rows, sorted, and each row's place among them."""
+    return [np.unique(index.codes(lifted, t), return_inverse=True) for t in range(len(index.directions))]
+
+
+def candidates(index: Index, lifted: np.ndarray, queries: np.ndarray, least: int = 0, tables: list | None = None) -> np.ndarray:
     """Which rows each query meets in a visited bucket of any table: queries x rows, boolean.
 
     A query that meets fewer than ``least`` rows probes on, twice as far each
     time, until it has them; after ``MOST_PROBES`` buckets of each table it
     meets all rows.
     """
-    met = _met(index, lifted, queries, index.probes)
+    tables = tables or filled(index, lifted)
+    met = _met(index, tables, queries, index.probes)
     probes, least = index.probes, min(least, len(lifted))
     while len(short := np.nonzero(met.sum(axis=1) < least)[0]):
         probes *= 2
-        met[short] = True if probes > MOST_PROBES else _met(index, lifted, queries[short], probes)
+        met[short] = True if probes > MOST_PROBES else _met(index, tables, queries[short], probes)
     return met
 
 
-def _met(index: Index, lifted: np.ndarray, queries: np.ndarray, count: int) -> np.ndarray:
-    met = np.zeros((len(queries), len(lifted)), bool)
-    for t in range(len(index.directions)):
-        buckets, inverse = np.unique(index.codes(lifted, t), return_inverse=True)
+def _met(index: Index, tables: list, queries: np.ndarray, count: int) -> np.ndarray:
+    met = np.zeros((len(queries), len(tables[0][1])), bool)
+    for t, (buckets, inverse) in enumerate(tables):
         probes = index.probe_codes(queries, t, count)
         at = np.minimum(np.searchsorted(buckets, probes), len(buckets) - 1)
         visited = np.zeros((len(queries), len(buckets)), bool)
@@ -161,7 +169,7 @@ def chance(index: Index, queries: np.ndarray, reach: np.ndarray, count: int) ->
     return 1 - missed
 
 
-def widen(index: Index, lifted: np.ndarray, queries: np.ndarray, met: np.ndarray, reach: np.ndarray, recall: float) -> None:
+def widen(index: Index, tables: list, queries: np.ndarray, met: np.ndarray, reach: np.ndarray, recall: float) -> None:
     """Let each query probe on, twice as far each time, until ``chance`` is ``recall``; after the last bucket it meets all rows."""
     count, short = index.probes, np.arange(len(queries))
     while len(short := short[chance(index, queries[short], reach[short], count) < recall]):
@@ -169,7 +177,7 @@ def widen(index: Index, lifted: np.ndarray, queries: np.ndarray, met: np.ndarray
         if count > MOST_PROBES:
             met[short] = True
             break
-        met[short] |= _met(index, lifted, queries[short], count)
+        met[short] |= _met(index, tables, queries[short], count)
 
 
 def fit(sample: np.ndarray, n_rows: int, k: int, bands: dict[int, float], recall: float = 0.96, tables: int = 8, width: float = 2.5) -> Index:
@@ -222,7 +230,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     its id, so no bucket, however full, is ever gathered in one place.  In a
     shard each query visits its buckets in all tables, the candidates are
     merged and ranked by the exact inner product (added up in order, in double
-    precision), and its k best leave as one row.  A query that meets too few
+    precision; a matrix product rules out most before), and its k best leave as one row.  A query that meets too few
     rows of a shard probes on, so k rows are found wherever k exist.  Hash functions and first probes are
     fitted on ``SAMPLE`` rows with the smallest hash of their id; their size is
     fixed.  A query unlike the sample probes on too: the best it has met say how
@@ -271,39 +279,46 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
         if len(left) and len(right):
             index = shared.value
             ids, x = left["id"].to_numpy(), np.stack(left["vec"].to_numpy())
-            columns = np.ascontiguousarray(x.T)
             # rows of one id lie in one shard
             repeated = 1 + len(ids) - len(np.unique(ids))
             lifted = index.rows(x)
-            scale = np.unique([index.bands[int(e)] for e in np.rint(np.log2(np.linalg.norm(x, axis=1)))])
+            tables = filled(index, lifted)
+            norms = np.linalg.norm(x, axis=1)
+            scale = np.unique([index.bands[int(e)] for e in np.rint(np.log2(norms))])
+            # twice as far as two ways to add up an inner product can lie apart, per length of the query
+            doubt = 8 * x.shape[1] * np.finfo(float).eps * norms.max()
 
-            def best_of(met: np.ndarray, qid: int, vector: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            def best_of(met: np.ndarray, near: np.ndarray, unsure: float, qid: int, vector: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 found = np.nonzero(met & (ids != qid))[0]
-                # one component after the other, so equal vectors get equal scores
-                score = (columns.take(found, axis=1) * vector[:, None]).sum(axis=0)
                 if len(found) > 4 * k:
-                    floor = np.partition(score, -k)[-k]
-                    found, score = found[score >= floor], score[score >= floor]
+                    floor = np.partition(near[found], -k)[-k] - unsure
+                    if np.isfinite(floor):
+                        found = found[near[found] >= floor]
+                # one component after the other, so equal vectors get equal scores
+                score = (x[found] * vector).cumsum(axis=1)[:, -1]
                 best = np.lexsort((ids[found], -score))[:k]
                 return found[best], score[best]
 
-            for at in range(0, len(right), QUERY_BLOCK):
-                part = right.iloc[at : at + QUERY_BLOCK]
+            for at in range(0, len(right), AT_ONCE):
+                part = right.iloc[at : at + AT_ONCE]
                 y = np.stack(part["vec"].to_numpy())
                 asking = part["id"].tolist()
                 # its own row is no candidate, and rows of one id are one
-                met = candidates(index, lifted, y, k + repeated)
+                met = candidates(index, lifted, y, k + repeated, tables)
                 first = met.sum(axis=1)
-                best = [best_of(met[i], qid, y[i]) for i, qid in enumerate(asking)]
+                length = np.linalg.norm(y, axis=1)
+                with np.errstate(invalid="ignore", over="ignore"):
+                    near, unsure = y @ x.T, doubt * length
+                best = [best_of(met[i], near[i], unsure[i], qid, y[i]) for i, qid in enumerate(asking)]
                 # the lifted distance of a row as good as the last that counts, in the band where it is farthest
                 last = np.array([s[share - 1] if len(s) >= share else -np.inf for _, s in best])
                 with np.errstate(invalid="ignore", over="ignore"):
-                    cosine = last[:, None] / (np.linalg.norm(y, axis=1)[:, None] * scale[None, :])
+                    cosine = last[:, None] / (length[:, None] * scale[None, :])
                 reach = np.sqrt(np.clip(2 - 2 * np.clip(cosine, -1, 1), 0, None)).max(axis=1)
-                widen(index, lifted, y, met, reach, recall)
+                widen(index, tables, y, met, reach, recall)
                 for i, qid in enumerate(asking):
                     if met[i].sum() > first[i]:
-                        best[i] = best_of(met[i], qid, y[i])
+                        best[i] = best_of(met[i], near[i], unsure[i], qid, y[i])
                     if len(best[i][0]):
                         out.append((qid, ids[best[i][0]].tolist(), best[i][1].tolist()))
         return pd.DataFrame(out, columns=["query_id", "ids", "scores"])

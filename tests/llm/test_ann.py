@@ -157,3 +157,26 @@ def test_queries_unlike_the_rows_find_their_nearest(spark):
     df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>").coalesce(1)
     got = by_query(nearest(df, df.where("vec_id % 20 = 0")).collect())
     assert len(got) == 120 and _recall(got, x) >= 0.9
+
+
+def test_buckets_of_a_shard_are_made_once_for_all_queries(monkeypatch):
+    x = np.random.default_rng(15).normal(size=(500, 8))
+    index = Index.make(8, 3, 4, 1.0, {e: 10.0 for e in range(-8, 8)})
+    lifted = index.rows(x)
+    tables = ann.filled(index, lifted)
+    want = ann.candidates(index, lifted, x[:30], 25)
+    monkeypatch.setattr(Index, "codes", None)
+    assert (ann.candidates(index, lifted, x[:30], 25, tables) == want).all()
+
+
+def test_matrix_product_rules_out_no_tie_in_one_large_shard(spark):
+    rng = np.random.default_rng(16)
+    x = rng.normal(size=(6000, 24))
+    x[1::7] = x[1]
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame([(20, x[1].tolist()), (40, (-x[1]).tolist())], "vec_id long, embedding array<double>")
+    got = by_query(nearest(df, asked, recall=1.0).collect())
+    assert len(x) <= ann.SHARD_ROWS
+    vectors = dict(enumerate(x.tolist()))
+    for q, vector in ((20, x[1]), (40, -x[1])):
+        assert got[q] == plain({**vectors, q: vector.tolist()}, q)
