@@ -33,9 +33,19 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+# from Spark 4.1 on: shuffle files go when the plan has run, instead of when the driver collects its garbage
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` in the shared folder."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """Checkpoint ``df`` in the shared folder; shuffle files made on the way are removed, as nothing reads them again."""
+    session = df.sparkSession
+    if session.sparkContext.getCheckpointDir() is None:
+        session.sparkContext.setCheckpointDir(shared_dir(session))
+    before = session.conf.get(CLEANUP, None)
+    session.conf.set(CLEANUP, "true")
+    try:
+        # the setting holds for plans made under it, so ``df`` itself keeps what it has shuffled
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        session.conf.unset(CLEANUP) if before is None else session.conf.set(CLEANUP, before)
