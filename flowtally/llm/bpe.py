@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowtally.llm.base import query, table
+from flowtally.llm.base import free_names, query, table
 
 # distinct words whose ids a task keeps; it starts afresh beyond that
 KEPT = 1 << 17
@@ -30,6 +30,8 @@ SHORT = 48
 UNRANKED = 1 << 62
 # words whose ids are laid out at once; bounds memory whatever a text's length
 GROUP = 1 << 18
+# texts that are encoded, decoded and sent back at once
+ROWS = 1024
 SLOTS = 1 << 14
 
 
@@ -98,6 +100,48 @@ class _Words(dict):
         return ids
 
 
+def _encoder(ranks_path: str, pattern: str):
+    """A function from texts to arrays of ids; a NULL text has none."""
+    words, split = _Words(load_ranks(ranks_path)), regex.compile(pattern)
+
+    def ids_of(batch: pa.Array) -> pa.ListArray:
+        flat, lengths = [], []
+        for text in batch:
+            text, n, at = text.as_py() or "", 0, 0
+            found = split.findall(text)
+            for at in range(0, len(found), GROUP):
+                ids = np.fromiter(chain.from_iterable(map(words.__getitem__, found[at : at + GROUP])), np.int32)
+                flat.append(ids)
+                n += len(ids)
+                if len(words) > KEPT:
+                    words.clear()
+            lengths.append(n)
+        offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
+        values = np.concatenate(flat) if flat else np.zeros(0, np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+
+    return ids_of
+
+
+def _decoder(ranks_path: str):
+    """A function from arrays of ids to the bytes of their pieces."""
+    piece = {r: p for p, r in load_ranks(ranks_path).items()}.__getitem__
+
+    def joined(batch: pa.Array) -> pa.Array:
+        out = []
+        for row in batch:
+            out.append(b"".join(map(piece, row.values.to_numpy(zero_copy_only=False).tolist())) if row.is_valid else None)
+        return pa.array(out, pa.binary())
+
+    return joined
+
+
+def _slices(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in batches:
+        for at in range(0, len(batch), ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``docs`` with the text replaced by its token ids, ``array<int>``.
 
@@ -106,50 +150,42 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
     other than the text, whatever their type, are carried along unseen.
     """
     keep = [c for c in docs.columns if c not in (text_col, ids_col)]
-    state: dict[str, tuple] = {}
 
     @F.arrow_udf("array<int>")
     def ids_of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        if not state:
-            state["it"] = (_Words(load_ranks(ranks_path)), regex.compile(pattern))
-        words, split = state["it"]
-        for batch in texts:
-            flat, lengths = [], []
-            for text in batch:
-                text, n, at = text.as_py() or "", 0, 0
-                found = split.findall(text)
-                for at in range(0, len(found), GROUP):
-                    ids = np.fromiter(chain.from_iterable(map(words.__getitem__, found[at : at + GROUP])), np.int32)
-                    flat.append(ids)
-                    n += len(ids)
-                    if len(words) > KEPT:
-                        words.clear()
-                lengths.append(n)
-            offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
-            values = np.concatenate(flat) if flat else np.zeros(0, np.int32)
-            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+        yield from map(_encoder(ranks_path, pattern), _slices(texts))
 
     return docs.select(*keep, ids_of(F.col(text_col).cast("string")).alias(ids_col))
 
 
 def decode(docs: DataFrame, ranks_path: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
     """``docs`` with ``bytes_col``: the pieces of its ids, joined.  NULL ids give NULL; an unknown id fails."""
-    state: dict[str, list] = {}
 
     @F.arrow_udf("binary")
     def joined(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        if not state:
-            state["it"] = {r: p for p, r in load_ranks(ranks_path).items()}
-        piece = state["it"].__getitem__
-        for batch in batches:
-            out = []
-            for row in batch:
-                out.append(b"".join(map(piece, row.values.to_numpy(zero_copy_only=False).tolist())) if row.is_valid else None)
-            yield pa.array(out, pa.binary())
+        yield from map(_decoder(ranks_path), _slices(batches))
 
     return docs.withColumn(bytes_col, joined(F.col(ids_col)))
 
 
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text") -> DataFrame:
+    """``docs`` with the text replaced by ``ids`` and by ``decoded``, as ``decode(encode(docs))`` makes them.
+
+    Both steps run in one Python worker a task; two would share an executor's memory.
+    """
+    keep = [c for c in docs.columns if c not in (text_col, "ids", "decoded")]
+
+    @F.arrow_udf("struct<ids array<int>, decoded binary>")
+    def both(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        ids_of, joined = _encoder(ranks_path, pattern), _decoder(ranks_path)
+        for ids in map(ids_of, _slices(texts)):
+            yield pa.StructArray.from_arrays([ids, joined(ids)], ["ids", "decoded"])
+
+    (made,) = free_names(docs, "coded")
+    coded = docs.select(*keep, both(F.col(text_col).cast("string")).alias(made))
+    return coded.select(*keep, f"{made}.ids", f"{made}.decoded")
+
+
 def _slot(piece):
     return F.pmod(F.xxhash64(piece), F.lit(SLOTS)).cast("int")
 
@@ -210,7 +246,7 @@ def fold_words(words: DataFrame, ranks, word_col: str = "word") -> DataFrame:
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text") -> DataFrame:
     """``docs`` without its text, with ``n_tokens``, ``ids_sha256`` and, from the decoded ids, ``decoded_sha256``."""
-    coded = decode(encode(docs, ranks_path, pattern, text_col), ranks_path)
+    coded = round_trip(docs, ranks_path, pattern, text_col)
     return coded.withColumns(
         {
             "n_tokens": F.size("ids").cast("long"),

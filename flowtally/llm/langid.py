@@ -23,6 +23,8 @@ STRETCH = 256
 GROUP = 100_000
 # tokens whose emission scores a task keeps; it starts afresh beyond that
 KEPT = 400_000
+# new words whose features are laid out at once; a word has about thirty
+LEARNED = 4096
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -235,7 +237,9 @@ class Tagger:
         need = self.used + len(words)
         if need > len(self.scores):
             self.scores = np.concatenate((self.scores, np.zeros((max(need, 2 * len(self.scores)) - len(self.scores), self.scores.shape[1]))))
-        self.scores[self.used : need] = self.crf.emissions([w for _, w in words])
+        for at in range(0, len(words), LEARNED):
+            part = [w for _, w in words[at : at + LEARNED]]
+            self.scores[self.used + at : self.used + at + len(part)] = self.crf.emissions(part)
         self.known.update(zip((t for t, _ in words), range(self.used, need), strict=True))
         self.used = need
 

@@ -76,3 +76,14 @@ def test_unknown_id_fails(spark):
     with pytest.raises(Exception, match="KeyError"):
         decode(df, PATH).collect()
     assert decode(spark.createDataFrame([(None,)], "ids array<int>"), PATH).select(F.col("decoded")).collect()[0][0] is None
+
+
+def test_round_trip_runs_in_one_worker_a_task(spark, monkeypatch):
+    texts = [(1, "ab  cd\n" * 40, 5), (2, None, 6), (3, "", 7), (4, "größe 漢字", 8), (None, "x", None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, coded int").coalesce(1)
+    monkeypatch.setattr(bpe, "ROWS", 2)
+    got = bpe.round_trip(docs, PATH, PATTERN)
+    want = decode(encode(docs, PATH, PATTERN), PATH)
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    plan = digests(docs, PATH, PATTERN)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1

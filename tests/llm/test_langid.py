@@ -94,3 +94,16 @@ def test_clashing_names_are_carried(spark):
     out = predict(df, crf)
     assert out.columns == [*df.columns, "lang_pred", "score"]
     assert tuple(out.first())[:5] == ("the thing", 1, 2, 3, "en")
+
+
+def test_new_words_are_learned_in_small_parts(monkeypatch):
+    samples = [("de", "der und die nicht ist".split()), ("en", "the and of not is".split())] * 20
+    crf = train(samples, epochs=2)
+    texts = [" ".join(f"wort{i} {i} word{i * j}" for i in range(40)) for j in range(3)]
+    want = Tagger(crf).predict(texts)
+    sizes = []
+    plain = langid.Crf.emissions
+    monkeypatch.setattr(langid.Crf, "emissions", lambda self, words: sizes.append(len(words)) or plain(self, words))
+    monkeypatch.setattr(langid, "LEARNED", 7)
+    assert Tagger(crf).predict(texts) == want
+    assert max(sizes) == 7 and sum(sizes) >= 100
