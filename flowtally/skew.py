@@ -27,13 +27,15 @@ from flowtally.lineage import cut
 
 # most rows of a key that one task may get
 CHUNK_ROWS = 1_000_000
+# about how many rows a task of a window gets; Spark goes by compressed bytes, of which repetitive rows have few
+TASK_ROWS = 250_000
 # most chunks of a table: Spark samples borders on the driver, as many rows as there are chunks times a constant
 MOST_CHUNKS = 1000
 # counters of the heavy-hitter sketch
 TRACKED = 10_000
 PARTS = 1000
 MIN_ROWS = 10_000
-# as min_rows: the caller knows that no key is hot, so nothing is counted
+# as min_rows: the caller knows that no key is hot, so only rows are counted
 NEVER = 2**62
 
 CHUNK = "__chunk"
@@ -139,7 +141,7 @@ def may_have_hot_key(df: DataFrame, keys: Sequence[str], chunk_rows: int) -> tup
     False is proven; True may be a false alarm, which costs time only.
     """
     if chunk_rows >= NEVER:
-        return False, 0
+        return False, df.count()
     hashed = F.xxhash64(*keys)
     # the function is there in SQL only
     top = F.call_function("approx_top_k", hashed, F.lit(1), F.lit(TRACKED))
@@ -170,6 +172,11 @@ def range_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk
     return cut(df.repartitionByRange(parts, *by).withColumn(CHUNK, F.spark_partition_id()))
 
 
+def _dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` to as many tasks as ``rows`` need; a table small enough for one is left to Spark."""
+    return df if rows <= TASK_ROWS else df.repartition(-(-rows // TASK_ROWS), *keys)
+
+
 def _border_rows(chunks: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The rows of the first and the last key of each chunk; only these keys can go on in another chunk."""
     key = F.struct(*keys)
@@ -199,11 +206,12 @@ def _shift(
     hot, rows = may_have_hot_key(df, keys, chunk_rows)
     if not hot:
         plain = Window.partitionBy(*keys).orderBy(*by)
-        return df.select(*columns, *[F.lag(source).over(plain).alias(name) for name, source in values.items()])
+        dealt = _dealt(df, rows, *keys)
+        return dealt.select(*columns, *[F.lag(source).over(plain).alias(name) for name, source in values.items()])
     chunks = range_chunks(df, keys, order, chunk_rows, rows)
     packed = F.struct(*[F.col(source).alias(name) for name, source in values.items()])
     inside = Window.partitionBy(CHUNK, *keys).orderBy(*by)
-    inner = chunks.repartition(CHUNK).withColumns(
+    inner = (_dealt(chunks, rows, CHUNK) if rows > TASK_ROWS else chunks.repartition(CHUNK)).withColumns(
         {"__near": F.lag(packed).over(inside), "__edge": F.row_number().over(inside) == 1}
     )
     pick = F.min_by if forward else F.max_by
@@ -245,10 +253,11 @@ def with_running(
     hot, rows = may_have_hot_key(df, keys, chunk_rows)
     if not hot:
         plain = Window.partitionBy(*keys).orderBy(*asc).rowsBetween(Window.unboundedPreceding, 0)
-        return df.select(*columns, *[F.coalesce(F.sum(source).over(plain), zero).alias(n) for n, source in sums.items()])
+        dealt = _dealt(df, rows, *keys)
+        return dealt.select(*columns, *[F.coalesce(F.sum(source).over(plain), zero).alias(n) for n, source in sums.items()])
     chunks = range_chunks(df, keys, order, chunk_rows, rows)
     inside = Window.partitionBy(CHUNK, *keys).orderBy(*asc).rowsBetween(Window.unboundedPreceding, 0)
-    inner = chunks.repartition(CHUNK).withColumns(
+    inner = (_dealt(chunks, rows, CHUNK) if rows > TASK_ROWS else chunks.repartition(CHUNK)).withColumns(
         {f"__in_{n}": F.coalesce(F.sum(source).over(inside), zero) for n, source in sums.items()}
     )
     totals = _border_rows(chunks, keys).groupBy(*keys, CHUNK)

@@ -4,8 +4,10 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from flowtally import skew
 from flowtally.skew import (
     CHUNK,
+    NEVER,
     may_have_hot_key,
     range_chunks,
     with_chunk,
@@ -119,3 +121,19 @@ def test_keys_of_several_columns_and_nulls(spark):
     want = df.select("id", F.coalesce(F.sum("v").over(w), F.lit(0)).alias("s"))
     got = with_running(df, ["k", "k2"], ["ts", "id"], {"s": "v"}, chunk_rows=80).select("id", "s")
     assert rows(got) == rows(want)
+
+
+@pytest.mark.parametrize("chunk_rows", [500, 1_000_000, NEVER])
+def test_windows_are_dealt_by_rows_not_by_bytes(spark, monkeypatch, chunk_rows):
+    df = _hot(spark).withColumn("seq", F.col("id"))
+    want = with_running(with_previous(df, ["k"], ["ts", "id"], {"p": "v"}), ["k"], ["ts", "id"], {"s": "v"})
+    monkeypatch.setattr(skew, "TASK_ROWS", 300)
+    asked = []
+    plain = type(df).repartition
+    monkeypatch.setattr(type(df), "repartition", lambda self, n, *by: asked.append(n) or plain(self, n, *by))
+    got = with_running(
+        with_previous(df, ["k"], ["ts", "id"], {"p": "v"}, chunk_rows=chunk_rows), ["k"], ["ts", "id"], {"s": "v"}, chunk_rows=chunk_rows
+    )
+    # 4000 rows in tasks of 300: rows that compress well are not put together beyond that
+    assert asked == [14, 14]
+    assert rows(got) == rows(want)
