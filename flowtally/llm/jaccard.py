@@ -13,8 +13,9 @@ are met: what it shares with many, such as a common passage, is skipped first.
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -29,8 +30,12 @@ from flowtally.llm.base import query, table
 from flowtally.llm.components import components
 
 SEED = 7
-# words whose hash a task keeps, and classes it remembers to have emitted; both start afresh beyond that
-KEPT_WORDS, KEPT_CLASSES = 1 << 18, 1 << 16
+# words of more bytes than this are hashed one by one
+LONG = 64
+# long words whose hash a task keeps, and classes it remembers to have emitted; both start afresh beyond that
+KEPT_WORDS, KEPT_CLASSES = 1 << 12, 1 << 16
+# bytes of texts that are hashed at once, cut where a word ends
+BLOCK = 1 << 19
 # signature rows a task sends at once
 FLUSH = 1 << 17
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -43,30 +48,89 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _bytes_at_places() -> np.ndarray:
+    """A random number for each byte at each place of a word, one row a place."""
+    return _mix(np.arange(1, LONG * 256 + 1, dtype=np.uint64) * _A + np.uint64(SEED))
+
+
+_PLACED = _bytes_at_places()
+_IN_WORD = np.array([c != 32 and not 9 <= c <= 13 for c in range(256)])
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
 class _Hashes(dict):
-    """Word -> its XXH64."""
+    """Long word -> its XXH64."""
 
     def __missing__(self, word: bytes):
+        if len(self) > KEPT_WORDS:
+            self.clear()
         h = xxhash.xxh64_intdigest(word, SEED)
-        if len(word) <= 32:
-            self[word] = h
+        self[word] = h
         return h
 
 
-def shingle_set(text: bytes | None, size: int, hashes: dict) -> np.ndarray:
-    """The distinct ``size``-word shingles of a text, as sorted 64-bit hashes; empty without words."""
-    words = (text or b"").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(hashes) > KEPT_WORDS:
-        hashes.clear()
-    w = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    width = min(size, len(words))
-    last = len(words) - width + 1
+def word_hashes(text: bytes, hashes: dict) -> tuple[np.ndarray, np.ndarray]:
+    """``(start, hash)`` of each word of a text, ``BLOCK`` bytes at a time.
+
+    A word's hash is the sum of the random numbers of its bytes at their
+    places; words of more than ``LONG`` bytes have their XXH64.
+    """
+    starts, found, at = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0
+    while at < len(text):
+        space = _SPACE.search(text, at + BLOCK)
+        stop = space.start() if space else len(text)
+        raw = np.frombuffer(text, np.uint8, stop - at, at)
+        where = np.flatnonzero(_IN_WORD[raw])
+        if len(where):
+            first = np.flatnonzero(np.diff(where, prepend=-2) > 1)
+            size = np.diff(first, append=len(where))
+            place = (np.arange(len(where)) - np.repeat(first, size)) % LONG
+            sums = np.add.reduceat(_PLACED[place << 8 | raw[where]], first)
+            h = _mix(sums + size.astype(np.uint64) * _B)
+            for i in np.flatnonzero(size > LONG):
+                begin = at + int(where[first[i]])
+                h[i] = hashes[text[begin : begin + int(size[i])]]
+            starts.append(where[first] + at)
+            found.append(h)
+        at = stop
+    return np.concatenate(starts), np.concatenate(found)
+
+
+def _shingles(w: np.ndarray, width: int) -> np.ndarray:
+    """The hash of each run of ``width`` words."""
+    last = max(0, len(w) - width + 1)
     h = _mix(w[:last] + np.uint64(width))
     for i in range(1, width):
         h = _mix(h * _A + w[i : i + last])
-    return np.unique(h)
+    return h
+
+
+def _sets_of(texts: list[bytes], size: int, hashes: dict) -> Iterator[np.ndarray]:
+    starts, w = word_hashes(b"\n".join(texts).lower(), hashes)
+    ends = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts])).tolist()
+    shingles, begin = _shingles(w, size), 0
+    for end in ends:
+        n = end - begin
+        h = np.sort(shingles[begin : end - size + 1] if n >= size else _shingles(w[begin:end], n))
+        yield h[np.diff(h, prepend=~h[:1]) != 0] if n else h
+        begin = end
+
+
+def shingle_sets(texts: Iterable[bytes | None], size: int, hashes: dict) -> Iterator[np.ndarray]:
+    """The distinct ``size``-word shingles of each text, as sorted 64-bit hashes; empty without words."""
+    waiting, held = [], 0
+    for text in texts:
+        waiting.append(text or b"")
+        held += len(waiting[-1])
+        if held >= BLOCK:
+            yield from _sets_of(waiting, size, hashes)
+            waiting, held = [], 0
+    yield from _sets_of(waiting, size, hashes)
+
+
+def shingle_set(text: bytes | None, size: int, hashes: dict) -> np.ndarray:
+    """``shingle_sets`` of one text."""
+    return next(shingle_sets([text], size, hashes))
 
 
 def bands() -> list[tuple[int, int]]:
@@ -218,8 +282,7 @@ def _members(texts: DataFrame, size: int, percent: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "cls", "meta"])
 
         for b in batches:
-            for text in b.column("text"):
-                h = shingle_set(text.as_py(), size, hashes)
+            for h in shingle_sets((t.as_py() for t in b.column("text")), size, hashes):
                 cls = class_of(h)
                 if not cls or cls in seen:
                     continue
@@ -312,10 +375,9 @@ def jaccard_groups(
     def classes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for b in batches:
-            sets = [shingle_set(t.as_py(), shingle, hashes) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("id"), pa.array([len(h) for h in sets], pa.int64()), pa.array([class_of(h) for h in sets], pa.int64())], ["id", "n", "cls"]
-            )
+            sets = ((len(h), class_of(h)) for h in shingle_sets((t.as_py() for t in b.column("text")), shingle, hashes))
+            n, cls = np.fromiter(sets, np.dtype((np.int64, 2)), b.num_rows).T
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n), pa.array(cls)], ["id", "n", "cls"])
 
     made = cut(texts.mapInArrow(classes_of, "id long, n long, cls long"))
     members = cut(_members(texts, shingle, percent))
@@ -344,8 +406,7 @@ def _sets(texts: DataFrame, made: DataFrame, members: DataFrame, shingle: int) -
         hashes, seen = _Hashes(), set()
         for b in batches:
             classes, sets = [], []
-            for t in b.column("text"):
-                h = shingle_set(t.as_py(), shingle, hashes)
+            for h in shingle_sets((t.as_py() for t in b.column("text")), shingle, hashes):
                 cls = class_of(h)
                 if cls and cls not in seen:
                     if len(seen) > KEPT_CLASSES:

@@ -174,3 +174,18 @@ def test_shingle_hashes_follow_equality():
     for s, t in itertools.product(texts, texts):
         same = np.array_equal(shingle_set(s.encode(), 5, jaccard._Hashes()), shingle_set(t.encode(), 5, jaccard._Hashes()))
         assert same == (plain_set(s) == plain_set(t))
+
+
+def test_sets_of_many_texts_at_once(monkeypatch):
+    rnd = random.Random(3)
+    words = ["a", "B", "été", "\x1c", "x" * 64, "x" * 65, "y" * 200, "word,", "漢字"]
+    texts = [None, "", " \n", *(" \t\n"[i % 3].join(rnd.choice(words) for _ in range(rnd.randrange(1, 40))) for i in range(60))]
+    raw = [t if t is None else t.encode() for t in texts]
+    got = [h.tolist() for h in jaccard.shingle_sets(raw, 5, jaccard._Hashes())]
+    for t, h in zip(raw, got, strict=True):
+        w = (t or b"").lower().split()
+        n = min(5, len(w))
+        assert len(h) == len({tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if w else ()) and h == sorted(set(h))
+    assert got == [shingle_set(t, 5, jaccard._Hashes()).tolist() for t in raw]
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    assert got == [h.tolist() for h in jaccard.shingle_sets(raw, 5, jaccard._Hashes())]
