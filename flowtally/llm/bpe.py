@@ -2,7 +2,7 @@
 
 Two forms of the same fold.  ``fold_words`` is made of Spark's higher-order
 functions over a table of distinct words.  ``encode`` runs the fold inside
-Arrow batches, once per distinct word a task meets: joining a corpus-wide word
+Arrow batches, once per distinct word a task meets, many words at once: joining a corpus-wide word
 table back to every word place would shuffle all words of the text, and a word
 table grows with the corpus, so it can't be broadcast.
 """
@@ -86,36 +86,133 @@ def fold(word: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
     return tuple(ranks[word[i : end[i]]] for i in range(n) if alive[i])
 
 
-class _Words(dict):
-    """Word -> ids, folded when first met."""
-
-    def __init__(self, ranks):
-        super().__init__()
-        self.ranks = ranks
+@lru_cache(maxsize=4)
+def pair_table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(single, keys, merged)``: the rank of each byte, and of every pair of pieces whose joined bytes are a piece.
 
-    def __missing__(self, word: str):
-        ids = fold(word.encode("utf-8", "surrogatepass"), self.ranks)
-        if len(word) <= SHORT:
-            self[word] = ids
-        return ids
+    ``keys`` are the pairs, first rank in the upper half, sorted; ``merged``
+    has the rank of the joined piece.  The last key is no pair.
+    """
+    ranks = load_ranks(path)
+    get = ranks.get
+    found = [
+        (left << 32 | right, rank)
+        for piece, rank in ranks.items()
+        for i in range(1, len(piece))
+        if (left := get(piece[:i])) is not None and (right := get(piece[i:])) is not None
+    ]
+    keys, merged = np.array([*found, (np.iinfo(np.int64).max, UNRANKED)], np.int64).T
+    order = np.argsort(keys)
+    single = np.array([get(bytes([i]), -1) for i in range(256)], np.int64)
+    return single, keys[order], merged[order]
+
+
+def fold_many(words: list[bytes], path: str) -> list[list[int]]:
+    """``fold`` of each word, all words at once; meant for words of up to ``SHORT`` bytes.
+
+    Words of equally many parts are rows of one matrix.  Each merge takes one
+    part away, so after a merge a row belongs to the matrix of one part less;
+    matrices are folded from the widest on.
+    """
+    single, keys, merged = pair_table(path)
+    if (single < 0).any():  # bytes without a rank may still be halves of a piece
+        return [list(fold(word, load_ranks(path))) for word in words]
+    get = load_ranks(path).get
+    out: list = [None] * len(words)
+    by_size: dict[int, list[int]] = {}
+    for i, word in enumerate(words):
+        whole = get(word)
+        if whole is not None:
+            out[i] = [whole]
+        elif not word:
+            out[i] = []
+        else:
+            by_size.setdefault(len(word), []).append(i)
+
+    def ranked(left, right):
+        pair = left << 32 | right
+        at = np.searchsorted(keys, pair)
+        return np.where(keys[at] == pair, merged[at], UNRANKED)
+
+    widest = max(by_size, default=0)
+    # word numbers, parts and the ranks of neighbouring parts
+    who, parts, pairs = np.zeros(0, np.int64), np.zeros((0, widest), np.int64), np.zeros((0, max(0, widest - 1)), np.int64)
+    for width in range(widest, 0, -1):
+        some = by_size.get(width, [])
+        raw = np.frombuffer(b"".join(words[i] for i in some), np.uint8).reshape(len(some), width)
+        new = single[raw]
+        who, parts = np.concatenate((who, np.array(some, np.int64))), np.concatenate((parts, new))
+        pairs = np.concatenate((pairs, ranked(new[:, :-1], new[:, 1:])))
+        if width == 1:
+            at, least = np.zeros(len(who), np.int64), np.full(len(who), UNRANKED)
+        else:
+            at = pairs.argmin(1)
+            least = pairs[np.arange(len(who)), at]
+        done = least == UNRANKED
+        for i, ids in zip(who[done].tolist(), parts[done].tolist(), strict=True):
+            out[i] = ids
+        if width == 1:
+            break
+        on = ~done
+        who, parts, pairs, at, least = who[on], parts[on], pairs[on], at[on], least[on]
+        before = np.arange(width - 1) < at[:, None]
+        parts = np.where(before, parts[:, :-1], parts[:, 1:])
+        pairs = np.where(before[:, :-1], pairs[:, :-1], pairs[:, 1:])
+        rows = np.arange(len(who))
+        parts[rows, at] = least
+        left = np.nonzero(at > 0)[0]
+        pairs[left, at[left] - 1] = ranked(parts[left, at[left] - 1], least[left])
+        right = np.nonzero(at < width - 2)[0]
+        pairs[right, at[right]] = ranked(least[right], parts[right, at[right] + 1])
+    return out
 
 
 def _encoder(ranks_path: str, pattern: str):
     """A function from texts to arrays of ids; a NULL text has none."""
-    words, split = _Words(load_ranks(ranks_path)), regex.compile(pattern)
+    known: dict[str, list[int]] = {}
+    split = regex.compile(pattern)
+
+    def ids_of_words(found: list[str]) -> list[list[int]]:
+        """Ids of each word; those not met yet are folded together."""
+        if len(known) > KEPT:
+            known.clear()
+        new = list(set(found).difference(known))
+        raw = [word.encode("utf-8", "surrogatepass") for word in new]
+        short = [i for i, word in enumerate(raw) if len(word) <= SHORT]
+        known.update(zip([new[i] for i in short], fold_many([raw[i] for i in short], ranks_path), strict=True))
+        if len(short) == len(new):
+            return list(map(known.__getitem__, found))
+        # long words are not kept
+        long = {w: fold(r, load_ranks(ranks_path)) for w, r in zip(new, raw, strict=True) if len(r) > SHORT}
+        return [long[w] if w in long else known[w] for w in found]
 
     def ids_of(batch: pa.Array) -> pa.ListArray:
-        flat, lengths = [], []
-        for text in batch:
-            text, n, at = text.as_py() or "", 0, 0
-            found = split.findall(text)
-            for at in range(0, len(found), GROUP):
-                ids = np.fromiter(chain.from_iterable(map(words.__getitem__, found[at : at + GROUP])), np.int32)
-                flat.append(ids)
-                n += len(ids)
-                if len(words) > KEPT:
-                    words.clear()
-            lengths.append(n)
+        flat, lengths, waiting, ends = [], [], [], []
+
+        def flush():
+            ids = ids_of_words(waiting)
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat.append(np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum())))
+            # ids up to each text's last word here
+            upto = np.concatenate(([0], np.cumsum(sizes)))[[end for _, end in ends]]
+            for (row, _), n in zip(ends, np.diff(upto, prepend=0).tolist(), strict=True):
+                lengths[row] += n
+            waiting.clear()
+            ends.clear()
+
+        for row, text in enumerate(batch):
+            found, at = split.findall(text.as_py() or ""), 0
+            lengths.append(0)
+            while len(found) - at + len(waiting) >= GROUP:
+                stop = at + GROUP - len(waiting)
+                waiting.extend(found[at:stop])
+                ends.append((row, len(waiting)))
+                at = stop
+                flush()
+            waiting.extend(found[at:] if at else found)
+            ends.append((row, len(waiting)))
+        if ends:
+            flush()
         offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
         values = np.concatenate(flat) if flat else np.zeros(0, np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))

@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import base64
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
@@ -87,3 +89,26 @@ def test_round_trip_runs_in_one_worker_a_task(spark, monkeypatch):
     assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     plan = digests(docs, PATH, PATTERN)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_many_words_fold_together(library, monkeypatch):
+    rnd = random.Random(5)
+    words = ["", "x", "aaaaaaa", *("".join(rnd.choice(a) for _ in range(rnd.randrange(1, 16))) for a in ("abcdethü", "aeiouß漢字", "th e") * 300)]
+    got = bpe.fold_many([w.encode() for w in words], PATH)
+    assert got == [list(fold(w.encode(), RANKS)) for w in words]
+    assert bpe.fold_many([], PATH) == []
+
+    def one_by_one(word, ranks):
+        raise AssertionError(word)
+
+    monkeypatch.setattr(bpe, "GROUP", 7)
+    monkeypatch.setattr(bpe, "fold", one_by_one)
+    texts = [None, "", "the tokenization of Straßenbahn 漢字 and so on, " * 3, "a", "I'll we've " * 9]
+    ids = bpe._encoder(PATH, PATTERN)(pa.array(texts, pa.string()))
+    assert ids.to_pylist() == [library.encode_ordinary(t or "") for t in texts]
+
+
+def test_bytes_without_a_rank_may_be_halves_of_a_piece(tmp_path):
+    path = tmp_path / "some.tiktoken"
+    path.write_bytes(b"".join(base64.b64encode(p) + b" %d\n" % r for r, p in enumerate((b"a", b"b", b"cd", b"bcd"))))
+    assert bpe.fold_many([b"acd", b"abcd", b"ab"], str(path)) == [[0, 2], [0, 3], [0, 1]]
