@@ -28,6 +28,8 @@ from flowtally.llm.base import query, table
 GRAM = 32
 # bytes of a text hashed at once, so that a huge text needs no huge arrays
 BLOCK = 1 << 20
+# anchors a task sends at once
+FLUSH = 1 << 16
 # stretches sorted in one task, and the most stretches of one anchor that are sorted together
 BUCKET, LARGE = 1024, 4096
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -71,7 +73,7 @@ def anchors(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
         # the leading 43 bits decide, then the place within the block
         tagged = (h >> np.uint64(21) << np.uint64(21)) | np.arange(len(h), dtype=np.uint64)
         chosen = (_least_in_windows(tagged, grams) & np.uint64((1 << 21) - 1)).astype(np.int64)
-        new = np.nonzero(np.diff(chosen, prepend=-1))[0]
+        new = np.flatnonzero(np.concatenate(([True], chosen[1:] != chosen[:-1])))
         places.append(chosen[new] + at)
         hashes.append(h[chosen[new]].view(np.int64))
         firsts.append(new + at)
@@ -84,12 +86,11 @@ def anchors(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return place[keep], np.concatenate(hashes)[keep], first[keep]
 
 
-def stretches(text: bytes, repeated: np.ndarray, length: int) -> list[tuple[int, int, int]]:
-    """``(anchor hash, start, end)`` of each anchor in ``repeated`` (sorted places): the stretch of its windows."""
+def stretches(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(anchor hash, start, end)`` of each anchor: the stretch of its windows."""
     place, hashes, first = anchors(text, length)
     last = np.append(first[1:], len(text) - length + 1)[: len(place)] - 1
-    known = np.nonzero(np.isin(place, repeated))[0]
-    return [(int(hashes[j]), int(first[j]), int(last[j]) + length) for j in known]
+    return hashes, first, last + length
 
 
 def factor_flags(parts: list[bytes], owner: np.ndarray, start: np.ndarray, copies: np.ndarray, length: int):
@@ -189,26 +190,46 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 200, k
     spark = docs.sparkSession
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, ready = [], []
+
+        def flushed():
+            numbers = np.repeat(np.arange(len(names)), [len(r[0]) for r in ready])
+            columns = [pa.array(np.concatenate(c)) for c in zip(*ready, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()).take(pa.array(numbers)), *columns], ["t", "anchor", "begin", "end"])
+
         for b in batches:
+            size = 0
             for text in b.column("text"):
                 text = text.as_py()
-                place, hashes, _ = anchors(text, length)
-                if len(place):
-                    t = pa.array([_digest(text)] * len(place), pa.binary())
-                    yield pa.RecordBatch.from_arrays([t, pa.array(place), pa.array(hashes)], ["t", "place", "anchor"])
-
-    found = _texts(docs, text_col).mapInArrow(find, "t binary, place long, anchor long")
+                rows = stretches(text, length)
+                if len(rows[0]):
+                    names.append(_digest(text))
+                    ready.append(rows)
+                    size += len(rows[0])
+                if size > FLUSH:
+                    yield flushed()
+                    names, ready, size = [], [], 0
+            if names:
+                yield flushed()
+                names, ready = [], []
+
+    # written once, read by the counts and by the join
+    folder = new_folder(spark, "anchors")
+    found = _texts(docs, text_col).mapInArrow(find, "t binary, anchor long, begin long, end long")
+    found.write.option("compression", "zstd").parquet(folder)
+    found = spark.read.parquet(folder)
     # on its own, so that both sides of the join are shuffled for it and AQE can split a frequent anchor
     twice = cut(found.groupBy("anchor").count().where("count > 1").select("anchor"))
-    places = found.join(twice, "anchor").groupBy("t").agg(F.collect_set("place").alias("places"))
+    known = found.join(twice, "anchor").groupBy("t").agg(F.collect_set(F.struct("begin", "end", "anchor")).alias("known"))
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
             rows, size = [], 0
-            for t, z, n, known in zip(*(b.column(c) for c in ("t", "z", "n", "places")), strict=True):
+            for t, z, n, known in zip(*(b.column(c) for c in ("t", "z", "n", "known")), strict=True):
                 t, n, text = t.as_py(), n.as_py(), unpack(z.as_py())
-                for anchor, begin, end in stretches(text, np.sort(known.values.to_numpy()), length):
+                columns = (known.values.field(c).to_pylist() for c in ("begin", "end", "anchor"))
+                for begin, end, anchor in sorted(zip(*columns, strict=True)):
                     rows.append((t, n, anchor, begin, text[begin:end]))
                     size += end - begin
                     if size > BLOCK:
@@ -223,7 +244,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 200, k
 
     # equal texts go on as one with their number, combined before the shuffle that the join needs anyway
     texts = _packed(docs, [], text_col).groupBy("t").agg(F.first("z").alias("z"), F.count("*").alias("n"))
-    near = texts.join(places, "t").mapInArrow(around, "t binary, n long, anchor long, begin long, part binary")
+    near = texts.join(known, "t").mapInArrow(around, "t binary, n long, anchor long, begin long, part binary")
     # written once, read by the counts and by the places
     folder = new_folder(spark, "stretches")
     near.withColumn("h", F.unhex(F.md5("part"))).write.option("compression", "zstd").parquet(folder)

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import uuid
 from collections import defaultdict
 
 import numpy as np
@@ -104,3 +105,17 @@ def test_flags_tell_earlier_from_any_copy():
     assert np.nonzero(earlier[1])[0].tolist() == [0, 1, 2]
     # a run of one letter repeats itself at the next place
     assert np.nonzero(anywhere[2])[0].tolist() == [0, 1, 2] and np.nonzero(earlier[2])[0].tolist() == [1, 2]
+
+
+def test_anchors_are_made_once(spark, tmp_path):
+    passage = "".join(chr(97 + i * i % 23) for i in range(300))
+    plain = spark.createDataFrame([(f"{i} " * 50 + passage,) for i in range(4)], "text string").coalesce(1)
+
+    def read(batches):
+        (tmp_path / uuid.uuid4().hex).touch()
+        yield from batches
+
+    spans = repeats.repeated_spans(plain.mapInArrow(read, "text string"), length=100, keep_first=False)
+    assert spans.count() == 4
+    # once for the anchors, once for the texts that hold repeated ones
+    assert len(list(tmp_path.iterdir())) == 2
