@@ -10,6 +10,7 @@ from flowtally.operators import graph as G
 from flowtally.operators import lookups as L
 from flowtally.operators import ordered as O
 from flowtally.operators import reconcile as R
+from flowtally.operators import search
 from flowtally.operators import sets as S
 from flowtally.operators.filters import audit_filter, for_tenant_month
 from flowtally.operators.search import text_search
@@ -340,6 +341,40 @@ def test_search_equals_brute_force_at_every_weight(spark, light_rows):
     assert sorted(tuple(r) for r in got.collect()) == sorted(_best_by_hand(queries, docs, 4))
 
 
+@pytest.mark.parametrize("k", [1, 3])
+def test_search_in_rounds_keeps_no_row_per_word(spark, monkeypatch, k):
+    dice = random.Random(5)
+    # short texts and long ones, so that rounds differ in the width of their lanes
+    texts = [" ".join(f"w{int(dice.random() ** 2 * 900)}" for _ in range(300 if i % 9 == 0 else dice.randrange(1, 40))) for i in range(150)]
+    docs = list(enumerate(texts))
+    scope = [F.lit("t").alias("tenant"), F.lit("c").alias("collection")]
+    d = spark.createDataFrame(docs, "doc_id int, text string").select(*scope, "*", F.col("doc_id").alias("seq"))
+    q = spark.createDataFrame(docs, "query_id int, query string").select(*scope, "*")
+    sizes, plain = [], search.cut
+
+    def counted(df):
+        out = plain(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(search, "cut", counted)
+    for name, value in (("ROUND_WORDS", 2500), ("TASK_WORDS", 1500), ("LONGEST", 5)):
+        monkeypatch.setattr(search, name, value, raising=False)
+    got = text_search(q, d, k, light_rows=2, cell_rows=10).select("query_id", "doc_id", "score")
+    assert sorted(tuple(r) for r in got.collect()) == sorted(_best_by_hand(docs, docs, k))
+    # words stay in the row of their text; a row for each of the words took more disk than there was
+    assert max(sizes) <= k * len(docs)
+
+
+def test_search_counts_of_one_score_tie(spark):
+    words = [f"w{i}" for i in range(30_000)]
+    docs = [("t", "c", 1, " ".join(words[:15_000]), 1), ("t", "c", 2, " ".join(words[:15_001]), 2)]
+    d = spark.createDataFrame(docs, "tenant string, collection string, doc_id int, text string, seq int")
+    q = spark.createDataFrame([("t", "c", 9, " ".join(words))], "tenant string, collection string, query_id int, query string")
+    # 15000 and 15001 of 30000 words are both 0.5, so the place decides
+    assert rows(text_search(q, d, 1, light_rows=0).select("query_id", "doc_id", "score")) == [(9, 1, 0.5)]
+
+
 def test_latest_files(spark):
     files = spark.createDataFrame(
         [("a", "2024-01-01"), ("b", "2024-01-03"), ("c", "2024-01-03"), ("d", "2024-01-02")], "file_name string, d string"
